@@ -60,13 +60,16 @@ def match_status() -> Column:
     )
 
 
+def statuses(present: DataFrame, by: str = "manager_id") -> DataFrame:
+    """``(by, employee_id, status)`` from :func:`presence` rows."""
+    return present.where(F.col("employee_id").isNotNull()).select(
+        by, "employee_id", match_status().alias("status")
+    )
+
+
 def reconcile(roster: DataFrame, sheet: DataFrame, by: str = "manager_id") -> DataFrame:
     """``(by, employee_id, status)``: one row per ID found on either side."""
-    return (
-        presence(roster, sheet, by)
-        .where(F.col("employee_id").isNotNull())
-        .select(by, "employee_id", match_status().alias("status"))
-    )
+    return statuses(presence(roster, sheet, by), by)
 
 
 def roster_details(roster: DataFrame, columns: tuple, by: str = "manager_id") -> DataFrame:
@@ -88,9 +91,16 @@ def reconcile_with_details(
 ) -> DataFrame:
     """As :func:`reconcile`, with roster columns alongside (null for unknown IDs).
 
-    Each side is unique on the join key, which both groupings have already partitioned by.
+    Details have to travel with the roster here, so the two sides are joined: each is
+    unique on the join key and already partitioned by it, and is shuffled once.
     """
-    return reconcile(roster, sheet, by).join(roster_details(roster, columns, by), [by, "employee_id"], "left")
+    details = roster_details(roster, columns, by).withColumn("_r", F.lit(True))
+    seen = id_set(sheet, by).withColumn("_s", F.lit(True))
+    found = details.join(seen, [by, "employee_id"], "full_outer")
+    in_roster, in_sheet = (F.coalesce(c, F.lit(False)) for c in ("_r", "_s"))
+    return found.withColumns({"in_roster": in_roster, "in_sheet": in_sheet}).select(
+        by, "employee_id", match_status().alias("status"), *columns
+    )
 
 
 def ids_with_status(reconciliation: DataFrame, status: str, by: str = "manager_id") -> DataFrame:
@@ -141,8 +151,8 @@ def id_quality(roster: DataFrame, sheet: DataFrame, by: str = "manager_id") -> D
     )
 
 
-def _counts(listed: Column, group_flags: tuple = ("in_roster", "in_sheet")) -> list[Column]:
-    r, s = (F.col(c) for c in group_flags)
+def _counts(listed: Column) -> list[Column]:
+    r, s = F.col("in_roster"), F.col("in_sheet")
     return [
         F.count_if(listed & r).alias("roster_count"),
         F.count_if(listed & s).alias("sheet_count"),
@@ -157,18 +167,20 @@ def with_score(counts: DataFrame) -> DataFrame:
     return scored.withColumn("risk_level", risk_level(F.col("compliance_score")))
 
 
+def summarise_presence(present: DataFrame, by: str = "manager_id") -> DataFrame:
+    listed = F.col("employee_id").isNotNull()
+    return with_score(
+        present.groupBy(by).agg(*_counts(listed), F.sum("no_email").alias("missing_email"))
+    )
+
+
 def summarise(roster: DataFrame, sheet: DataFrame, by: str = "manager_id") -> DataFrame:
     """Six counts, score and risk per owner found in the roster or the sheet.
 
     One pass over each input: the grouping by pair feeds the grouping by owner, whose
     partial counts are all that is shuffled the second time.
     """
-    listed = F.col("employee_id").isNotNull()
-    return with_score(
-        presence(roster, sheet, by)
-        .groupBy(by)
-        .agg(*_counts(listed), F.sum("no_email").alias("missing_email"))
-    )
+    return summarise_presence(presence(roster, sheet, by), by)
 
 
 def department_headcount_by_owner(roster: DataFrame, by: str = "manager_id") -> DataFrame:
@@ -281,11 +293,3 @@ def issue_count_row(issue_rows: DataFrame) -> DataFrame:
         *[F.count_if(F.col("issue_type") == t).alias(t.lower()) for t in K.ISSUE_TYPES]
     )
 
-
-__all__ = [
-    "department_compliance", "department_headcount_by_owner", "id_quality", "id_set",
-    "ids_on_both", "ids_on_one", "ids_with_status", "issue_count_row", "issue_counts", "issues",
-    "leave_mismatches", "match_status", "organization_rollup", "presence", "recommendations",
-    "reconcile", "reconcile_with_details", "roster_details", "summarise",
-    "with_score", "without_email",
-]

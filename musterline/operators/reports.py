@@ -121,11 +121,14 @@ def in_reading_order(lines: DataFrame, by: str = "manager_id") -> DataFrame:
     return lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def notifications(
-    summary: DataFrame, users: DataFrame, clock: Column, by: str = "manager_id"
-) -> DataFrame:
-    """``(receiver, subject, body)`` per owner with an account, ready to hand to a mailer."""
-    people = users.where(F.col("role") == K.ROLE_MANAGER).select(F.col("id").alias(by), "name", "email")
+def notifications(summary: DataFrame, users: DataFrame, report: Column) -> DataFrame:
+    """``(receiver, subject, body)`` per summary row whose manager has an account.
+
+    ``report`` names the report file; the messages are ready to hand to a mailer.
+    """
+    people = users.where(F.col("role") == K.ROLE_MANAGER).select(
+        F.col("id").alias("manager_id"), "name", "email"
+    )
     counts = [
         F.concat(F.lit(caption + ": "), F.col(column).cast("string")) for column, caption in COUNT_CAPTIONS
     ]
@@ -138,9 +141,9 @@ def notifications(
         F.concat(F.lit("Risk: "), F.col("risk_level")),
         *counts,
         advice,
-        F.concat(F.lit("Report: "), report_name(F.col(by), clock)),
+        F.concat(F.lit("Report: "), report),
     )
-    return summary.join(people, by).select(
+    return summary.join(people, "manager_id").select(
         F.col("email").alias("receiver"),
         F.concat(F.lit("Your compliance report: risk "), F.col("risk_level")).alias("subject"),
         body.alias("body"),

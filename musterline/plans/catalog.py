@@ -372,4 +372,4 @@ def report_lines(s, d):
 
 @_query
 def notifications(s, d):
-    return reports.notifications(_summary(s, d), V.users(s, d), _clock())
+    return reports.notifications(_summary(s, d), V.users(s, d), reports.report_name(F.col("manager_id"), _clock()))

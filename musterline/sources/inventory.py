@@ -12,7 +12,7 @@ def as_inventory(binary_files: DataFrame) -> DataFrame:
     """Columns of a ``binaryFile`` scan under our names; times become zone-less UTC."""
     return binary_files.select(
         "path",
-        F.url_decode(F.regexp_extract("path", r"([^/]*)$", 1)).alias("filename"),
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").cast("timestamp_ntz").alias("created_at"),
         "content",
