@@ -7,6 +7,7 @@ from musterline.functions.files import (
     reader_for,
     sanitized,
     timestamp_suffix,
+    utc_now,
 )
 from musterline.functions.score import (
     advice_text,
@@ -30,5 +31,5 @@ __all__ = [
     "advice_text", "clean_id", "contains_any", "content_hash", "department_or_unknown",
     "email_missing", "executive_codes", "extension", "file_type", "normal_header",
     "reader_for", "recommendation_codes", "risk_level", "round2", "sanitized", "score",
-    "score_text", "strip", "timestamp_suffix",
+    "score_text", "strip", "timestamp_suffix", "utc_now",
 ]

@@ -1,4 +1,6 @@
-"""File-name and file-content expressions."""
+"""File-name, file-content and clock expressions."""
+
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, functions as F
 
@@ -40,3 +42,8 @@ def content_hash(content) -> Column:
 
 def timestamp_suffix(clock: Column) -> Column:
     return F.date_format(clock, "yyyyMMdd_HHmmss")
+
+
+def utc_now() -> Column:
+    """The present as a constant, so that every table of one run carries the same time."""
+    return F.lit(datetime.now(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")

@@ -17,10 +17,12 @@ def _col(c) -> Column:
 def strip(c) -> Column:
     """Remove leading and trailing Unicode white space (``trim`` alone removes blanks only).
 
-    ``btrim`` with a character set stays a plain UTF-8 scan inside code generation,
-    which matters because it runs over every ID.
+    Text that starts and ends with a printable ASCII character is returned as it is: two
+    byte comparisons instead of a search in the character set, for nearly every ID.
     """
-    return F.btrim(_col(c), F.lit(_WHITE_SPACE))
+    c = _col(c)
+    clean_edges = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(clean_edges, c).otherwise(F.btrim(c, F.lit(_WHITE_SPACE)))
 
 
 def clean_id(c) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline import constants as K
 from musterline.functions import contains_any
+from musterline.operators.access import roster_scope
 
 SEARCH_COLUMNS = ("employee_id", "full_name", "company_email", "department")
 PAGE_COLUMNS = (
@@ -61,6 +62,13 @@ def roster_page(
     )
 
 
+def my_roster_page(
+    roster: DataFrame, role: str, user_id: str, manager_id: str | None = None, **page
+) -> DataFrame:
+    """The page as one user sees it: scope, search, department, sort, cut."""
+    return roster_page(roster.where(roster_scope(role, user_id, manager_id)), **page)
+
+
 def roster_page_after(
     roster: DataFrame,
     last_id: str | None,

@@ -81,6 +81,49 @@ def new_files(hashed: DataFrame, history: DataFrame, order: str) -> DataFrame:
     return hashed.join(accepted, order, "left_semi")
 
 
+def take_in(hashed: DataFrame, history: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The inventory of a batch of hashed files with a ``verdict``; only ``NEW`` is processed.
+
+    Other verdicts: ``NO_MANAGER``, a failed admission rule, ``UNREADABLE`` (a spreadsheet
+    codec we do not have), ``IN_HISTORY``, ``REPEATED_IN_BATCH``.
+    """
+    typed = F.col("content_type") if "content_type" in hashed.columns else F.lit(K.ALLOWED_CONTENT_TYPES[0])
+    admitted = admission_verdict(F.col("filename"), typed, F.col("size_bytes"))
+    rule = (
+        F.when(F.coalesce("manager_id", F.lit("")) == "", "NO_MANAGER")
+        .when(admitted != "ACCEPTED", admitted)
+        .when(reader_for(extension("filename")) != "CSV", "UNREADABLE")
+        .otherwise("ACCEPTED")
+    )
+    columns = ["path", "filename", "stored_name", "manager_id", "size_bytes", "created_at", "file_hash", *(keep or [])]
+    listed = stored_names(hashed).select(*columns, rule.alias("rule"))
+    accepted = listed.where(F.col("rule") == "ACCEPTED")
+    firsts = first_by_hash(accepted, history, "path").select("path", "in_history")
+    return listed.join(firsts, "path", "left").select(
+        *columns,
+        F.when(F.col("rule") != "ACCEPTED", F.col("rule"))
+        .when(F.col("in_history"), "IN_HISTORY")
+        .when(~F.col("in_history"), "NEW")
+        .otherwise("REPEATED_IN_BATCH")
+        .alias("verdict"),
+    )
+
+
+def parsed_new_files(
+    hashed: DataFrame, fresh: DataFrame, extra_headers: dict[str, str] | None = None
+) -> DataFrame:
+    """Parsed rows of the files listed in ``fresh``.
+
+    Content never takes part in a join: CSV files are parsed where they were read, and the
+    rows of files not listed are dropped.
+    """
+    from musterline.sources.sheets import parse_sheets
+
+    csv_files = hashed.where(reader_for(extension("filename")) == "CSV")
+    rows = parse_sheets(csv_files, ["path", "file_hash"], extra_headers)
+    return rows.join(fresh.select("path"), "path", "left_semi")
+
+
 def import_new_rows(batch: DataFrame, roster: DataFrame, order: str = "row_no") -> DataFrame:
     """Batch rows whose ID is on nobody's roster; the first row per ID wins.
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from musterline import constants as K
+from musterline.functions import utc_now
 from musterline.operators import reconcile, reports
 from musterline.sources.sinks import write_documents, write_issue_workbook, write_partition, write_reports
 
@@ -42,7 +43,7 @@ def run_month(
     ``out`` must be storage that all executors share.  Running again with the same name
     replaces that run's outputs.
     """
-    clock = F.current_timestamp().cast("timestamp_ntz") if clock is None else clock
+    clock = utc_now() if clock is None else clock
     result = MonthlyResult(out, run)
 
     def publish(df: DataFrame, name: str) -> DataFrame:

@@ -4,157 +4,146 @@ Each function takes ``(spark, sf_dir)`` and returns a lazily read DataFrame with
 column names the operators expect.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+# --- fixed values: columns of the driver tables in use ------------------------------
+_SCHEMAS = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": (
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "events": (
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ),
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _text(c) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
-
-
-def _mail(prefix: str, key) -> Column:
-    return F.concat(F.lit(prefix), _text(key), F.lit("@example.com"))
+    """A declared schema saves the job that would read it from file footers."""
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _read(spark, sf_dir, "customer").select(
-        _text(key).alias("employee_id"),
-        F.col("c_name").alias("full_name"),
-        F.when(F.col("c_acctbal") < 0, F.lit(None))
-        .when(key % 17 == 0, F.lit(" "))
-        .otherwise(_mail("c", key))
-        .alias("company_email"),
-        F.when(key % 13 == 0, F.lit(None))
-        .when(key % 29 == 0, F.lit(""))
-        .otherwise(F.col("c_mktsegment"))
-        .alias("department"),
-        _text("c_nationkey").alias("manager_id"),
+    return _read(spark, sf_dir, "customer").selectExpr(
+        "cast(c_custkey as string) employee_id",
+        "c_name full_name",
+        """case when c_acctbal < 0 then null when c_custkey % 17 = 0 then ' '
+           else 'c' || c_custkey || '@example.com' end company_email""",
+        """case when c_custkey % 13 = 0 then null when c_custkey % 29 = 0 then ''
+           else c_mktsegment end department""",
+        "cast(c_nationkey as string) manager_id",
     )
 
 
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sheet rows; ``employee_id`` is still padded and repeated."""
-    order = F.col("o_orderkey")
-    orders = _read(spark, sf_dir, "orders").where(order % 5 == 0).select("o_orderkey", "o_custkey")
-    owners = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    listed = F.when(order % 50 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey"))
-    return orders.join(owners, orders.o_custkey == owners.c_custkey).select(
-        _text("c_nationkey").alias("manager_id"),
-        F.concat(
-            F.when(order % 7 == 0, " ").otherwise(""),
-            _text(listed),
-            F.when(order % 3 == 0, " ").otherwise(""),
-        ).alias("employee_id"),
+    orders = _read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").withColumnRenamed("o_custkey", "c_custkey")
+    return orders.join(_read(spark, sf_dir, "customer"), "c_custkey").selectExpr(
+        "cast(c_nationkey as string) manager_id",
+        """case when o_orderkey % 7 = 0 then ' ' else '' end
+           || cast(case when o_orderkey % 50 = 0 then c_custkey + 1000000 else c_custkey end as string)
+           || case when o_orderkey % 3 = 0 then ' ' else '' end employee_id""",
     )
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, supplier = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "supplier")
-    managers = nation.select(
-        _text("n_nationkey").alias("id"),
-        F.concat(F.lit("Manager "), _text("n_nationkey")).alias("name"),
-        _mail("user", "n_nationkey").alias("email"),
-        F.lit("MANAGER").alias("role"),
-        F.lit(None).cast("string").alias("manager_id"),
+    managers = _read(spark, sf_dir, "nation").selectExpr(
+        "cast(n_nationkey as string) id",
+        "'Manager ' || n_nationkey name",
+        "'user' || n_nationkey || '@example.com' email",
+        "'MANAGER' role",
+        "cast(null as string) manager_id",
     )
-    hr = supplier.select(
-        _text(F.col("s_suppkey") + 1000).alias("id"),
-        F.col("s_name").alias("name"),
-        _mail("hr", "s_suppkey").alias("email"),
-        F.lit("HR").alias("role"),
-        F.when(F.col("s_suppkey") % 11 != 0, _text("s_nationkey")).alias("manager_id"),
+    hr = _read(spark, sf_dir, "supplier").selectExpr(
+        "cast(1000 + s_suppkey as string) id",
+        "s_name name",
+        "'hr' || s_suppkey || '@example.com' email",
+        "'HR' role",
+        "case when s_suppkey % 11 <> 0 then cast(s_nationkey as string) end manager_id",
     )
     return managers.unionByName(hr)
 
 
 def upload_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    return _read(spark, sf_dir, "events").where(kind.isin("signup", "view", "error")).select(
-        F.col("event_id").alias("id"),
-        F.concat(F.lit("file_"), _text("event_id"), F.lit(".csv")).alias("filename"),
-        F.sha2(F.concat(kind, _text("user_id"), F.col("props")), 256).alias("file_hash"),
-        F.when(kind == "signup", "EMPLOYEE_DATA").otherwise("GETS_SHEET").alias("category"),
-        F.when(kind == "signup", "UPLOADED").when(kind == "view", "COMPLETED").otherwise("PROCESSING")
-        .alias("status"),
-        _mail("user", F.col("user_id") % 25).alias("uploaded_by"),
-        F.col("ts").alias("created_at"),
+    return _read(spark, sf_dir, "events").where("event_type in ('signup', 'view', 'error')").selectExpr(
+        "event_id id",
+        "'file_' || event_id || '.csv' filename",
+        "sha2(event_type || user_id || props, 256) file_hash",
+        "case when event_type = 'signup' then 'EMPLOYEE_DATA' else 'GETS_SHEET' end category",
+        """case event_type when 'signup' then 'UPLOADED' when 'view' then 'COMPLETED'
+           else 'PROCESSING' end status""",
+        "'user' || (user_id % 25) || '@example.com' uploaded_by",
+        "ts created_at",
     )
 
 
 def report_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owner = F.col("user_id") % 25
-    taken = F.col("event_id") % 3 != 0
-    return _read(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("id"),
-        _text(owner).alias("manager_id"),
-        _mail("user", owner).alias("manager_email"),
-        F.concat(F.lit("report_"), _text("event_id"), F.lit(".txt")).alias("filename"),
-        F.col("ts").alias("generated_at"),
-        F.when(taken, _mail("user", owner)).alias("downloaded_by"),
-        F.when(taken, F.col("ts") + F.expr("interval 1 hour")).alias("downloaded_at"),
+    return _read(spark, sf_dir, "events").where("event_type = 'purchase'").selectExpr(
+        "event_id id",
+        "cast(user_id % 25 as string) manager_id",
+        "'user' || (user_id % 25) || '@example.com' manager_email",
+        "'report_' || event_id || '.txt' filename",
+        "ts generated_at",
+        "case when event_id % 3 <> 0 then 'user' || (user_id % 25) || '@example.com' end downloaded_by",
+        "case when event_id % 3 <> 0 then ts + interval 1 hour end downloaded_at",
     )
 
 
 def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    return _read(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"),
-        _mail("user", F.col("user_id") % 25).alias("user_email"),
-        F.when(kind == "click", "RUN_COMPARISON").otherwise(F.upper(kind)).alias("action"),
-        F.col("props").alias("details"),
-        F.col("ts").alias("created_at"),
+    return _read(spark, sf_dir, "events").selectExpr(
+        "event_id id",
+        "'user' || (user_id % 25) || '@example.com' user_email",
+        "case event_type when 'click' then 'RUN_COMPARISON' else upper(event_type) end action",
+        "props details",
+        "ts created_at",
     )
 
 
 def user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cust, state = F.col("o_custkey"), F.col("o_orderstatus")
-    return _read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.when(cust % 20 == 0, _mail("hr", cust % 10)).otherwise(_mail("c", cust)).alias("email"),
-        F.when(F.col("o_orderkey") % 2 == 0, "HR").otherwise("MANAGER").alias("requested_role"),
-        F.when(state == "P", "PENDING").when(state == "F", "APPROVED").otherwise("REJECTED").alias("status"),
-        F.col("o_orderdate").alias("created_at"),
+    return _read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey id",
+        """case when o_custkey % 20 = 0 then 'hr' || (o_custkey % 10) || '@example.com'
+           else 'c' || o_custkey || '@example.com' end email""",
+        "case when o_orderkey % 2 = 0 then 'HR' else 'MANAGER' end requested_role",
+        "case o_orderstatus when 'P' then 'PENDING' when 'F' then 'APPROVED' else 'REJECTED' end status",
+        "o_orderdate created_at",
     )
 
 
 def request_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.col("o_orderkey")
-    return _read(spark, sf_dir, "orders").where(order % 10 == 0).select(
-        F.when(order % 70 == 0, -1 - order).otherwise(order).alias("request_id"),
-        F.when(order % 3 == 0, "REJECT").otherwise("APPROVE").alias("decision"),
+    return _read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").selectExpr(
+        "case when o_orderkey % 70 = 0 then -1 - o_orderkey else o_orderkey end request_id",
+        "case when o_orderkey % 3 = 0 then 'REJECT' else 'APPROVE' end decision",
     )
 
 
 def incoming_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order, cust = F.col("o_orderkey"), F.col("o_custkey")
-    return _read(spark, sf_dir, "orders").where(order % 11 == 0).select(
-        order.alias("row_no"),
-        _text(F.when(order % 4 == 0, cust + 2000000).otherwise(cust)).alias("employee_id"),
-        F.concat(F.lit("Name "), _text(cust)).alias("full_name"),
-        _text(order % 25).alias("manager_id"),
+    return _read(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").selectExpr(
+        "o_orderkey row_no",
+        "cast(case when o_orderkey % 4 = 0 then o_custkey + 2000000 else o_custkey end as string) employee_id",
+        "'Name ' || o_custkey full_name",
+        "cast(o_orderkey % 25 as string) manager_id",
     )
 
 
 def hr_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    return _read(spark, sf_dir, "supplier").select(
-        key.alias("seq"),
-        F.when(key % 9 == 0, "0").otherwise(_text(key + 1000)).alias("hr_id"),
-        _text(key % 30).alias("manager_id"),
+    return _read(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey seq",
+        "case when s_suppkey % 9 = 0 then '0' else cast(1000 + s_suppkey as string) end hr_id",
+        "cast(s_suppkey % 30 as string) manager_id",
     )
 
 
 def report_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = F.col("event_id")
-    return _read(spark, sf_dir, "events").where(F.col("event_type") == "click").select(
-        event.alias("seq"),
-        (event - event % 4).alias("report_id"),
-        _mail("user", F.col("user_id") % 25).alias("downloaded_by"),
-        F.col("ts").alias("downloaded_at"),
+    return _read(spark, sf_dir, "events").where("event_type = 'click'").selectExpr(
+        "event_id seq",
+        "event_id - event_id % 4 report_id",
+        "'user' || (user_id % 25) || '@example.com' downloaded_by",
+        "ts downloaded_at",
     )
 
 
@@ -172,28 +161,24 @@ def user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header rows of the incoming files, one row per header, spelt differently per file."""
-    doc = F.col("doc_id")
-    spelt = F.array(
-        F.when(doc % 3 == 0, " Emp ID ").when(doc % 3 == 1, "EMPLOYEE ID").otherwise("associate id\t"),
-        F.when(doc % 2 == 0, "NAME").otherwise("Employee Name"),
-        F.when(doc % 5 == 0, "Email").otherwise(" Company Email"),
-        F.lit("Department"),
-        F.initcap(F.col("source")),
+    return _read(spark, sf_dir, "documents").selectExpr(
+        "doc_id",
+        r"""posexplode(array(
+             case doc_id % 3 when 0 then ' Emp ID ' when 1 then 'EMPLOYEE ID' else 'associate id\t' end,
+             case when doc_id % 2 = 0 then 'NAME' else 'Employee Name' end,
+             case when doc_id % 5 = 0 then 'Email' else ' Company Email' end,
+             'Department',
+             initcap(source))) as (pos, header)""",
     )
-    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(spelt).alias("pos", "header"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = F.col("doc_id")
-    return _read(spark, sf_dir, "documents").select(
-        doc,
-        F.concat(
-            F.col("source"), F.lit("/"), F.col("lang"), F.lit(" "), _text(doc),
-            F.when(doc % 7 == 0, ".CSV").when(doc % 7 == 1, ".xlsx").when(doc % 7 == 2, ".xls")
-            .when(doc % 7 == 3, ".pdf").when(doc % 7 == 4, ".jpeg").when(doc % 7 == 5, "")
-            .otherwise(".csv"),
-        ).alias("filename"),
-        F.when(doc % 9 == 0, "text/plain").otherwise("text/csv").alias("content_type"),
-        F.col("n_chars").alias("size_bytes"),
-        F.col("text").alias("content"),
+    return _read(spark, sf_dir, "documents").selectExpr(
+        "doc_id",
+        """source || '/' || lang || ' ' || doc_id
+           || case doc_id % 7 when 0 then '.CSV' when 1 then '.xlsx' when 2 then '.xls' when 3 then '.pdf'
+              when 4 then '.jpeg' when 5 then '' else '.csv' end filename""",
+        "case when doc_id % 9 = 0 then 'text/plain' else 'text/csv' end content_type",
+        "n_chars size_bytes",
+        "text content",
     )

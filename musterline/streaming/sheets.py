@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from musterline import constants as K
-from musterline.functions import content_hash, extension, reader_for, sanitized
-from musterline.operators import ingest, reconcile, reports
+from musterline.functions import content_hash, utc_now
+from musterline.operators import ingest, reconcile, records, reports
 from musterline.sources.inventory import FILE_SCHEMA, as_inventory
-from musterline.sources.sheets import parse_sheets
 from musterline.sources.sinks import write_partition, write_reports
 
 _INVENTORY = (
@@ -67,16 +66,16 @@ def sheet_stream(
 
 def process_batch(files: DataFrame, batch_id: int, job: SheetJob, clock: Column | None = None) -> None:
     spark = files.sparkSession
-    clock = F.current_timestamp().cast("timestamp_ntz") if clock is None else clock
+    clock = utc_now() if clock is None else clock
 
     def publish(df: DataFrame, name: str) -> DataFrame:
         return spark.read.parquet(write_partition(df, job.table(name), batch_id=batch_id))
 
     hashed = files.withColumn("file_hash", content_hash("content"))
-    inventory = publish(_admitted(hashed, _history(spark, job, batch_id)), "inventory")
+    inventory = publish(ingest.take_in(hashed, _history(spark, job, batch_id)), "inventory")
     fresh = inventory.where(F.col("verdict") == "NEW")
 
-    rows = publish(_sheet_rows(hashed, fresh, job), "sheet_rows")
+    rows = publish(ingest.parsed_new_files(hashed, fresh, job.extra_headers), "sheet_rows")
     problems = rows.where(F.col("problem").isNotNull()).select("file_hash", "problem")
     sheets = fresh.join(problems, "file_hash", "left_anti")
     readable = rows.where(F.col("problem").isNull())
@@ -103,23 +102,13 @@ def process_batch(files: DataFrame, batch_id: int, job: SheetJob, clock: Column
 
     mail = users.where(F.col("role") == K.ROLE_MANAGER).select(F.col("id").alias("manager_id"), "email")
     owned = summary.join(mail, "manager_id", "left")
-    publish(
-        owned.select(
-            "file_hash", "manager_id", F.col("email").alias("manager_email"), report.alias("filename"),
-            F.concat(F.lit(f"reports/batch_id={batch_id}/file_hash="), F.col("file_hash")).alias("report_path"),
-            clock.alias("generated_at"),
-        ),
-        "report_history",
-    )
+    email = F.coalesce("email", F.lit(""))
+    where = F.concat(F.lit(f"reports/batch_id={batch_id}/file_hash="), F.col("file_hash"))
+    publish(records.report_rows(owned, F.col("manager_id"), email, report, where, clock), "report_history")
     publish(reports.notifications(summary, users, report), "notifications")
     publish(_status_events(inventory, sheets, problems, clock), "status_events")
-    publish(
-        owned.select(
-            F.coalesce("email", "manager_id").alias("user_email"), F.lit(K.ACTION_SHEET_DONE).alias("action"),
-            report.alias("details"), clock.alias("created_at"),
-        ),
-        "audit_logs",
-    )
+    who = F.coalesce("email", "manager_id")
+    publish(records.audit_rows(owned, who, K.ACTION_SHEET_DONE, report, clock), "audit_logs")
 
 
 def _history(spark: SparkSession, job: SheetJob, batch_id: int) -> DataFrame:
@@ -128,39 +117,6 @@ def _history(spark: SparkSession, job: SheetJob, batch_id: int) -> DataFrame:
     return earlier.where((F.col("batch_id") < batch_id) & (F.col("verdict") == "NEW")).select("file_hash")
 
 
-def _admitted(hashed: DataFrame, history: DataFrame) -> DataFrame:
-    """The batch's inventory with a verdict; only ``NEW`` files are processed."""
-    ext = extension("filename")
-    rule = (
-        F.when(F.col("manager_id") == "", "NO_MANAGER")
-        .when(~ext.isin(*K.ALLOWED_EXTENSIONS), "BAD_EXTENSION")
-        .when(reader_for(ext) != "CSV", "UNREADABLE")
-        .otherwise("ADMITTED")
-    )
-    listed = hashed.select(
-        "path", "filename", sanitized("filename").alias("stored_name"), "manager_id", "size_bytes",
-        "created_at", "file_hash", rule.alias("rule"),
-    )
-    admitted = listed.where(F.col("rule") == "ADMITTED")
-    firsts = ingest.first_by_hash(admitted, history, "path").select("path", "in_history")
-    return listed.join(firsts, "path", "left").select(
-        *[c for c in listed.columns if c != "rule"],
-        F.when(F.col("rule") != "ADMITTED", F.col("rule"))
-        .when(F.col("in_history"), "IN_HISTORY")
-        .when(~F.col("in_history"), "NEW")
-        .otherwise("REPEATED_IN_BATCH")
-        .alias("verdict"),
-    )
-
-
-def _sheet_rows(hashed: DataFrame, fresh: DataFrame, job: SheetJob) -> DataFrame:
-    """Parsed rows of the new files.  Content never takes part in a join: CSV files are
-    parsed where they were read, and the rows of files not accepted are dropped."""
-    csv_files = hashed.where(reader_for(extension("filename")) == "CSV")
-    rows = parse_sheets(csv_files, ["path", "file_hash"], job.extra_headers)
-    return rows.join(fresh.select("path"), "path", "left_semi")
-
-
 def _summaries(sheets: DataFrame, present: DataFrame) -> DataFrame:
     """One row per sheet, also where neither sheet nor roster has any rows."""
     counts = reconcile.summarise_presence(present, by="file_hash").select("file_hash", *_COUNTS)

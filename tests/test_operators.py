@@ -190,6 +190,13 @@ def test_page_filters_and_info(people):
     assert explore.roster_page_info(people.limit(0)).first().total_pages == 0
 
 
+def test_my_page_is_scoped(people):
+    def size(*who):
+        return explore.my_roster_page(people, *who, limit=50).count()
+
+    assert [size("MANAGER", "m"), size("MANAGER", "x"), size("HR", "h", "m"), size("HR", "h"), size("MASTER_ADMIN", "a")] == [25, 0, 25, 0, 25]
+
+
 @pytest.mark.parametrize("page,limit", [(0, 10), (1, 0), (-1, 5)])
 def test_bad_pages_are_refused(people, page, limit):
     with pytest.raises(ValueError):

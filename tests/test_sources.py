@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from musterline.operators import ingest, reconcile, reports
 from musterline.plans.monthly import run_month
+from musterline.plans.roster_upload import import_roster_files
 from musterline.sources import inventory, sheets, sinks, tables
 
 
@@ -185,3 +186,34 @@ def test_long_report_is_written_by_several_tasks_in_order(spark, tmp_path):
     start = text.index("== Matched IDs")
     assert text[start + 1 : start + 1 + n] == [f"{i:06d}" for i in range(n)]
     assert text[1] == "Manager: hot" and text[-1] == "== End of report"
+
+
+def test_roster_files_are_imported_and_recorded(spark, tmp_path):
+    inbox, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    write(f"{inbox}/a.csv", "Employee ID,Employee Name,Department\n 1,Ann,Ops\n2,Bob,\n2,Bo,Dev\n,Nil,\n")
+    write(f"{inbox}/b.csv", "Name,Emp ID,Email\nBobby,2,b@x\nCat,3,c@x\nOld,9,\n")
+    write(f"{inbox}/copy.csv", "Employee ID,Employee Name,Department\n 1,Ann,Ops\n2,Bob,\n2,Bo,Dev\n,Nil,\n")
+    write(f"{inbox}/bad.csv", "Badge\n1\n")
+    write(f"{inbox}/seen.csv", "Employee ID\n77\n")
+    write(f"{inbox}/plan.pdf", "x")
+    os.utime(f"{inbox}/b.csv", (1e9, 1e9))
+    os.utime(f"{inbox}/a.csv", (1e9 + 1, 1e9 + 1))
+    owner = F.when(F.col("filename") == "b.csv", "m2").otherwise("m1")
+    files = inventory.read_files(spark, inbox).withColumns({"manager_id": owner, "uploaded_by": F.concat(owner, F.lit("@x"))})
+    roster = spark.createDataFrame([("9",)], "employee_id string")
+    history = spark.createDataFrame([(hashlib.sha256(b"Employee ID\n77\n").hexdigest(),)], "file_hash string")
+    clock = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
+    for _ in range(2):
+        counts = import_roster_files(spark, files, roster, history, out, "1", clock)
+    assert {tuple(r) for r in counts.collect()} == {("m1", 1, 2, 1), ("m2", 2, 1, 0)}
+    new = {(r.employee_id, r.full_name, r.company_email, r.manager_id) for r in spark.read.parquet(f"{out}/roster_rows").collect()}
+    assert new == {("1", "Ann", None, "m1"), ("2", "Bobby", "b@x", "m2"), ("3", "Cat", "c@x", "m2")}
+    verdicts = {r.filename: r.verdict for r in spark.read.parquet(f"{out}/inventory").collect()}
+    assert verdicts == {
+        "a.csv": "NEW", "b.csv": "NEW", "copy.csv": "REPEATED_IN_BATCH", "bad.csv": "NEW", "seen.csv": "IN_HISTORY",
+        "plan.pdf": "BAD_EXTENSION",
+    }
+    uploads = spark.read.parquet(f"{out}/upload_history")
+    assert {(r.filename, r.status, r.uploaded_by) for r in uploads.collect()} == {
+        ("a.csv", "UPLOADED", "m1@x"), ("b.csv", "UPLOADED", "m2@x"), ("bad.csv", "FAILED", "m1@x")
+    }
