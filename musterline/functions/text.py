@@ -1,5 +1,6 @@
 """Text expressions: stripping, blank tests, header names, substring search."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -47,10 +48,12 @@ def normal_header(c) -> Column:
 def contains_any(columns, text: str, literal: bool = False) -> Column:
     """True where any column contains ``text``, ignoring case.
 
-    ``%`` and ``_`` in ``text`` act as wildcards unless ``literal`` is set.
+    ``%`` and ``_`` in ``text`` act as wildcards unless ``literal`` is set.  A backslash in
+    front of anything but a wildcard or a backslash means that character itself.
     """
     if literal:
-        for special in ("\\", "%", "_"):
-            text = text.replace(special, "\\" + special)
+        text = re.sub(r"([\\%_])", r"\\\1", text)
+    else:
+        text = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], text, flags=re.DOTALL)
     pattern = f"%{text}%"
     return reduce(lambda a, b: a | b, [F.coalesce(_col(c).ilike(pattern), F.lit(False)) for c in columns])

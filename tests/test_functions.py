@@ -90,6 +90,14 @@ def test_search_pattern_wildcards_stay_live_unless_literal(spark):
     assert column(spark, values, fn.contains_any(["x"], "%", literal=True)) == [False, False, False, True, False]
 
 
+def test_search_with_backslashes(spark):
+    values = ["a\\b", "ab", "a%b", "axb"]
+    assert column(spark, values, fn.contains_any(["x"], "a\\b")) == [False, True, False, False]
+    assert column(spark, values, fn.contains_any(["x"], "a\\%b")) == [False, False, True, False]
+    assert column(spark, values, fn.contains_any(["x"], "a\\\\b")) == [True, False, False, False]
+    assert column(spark, values, fn.contains_any(["x"], "a\\b", literal=True)) == [True, False, False, False]
+
+
 def test_timestamp_suffix(spark):
     clock = F.lit("2024-03-04 05:06:07").cast("timestamp_ntz")
     assert spark.range(1).select(fn.timestamp_suffix(clock)).first()[0] == "20240304_050607"
