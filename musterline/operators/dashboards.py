@@ -164,7 +164,7 @@ def manager_dashboard(
 def hr_dashboard(
     users: DataFrame, roster: DataFrame, uploads: DataFrame, reports: DataFrame, k: int = K.RECENT_PER_OWNER
 ) -> DataFrame:
-    """One row per HR user with the figures of their manager; nulls where none is assigned.
+    """One row per HR user with the figures of their manager; zeros where none is assigned.
 
     ``recent_reports`` lists the manager's last ``k`` report names, newest first: k names at
     most, put together after the per-owner cut.
@@ -183,8 +183,8 @@ def hr_dashboard(
             F.col("id").alias("manager_id"),
             F.col("name").alias("manager_name"),
             F.col("email").alias("manager_email"),
-            *_zero("headcount", "roster_uploads", "sheet_uploads"),
-            F.coalesce(F.array_join("_recent.filename", ","), F.lit("")).alias("recent_reports"),
+            "headcount", "roster_uploads", "sheet_uploads",
+            F.array_join("_recent.filename", ",").alias("recent_reports"),
         )
     )
     hr = users.where(F.col("role") == K.ROLE_HR).select(
@@ -192,7 +192,8 @@ def hr_dashboard(
     )
     return hr.join(managers, "manager_id", "left").select(
         "hr_id", "hr_name", "hr_email", "manager_id", "manager_name", "manager_email",
-        "headcount", "roster_uploads", "sheet_uploads", "recent_reports",
+        *_zero("headcount", "roster_uploads", "sheet_uploads"),
+        F.coalesce("recent_reports", F.lit("")).alias("recent_reports"),
     )
 
 

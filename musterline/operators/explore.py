@@ -71,19 +71,24 @@ def my_roster_page(
 
 def roster_page_after(
     roster: DataFrame,
-    last_id: str | None,
+    last: str | None,
     limit: int = K.PAGE_SIZE,
     search: str = "",
     department: str = "",
     literal: bool = False,
+    key: str = "employee_id",
 ) -> DataFrame:
-    """The next page in ID order after ``last_id``: its cost does not grow with depth."""
+    """The next page in ``key`` order after ``last``: its cost does not grow with depth.
+
+    ``key`` has to be unique, and rows without it are on no page: where some roster rows
+    have no employee ID yet, walk by ``id``.
+    """
     _checked(1, limit)
-    rows = filter_roster(roster, search, department, literal)
-    if last_id is not None:
-        rows = rows.where(F.col("employee_id") > last_id)
-    columns = [c for c in PAGE_COLUMNS if c in roster.columns]
-    return rows.select(*columns).orderBy("employee_id").limit(limit)
+    rows = filter_roster(roster, search, department, literal).where(F.col(key).isNotNull())
+    if last is not None:
+        rows = rows.where(F.col(key) > last)
+    columns = dict.fromkeys([key, *(c for c in PAGE_COLUMNS if c in roster.columns)])
+    return rows.select(*columns).orderBy(key).limit(limit)
 
 
 def roster_page_info(

@@ -8,6 +8,7 @@ from musterline import constants as K
 from musterline.operators import access, changes, dashboards, explore, ingest, reconcile, reports
 from musterline.plans import standins as V
 from musterline.sources.sheets import preview
+from musterline.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +115,11 @@ def issues(s, d):
     return reconcile.issues(_pairs(s, d)).orderBy("issue_order", "manager_id", "employee_id").drop("issue_order")
 
 
+@_query
+def leave_mismatches(s, d):
+    return reconcile.leave_mismatches(V.roster_with_leave(s, d), V.sheet_with_leave(s, d))
+
+
 @_query
 def issue_summary(s, d):
     return reconcile.issue_counts(reconcile.issues(_pairs(s, d))).select("issue_type", "issue_count")
@@ -166,6 +172,16 @@ def hr_dashboard(s, d):
     return dashboards.hr_dashboard(V.users(s, d), V.roster(s, d), V.upload_history(s, d), V.report_history(s, d))
 
 
+@_query
+def uploads_by_owner(s, d):
+    return live.live_upload_counts(V.upload_history(s, d))
+
+
+@_query
+def actions_by_user(s, d):
+    return live.live_action_counts(V.audit_logs(s, d))
+
+
 @_query
 def recent_uploads(s, d):
     return dashboards.recent_uploads(V.upload_history(s, d))
@@ -373,3 +389,22 @@ def report_lines(s, d):
 @_query
 def notifications(s, d):
     return reports.notifications(_summary(s, d), V.users(s, d), reports.report_name(F.col("manager_id"), _clock()))
+
+
+@_query
+def result_documents(s, d):
+    """The nested documents with their lists written out as text."""
+    roster, sheet = V.roster(s, d), V.sheet(s, d)
+    documents = reports.result_documents(
+        reconcile.summarise(roster, sheet),
+        reconcile.department_headcount_by_owner(roster),
+        reconcile.reconcile(roster, sheet),
+        reconcile.without_email(roster),
+    )
+    lists = ("recommendations", "matched_ids", "missing_ids", "unknown_ids", "without_email")
+    departments = F.transform("department_summary", lambda x: F.concat(x["department"], F.lit(":"), x["employees"].cast("string")))
+    return documents.select(
+        "manager_id", "part", "parts", "summary.compliance_score",
+        F.array_join(departments, ",").alias("department_summary"),
+        *[F.array_join(c, ",").alias(c) for c in lists],
+    )

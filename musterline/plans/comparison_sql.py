@@ -16,6 +16,17 @@ select cast(c_nationkey as varchar) manager_id,
  case when o_orderkey % 7 = 0 then ' ' else '' end
  || cast(case when o_orderkey % 50 = 0 then o_custkey + 1000000 else o_custkey end as varchar)
  || case when o_orderkey % 3 = 0 then ' ' else '' end employee_id
+from orders join customer on o_custkey = c_custkey where o_orderkey % 5 = 0""",
+    "roster_with_leave": """
+select cast(c_nationkey as varchar) manager_id, cast(c_custkey as varchar) employee_id,
+ cast(c_custkey % 4 as varchar) customer_leave,
+ case when c_custkey % 6 <> 0 then cast(c_custkey % 3 as varchar) end internal_leave
+from customer""",
+    "sheet_with_leave": """
+select cast(c_nationkey as varchar) manager_id, cast(c_custkey as varchar) employee_id,
+ case when o_orderkey % 35 = 0 then null else cast(c_custkey % 4 as varchar) end customer_leave,
+ case when o_orderkey % 55 = 0 then '9'
+      when c_custkey % 6 <> 0 then cast(c_custkey % 3 as varchar) end internal_leave
 from orders join customer on o_custkey = c_custkey where o_orderkey % 5 = 0""",
     "users": """
 select cast(n_nationkey as varchar) id, 'Manager ' || n_nationkey as name,
@@ -296,6 +307,10 @@ from summary"""),
         "issues": _with("pairs", """
 select case status when 'MISSING' then 'MISSING_IN_GETS' else 'UNKNOWN_EMPLOYEE' end issue_type, manager_id, employee_id
 from pairs where status <> 'MATCHED'"""),
+        "leave_mismatches": _with("roster_with_leave sheet_with_leave", """
+select distinct r.manager_id, r.employee_id
+from roster_with_leave r join sheet_with_leave s on s.manager_id = r.manager_id and s.employee_id = r.employee_id
+where r.customer_leave is distinct from s.customer_leave or r.internal_leave is distinct from s.internal_leave"""),
         "issue_summary": _with("pairs", """
 select case status when 'MISSING' then 'MISSING_IN_GETS' else 'UNKNOWN_EMPLOYEE' end issue_type, count(*) issue_count
 from pairs where status <> 'MATCHED' group by 1"""),
@@ -347,15 +362,17 @@ left join (select downloaded_by, filename, row_number() over (partition by downl
  from report_history where downloaded_by is not null and downloaded_at is not null) l on l.downloaded_by = m.email and l.nth = 1"""),
         "hr_dashboard": _with("managers users headcounts upload_counts ranked_reports", """
 select h.id hr_id, h.name hr_name, h.email hr_email, h.manager_id, m.name manager_name, m.email manager_email,
- case when m.id is not null then coalesce(c.headcount, 0) end headcount,
- case when m.id is not null then coalesce(u.roster_uploads, 0) end roster_uploads,
- case when m.id is not null then coalesce(u.sheet_uploads, 0) end sheet_uploads,
- case when m.id is not null then coalesce(r.names, '') end recent_reports
+ coalesce(c.headcount, 0) headcount, coalesce(u.roster_uploads, 0) roster_uploads,
+ coalesce(u.sheet_uploads, 0) sheet_uploads, coalesce(r.names, '') recent_reports
 from users h left join managers m on m.id = h.manager_id left join headcounts c on c.id = m.id
 left join upload_counts u on u.email = m.email
 left join (select downloaded_by, string_agg(filename, ',' order by position) as names
  from ranked_reports where position <= 10 group by 1) r on r.downloaded_by = m.email
 where h.role = 'HR'"""),
+        "uploads_by_owner": _with("upload_history", """
+select uploaded_by, category, count(*) uploads from upload_history group by 1, 2"""),
+        "actions_by_user": _with("audit_logs", """
+select user_email, action, count(*) actions from audit_logs group by 1, 2"""),
         "recent_uploads": _with("upload_history", """
 select filename, category, uploaded_by, created_at uploaded_at from upload_history order by created_at desc, id desc limit 5"""),
         "recent_uploads_per_manager": _with("upload_history", """
@@ -482,5 +499,15 @@ select m.email receiver, 'Your compliance report: risk ' || risk_level subject,
   'Missing: ' || missing, 'Unknown: ' || unknown, 'Without e-mail: ' || missing_email,
   concat_ws(chr(10), {_ADVICE}), 'Report: report_' || manager_id || '_20240201_000000.txt') body
 from summary s join managers m on m.id = s.manager_id"""),
+        "result_documents": _with("summary departments pairs no_email", """
+select s.manager_id, cast(0 as bigint) part, cast(1 as bigint) parts, s.compliance_score,
+ (select string_agg(department || ':' || headcount, ',' order by headcount desc, department) from departments d where d.manager_id = s.manager_id) department_summary,
+ coalesce(nullif(concat_ws(',', case when missing > 0 then 'REVIEW_MISSING' end, case when unknown > 0 then 'VERIFY_UNKNOWN' end,
+  case when missing_email > 0 then 'FIX_EMAIL' end), ''), 'NO_ISSUES') recommendations,
+ coalesce((select string_agg(employee_id, ',' order by employee_id) from pairs p where p.manager_id = s.manager_id and status = 'MATCHED'), '') matched_ids,
+ coalesce((select string_agg(employee_id, ',' order by employee_id) from pairs p where p.manager_id = s.manager_id and status = 'MISSING'), '') missing_ids,
+ coalesce((select string_agg(employee_id, ',' order by employee_id) from pairs p where p.manager_id = s.manager_id and status = 'UNKNOWN'), '') unknown_ids,
+ coalesce((select string_agg(employee_id, ',' order by employee_id) from no_email n where n.manager_id = s.manager_id), '') without_email
+from summary s"""),
     }
     return sql

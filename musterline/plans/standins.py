@@ -50,6 +50,28 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def roster_with_leave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roster with the two leave figures, some of them absent."""
+    return _read(spark, sf_dir, "customer").selectExpr(
+        "cast(c_nationkey as string) manager_id",
+        "cast(c_custkey as string) employee_id",
+        "cast(c_custkey % 4 as string) customer_leave",
+        "case when c_custkey % 6 <> 0 then cast(c_custkey % 3 as string) end internal_leave",
+    )
+
+
+def sheet_with_leave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheet rows repeating the roster's figures, but for some orders."""
+    orders = _read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").withColumnRenamed("o_custkey", "c_custkey")
+    return orders.join(_read(spark, sf_dir, "customer"), "c_custkey").selectExpr(
+        "cast(c_nationkey as string) manager_id",
+        "case when o_orderkey % 3 = 0 then ' ' else '' end || cast(c_custkey as string) employee_id",
+        """case when o_orderkey % 35 = 0 then null else cast(c_custkey % 4 as string) end customer_leave""",
+        """case when o_orderkey % 55 = 0 then '9'
+           when c_custkey % 6 <> 0 then cast(c_custkey % 3 as string) end internal_leave""",
+    )
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     managers = _read(spark, sf_dir, "nation").selectExpr(
         "cast(n_nationkey as string) id",

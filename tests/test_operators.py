@@ -182,6 +182,18 @@ def test_keyset_pages_equal_offset_pages(people):
     assert seen == sorted(seen) and len(seen) == 25
 
 
+def test_keyset_walk_by_row_key_reaches_rows_without_an_employee_id(spark):
+    rows = spark.createDataFrame(
+        [(f"k{i}", None if i % 2 else f"e{i}") for i in range(9)], "id string, employee_id string"
+    )
+    last, seen = None, []
+    while page := [r.id for r in explore.roster_page_after(rows, last, 4, key="id").collect()]:
+        seen += page
+        last = page[-1]
+    assert seen == [f"k{i}" for i in range(9)]
+    assert ids(explore.roster_page_after(rows, None, 9)) == ["e0", "e2", "e4", "e6", "e8"]
+
+
 def test_page_filters_and_info(people):
     found = explore.roster_page(people, 1, 50, search="NAME 1", department="Ops")
     assert ids(found) == ["e01", "e10", "e13", "e16", "e19"]
@@ -220,6 +232,7 @@ def test_latest_report_ignores_never_downloaded_rows(spark, users):
     assert (rows["m2"].reports_generated, rows["m2"].latest_report, rows["m2"].total_uploads) == (0, "r4", 0)
     hr = {r.hr_id: r for r in dashboards.hr_dashboard(users, roster, uploads, reports).collect()}
     assert hr["h1"].recent_reports == "r1,r2" and hr["h2"].manager_id is None
+    assert (hr["h2"].headcount, hr["h2"].recent_reports) == (0, "")
 
 
 def test_weekday_trend_flags_failed_sheets(spark):
