@@ -202,7 +202,7 @@ def weekday_trend(uploads: DataFrame) -> DataFrame:
     status = F.col("status")
     return (
         uploads.where(F.col("category") == K.SHEET_FILE)
-        .groupBy(F.date_format("created_at", "E").alias("weekday"))
+        .groupBy(F.date_format(F.col("created_at").cast("date"), "E").alias("weekday"))
         .agg(
             F.count_if(status == K.STATUS_COMPLETED).alias("verified"),
             F.count_if(status == K.STATUS_PROCESSING).alias("pending"),
@@ -222,7 +222,7 @@ def audit_trail(audit: DataFrame) -> DataFrame:
 
 def audit_daily(audit: DataFrame) -> DataFrame:
     return (
-        audit.groupBy(F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("day"), "action")
+        audit.groupBy(F.col("created_at").cast("date").cast("timestamp_ntz").alias("day"), "action")
         .agg(F.count("*").alias("actions"))
     )
 

@@ -1,6 +1,6 @@
 """Stored files as rows: ``path``, ``filename``, ``size_bytes``, ``content``."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from musterline import constants as K
 from musterline.functions import content_hash, extension, file_type, reader_for, sanitized
@@ -10,15 +10,21 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 def as_inventory(binary_files: DataFrame) -> DataFrame:
     """Columns of a ``binaryFile`` scan under our names; times become zone-less UTC."""
+    modified = F.col("modificationTime").cast("timestamp_ntz")
     return binary_files.select(
         "path",
         F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
         F.col("length").alias("size_bytes"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("created_at"),
+        F.convert_timezone(F.current_timezone(), F.lit("UTC"), modified).alias("created_at"),
         "content",
     )
 
 
+def owner_in_path() -> Column:
+    """The manager a file belongs to, from a ``manager_id=<id>`` folder; empty without one."""
+    return F.regexp_extract("path", r"/manager_id=([^/]+)/", 1)
+
+
 def read_files(spark: SparkSession, path: str, max_bytes: int = K.MAX_UPLOAD_BYTES) -> DataFrame:
     """Files up to ``max_bytes``; larger ones are skipped by their length, unread.
 

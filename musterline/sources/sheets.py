@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from musterline import constants as K
+from musterline.functions import extension
+from musterline.sources.inventory import owner_in_path, read_files
 
 # A quoted cell may be as long as the file it is in.
 csv.field_size_limit(K.MAX_UPLOAD_BYTES)
@@ -97,6 +99,18 @@ def _sheet_chunks(
         yield pd.DataFrame(block, columns=["row_no", *columns, "problem"], dtype=object)
 
 
+def read_sheets(
+    spark: SparkSession, folder: str, extra: dict[str, str] | None = None, max_bytes: int = K.MAX_UPLOAD_BYTES
+) -> DataFrame:
+    """All CSV sheets below ``<folder>/manager_id=<id>/``, each under its own header.
+
+    Rows as from :func:`parse_sheets`, with ``path`` and ``manager_id``; look at ``problem``
+    before using them.
+    """
+    files = read_files(spark, folder, max_bytes).withColumn("manager_id", owner_in_path())
+    return parse_sheets(files.where(extension("filename") == ".csv"), ["path", "manager_id"], extra)
+
+
 def preview(rows: DataFrame, sheet: str, order: str, k: int = K.PREVIEW_ROWS) -> DataFrame:
     """The first ``k`` rows of every sheet; tasks hand on at most ``k`` rows per sheet."""
     from musterline.operators.ranking import top_per_group

@@ -35,7 +35,10 @@ def live_action_counts(audit: DataFrame) -> DataFrame:
 
 
 def daily_activity(audit: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Actions per calendar day in event time; rows later than ``lateness`` are dropped."""
+    """Actions per calendar day in event time; rows later than ``lateness`` are dropped.
+
+    Watermarks need zoned times and days start at midnight UTC, so the session has to be in UTC.
+    """
     timed = audit.select(F.col("created_at").cast("timestamp").alias("at"), "action")
     return (
         timed.withWatermark("at", lateness)

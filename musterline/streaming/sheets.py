@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from musterline import constants as K
 from musterline.functions import content_hash, utc_now
 from musterline.operators import ingest, reconcile, records, reports
-from musterline.sources.inventory import FILE_SCHEMA, as_inventory
+from musterline.sources.inventory import FILE_SCHEMA, as_inventory, owner_in_path
 from musterline.sources.sinks import write_partition, write_reports
 
 _INVENTORY = (
@@ -49,8 +49,7 @@ def arriving_files(
         .option("maxFilesPerTrigger", files_per_batch)
         .load(inbox)
     )
-    owner = F.regexp_extract("path", r"/manager_id=([^/]+)/", 1)
-    return as_inventory(scan.where(F.col("length") <= max_bytes)).withColumn("manager_id", owner)
+    return as_inventory(scan.where(F.col("length") <= max_bytes)).withColumn("manager_id", owner_in_path())
 
 
 def sheet_stream(

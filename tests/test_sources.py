@@ -55,6 +55,27 @@ def test_mixed_headers_are_parsed_file_by_file(spark, tmp_path):
     assert {(r.filename, r.row_no) for r in first.collect()} == {("a.csv", 1), ("b.csv", 1)}
 
 
+def test_folder_of_sheets_feeds_the_comparison(spark, tmp_path):
+    write(f"{tmp_path}/manager_id=m1/jan.csv", "Emp ID,Name\n 1,A\n")
+    write(f"{tmp_path}/manager_id=m2/jan.CSV", "Name,Employee ID\nB,2\n")
+    write(f"{tmp_path}/manager_id=m2/notes.pdf", "Employee ID\n3\n")
+    sheet = sheets.read_sheets(spark, str(tmp_path)).where("problem is null")
+    roster = spark.createDataFrame([("m1", "1", "x"), ("m2", "1", "x")], "manager_id string, employee_id string, company_email string")
+    found = {tuple(r) for r in reconcile.reconcile(roster, sheet).collect()}
+    assert found == {("m1", "1", "MATCHED"), ("m2", "1", "MISSING"), ("m2", "2", "UNKNOWN")}
+
+
+def test_file_times_are_utc_in_any_session_zone(spark, tmp_path):
+    write(f"{tmp_path}/a.csv", "x")
+    os.utime(f"{tmp_path}/a.csv", (0, 3600))
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        at = inventory.read_files(spark, str(tmp_path)).selectExpr("cast(created_at as string) t").first().t
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert at == "1970-01-01 01:00:00"
+
+
 def test_large_sheet_is_parsed_whole(spark, tmp_path):
     n = 45_000
     write(f"{tmp_path}/big.csv", "Employee ID\n" + "\n".join(str(i) for i in range(n)) + "\n")
