@@ -183,7 +183,8 @@ def result_documents(
         )
     )
     dealt = pieces.join(sized.select(by, "parts"), by).withColumn(
-        "part", F.pmod(F.xxhash64("value"), F.col("parts"))
+        # Seeded by a constant, so that IDs chosen by their plain hash still spread evenly.
+        "part", F.pmod(F.xxhash64(F.lit("part"), F.col("value")), F.col("parts"))
     )
 
     def listed(kind: str) -> Column:

@@ -157,6 +157,15 @@ def test_result_document_is_whole_and_sorted(small):
     assert [tuple(d) for d in a.department_summary] == [("Unknown", 2), (" ", 1), ("Ops", 1)]
 
 
+def test_parts_stay_even_for_ids_picked_by_their_hash(spark):
+    roster = spark.range(6000).select(
+        F.lit("hot").alias("manager_id"), F.col("id").cast("string").alias("employee_id"),
+        F.lit("x@y").alias("company_email"), F.lit("Ops").alias("department"),
+    ).where(F.pmod(F.xxhash64("employee_id"), F.lit(3)) == 0)
+    sizes = [len(r.matched_ids) for r in reports.result_documents(*frames(roster, roster), ids_per_part=230).collect()]
+    assert len(sizes) in (8, 9, 10) and max(sizes) < 2 * min(sizes)
+
+
 def test_large_owner_is_split_over_parts_without_loss(spark):
     n = 500
     roster = spark.range(n).select(
