@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from musterline import constants as K
 from musterline.functions import utc_now
 from musterline.operators import reconcile, reports
-from musterline.sources.sinks import write_documents, write_issue_workbook, write_partition, write_reports
+from musterline.sources import sinks
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,6 @@ class MonthlyResult:
 
 
 def run_month(
-    spark: SparkSession,
     roster: DataFrame,
     sheet: DataFrame,
     users: DataFrame,
@@ -47,7 +46,7 @@ def run_month(
     result = MonthlyResult(out, run)
 
     def publish(df: DataFrame, name: str) -> DataFrame:
-        return spark.read.parquet(write_partition(df, f"{out}/{name}", run=run))
+        return sinks.publish(df, f"{out}/{name}", run=run)
 
     present = publish(reconcile.presence(roster, sheet), "pairs")
     summary = publish(reconcile.summarise_presence(present), "summary")
@@ -60,16 +59,16 @@ def run_month(
     publish(reports.executive_summary(summary), "executive_summary")
     publish(reconcile.organization_rollup(summary), "organization")
     names = users.where(F.col("role") == K.ROLE_MANAGER).select(F.col("id").alias("manager_id"), "name")
-    write_reports(
+    sinks.write_reports(
         reports.report_lines(summary, names, departments, pairs, no_email, generated=clock),
         result.path("reports"),
     )
-    write_issue_workbook(found, reconcile.issue_count_row(found), result.path("workbook"))
+    sinks.write_issue_workbook(found, reconcile.issue_count_row(found), result.path("workbook"))
     publish(
         reports.notifications(summary, users, reports.report_name(F.col("manager_id"), clock)), "notifications"
     )
     if documents:
-        write_documents(
+        sinks.write_documents(
             reports.result_documents(summary, departments, pairs, no_email), result.path("documents")
         )
     return result

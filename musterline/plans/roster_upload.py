@@ -1,15 +1,14 @@
 """Roster files taken in: admit, refuse known content, parse, import new IDs, record."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline import constants as K
 from musterline.functions import content_hash, utc_now
 from musterline.operators import ingest, records
-from musterline.sources.sinks import write_partition
+from musterline.sources import sinks
 
 
 def import_roster_files(
-    spark: SparkSession,
     files: DataFrame,
     roster: DataFrame,
     history: DataFrame,
@@ -30,7 +29,7 @@ def import_roster_files(
     clock = utc_now() if clock is None else clock
 
     def publish(df: DataFrame, name: str) -> DataFrame:
-        return spark.read.parquet(write_partition(df, f"{out}/{name}", batch=batch))
+        return sinks.publish(df, f"{out}/{name}", batch=batch)
 
     hashed = files.withColumn("file_hash", content_hash("content"))
     inventory = publish(ingest.take_in(hashed, history, ["uploaded_by"]), "inventory")

@@ -15,8 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from musterline import constants as K
 from musterline.functions import content_hash, utc_now
 from musterline.operators import ingest, reconcile, records, reports
+from musterline.sources import sinks
 from musterline.sources.inventory import FILE_SCHEMA, as_inventory, owner_in_path
-from musterline.sources.sinks import write_partition, write_reports
 
 _INVENTORY = (
     "path string, filename string, stored_name string, manager_id string, size_bytes long, "
@@ -56,7 +56,7 @@ def sheet_stream(
     spark: SparkSession, inbox: str, job: SheetJob, checkpoint: str, files_per_batch: int = 1000
 ) -> DataStreamWriter:
     """The configured writer; set a trigger and start it."""
-    write_partition(spark.createDataFrame([], _INVENTORY), job.table("inventory"), batch_id=-1)
+    sinks.write_partition(spark.createDataFrame([], _INVENTORY), job.table("inventory"), batch_id=-1)
     files = arriving_files(spark, inbox, files_per_batch, job.max_bytes)
     return files.writeStream.foreachBatch(lambda batch, n: process_batch(batch, n, job)).option(
         "checkpointLocation", checkpoint
@@ -68,7 +68,7 @@ def process_batch(files: DataFrame, batch_id: int, job: SheetJob, clock: Column
     clock = utc_now() if clock is None else clock
 
     def publish(df: DataFrame, name: str) -> DataFrame:
-        return spark.read.parquet(write_partition(df, job.table(name), batch_id=batch_id))
+        return sinks.publish(df, job.table(name), batch_id=batch_id)
 
     hashed = files.withColumn("file_hash", content_hash("content"))
     inventory = publish(ingest.take_in(hashed, _history(spark, job, batch_id)), "inventory")
@@ -97,7 +97,7 @@ def process_batch(files: DataFrame, batch_id: int, job: SheetJob, clock: Column
         pairs, reconcile.without_email(roster, by="file_hash"),
         generated=clock, by="file_hash",
     )
-    write_reports(lines, f"{job.table('reports')}/batch_id={batch_id}", by="file_hash")
+    sinks.write_reports(lines, f"{job.table('reports')}/batch_id={batch_id}", by="file_hash")
 
     mail = users.where(F.col("role") == K.ROLE_MANAGER).select(F.col("id").alias("manager_id"), "email")
     owned = summary.join(mail, "manager_id", "left")

@@ -142,7 +142,7 @@ def month(spark, tmp_path_factory):
     )
     clock = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
     for _ in range(2):  # The second run replaces the first.
-        result = run_month(spark, roster, sheet, users, out, "2024-01", clock, documents=True)
+        result = run_month(roster, sheet, users, out, "2024-01", clock, documents=True)
     return result
 
 
@@ -225,7 +225,7 @@ def test_roster_files_are_imported_and_recorded(spark, tmp_path):
     history = spark.createDataFrame([(hashlib.sha256(b"Employee ID\n77\n").hexdigest(),)], "file_hash string")
     clock = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
     for _ in range(2):
-        counts = import_roster_files(spark, files, roster, history, out, "1", clock)
+        counts = import_roster_files(files, roster, history, out, "1", clock)
     assert {tuple(r) for r in counts.collect()} == {("m1", 1, 2, 1), ("m2", 2, 1, 0)}
     new = {(r.employee_id, r.full_name, r.company_email, r.manager_id) for r in spark.read.parquet(f"{out}/roster_rows").collect()}
     assert new == {("1", "Ann", None, "m1"), ("2", "Bobby", "b@x", "m2"), ("3", "Cat", "c@x", "m2")}
