@@ -99,12 +99,14 @@ def latest_upload_per_category(uploads: DataFrame) -> DataFrame:
     return latest_per_key(uploads, ["category"], ["created_at", "id"], ["filename"])
 
 
-def job_status(uploads: DataFrame) -> DataFrame:
-    """The newest status per file name."""
-    newest = latest_per_key(
-        uploads, ["filename"], ["created_at", "id"], ["status", "uploaded_by", "created_at"]
-    )
-    return newest.withColumnRenamed("created_at", "uploaded_at")
+def job_status(
+    uploads: DataFrame,
+    key: str = "filename",
+    order: tuple = ("created_at", "id"),
+    values: tuple = ("status", "uploaded_by", "created_at"),
+) -> DataFrame:
+    """The newest status per file; pass ``key="file_hash"`` where names repeat."""
+    return latest_per_key(uploads, [key], list(order), list(values)).withColumnRenamed("created_at", "uploaded_at")
 
 
 def _uploads_by_owner(uploads: DataFrame) -> DataFrame:

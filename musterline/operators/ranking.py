@@ -20,8 +20,6 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """Newest ``values`` per key by grouping; rows with a null in the first order column lose."""
+    """Newest ``values`` per key by grouping; a null in ``order`` is older than any value."""
     newest = F.max_by(F.struct(*values), F.struct(*order))
-    return (
-        df.where(F.col(order[0]).isNotNull()).groupBy(*keys).agg(newest.alias("_v")).select(*keys, "_v.*")
-    )
+    return df.groupBy(*keys).agg(newest.alias("_v")).select(*keys, "_v.*")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from musterline.operators.dashboards import job_status
+
 
 def unique_files(files: DataFrame, event_time: str | None = None, horizon: str | None = None) -> DataFrame:
     """The first arrival of each content hash.
@@ -16,12 +18,14 @@ def unique_files(files: DataFrame, event_time: str | None = None, horizon: str |
     return timed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["file_hash"])
 
 
-def live_job_status(events: DataFrame) -> DataFrame:
-    """Newest status per file; write it in update mode."""
-    newest = F.max_by(
-        F.struct("status", "uploaded_by", F.col("created_at").alias("uploaded_at")), F.struct("created_at", "id")
-    )
-    return events.groupBy("filename").agg(newest.alias("_v")).select("filename", "_v.*")
+def live_job_status(
+    events: DataFrame,
+    key: str = "filename",
+    order: tuple = ("created_at", "id"),
+    values: tuple = ("status", "uploaded_by", "created_at"),
+) -> DataFrame:
+    """Newest status per file as events arrive; write it in update mode."""
+    return job_status(events, key, order, values)
 
 
 def live_upload_counts(uploads: DataFrame) -> DataFrame:

@@ -86,6 +86,12 @@ def process_batch(files: DataFrame, batch_id: int, job: SheetJob, clock: Column
     publish(reconcile.issues(pairs, roster, readable, by="file_hash"), "issues")
 
     users = job.users()
+    mail = users.where(F.col("role") == K.ROLE_MANAGER).select(F.col("id").alias("manager_id"), "email")
+    who = F.coalesce("email", "manager_id")
+    ended = fresh.join(problems, "file_hash", "left").join(mail, "manager_id", "left")
+    status = F.when(F.col("problem").isNull(), K.STATUS_COMPLETED).otherwise(K.STATUS_FAILED)
+    publish(records.upload_rows(ended, K.SHEET_FILE, status, who, clock), "upload_history")
+
     report = reports.report_name(F.concat_ws("_", "manager_id", F.substring("file_hash", 1, 12)), clock)
     names = (
         summary.select("file_hash", F.col("manager_id").alias("id")).join(users, "id", "left")
@@ -99,14 +105,12 @@ def process_batch(files: DataFrame, batch_id: int, job: SheetJob, clock: Column
     )
     sinks.write_reports(lines, f"{job.table('reports')}/batch_id={batch_id}", by="file_hash")
 
-    mail = users.where(F.col("role") == K.ROLE_MANAGER).select(F.col("id").alias("manager_id"), "email")
     owned = summary.join(mail, "manager_id", "left")
     email = F.coalesce("email", F.lit(""))
     where = F.concat(F.lit(f"reports/batch_id={batch_id}/file_hash="), F.col("file_hash"))
     publish(records.report_rows(owned, F.col("manager_id"), email, report, where, clock), "report_history")
     publish(reports.notifications(summary, users, report), "notifications")
     publish(_status_events(inventory, sheets, problems, clock), "status_events")
-    who = F.coalesce("email", "manager_id")
     publish(records.audit_rows(owned, who, K.ACTION_SHEET_DONE, report, clock), "audit_logs")
 
 

@@ -247,8 +247,9 @@ def test_job_status_is_the_newest(spark):
     at = [dt.datetime(2024, 1, 1, h) for h in range(3)]
     rows = spark.createDataFrame([
         (1, "f", "PROCESSING", "u", at[0]), (2, "f", "COMPLETED", "u", at[1]), (3, "g", "FAILED", "u", at[0]), (4, "g", "X", "u", None),
+        (5, "h", "OLD", "u", None), (6, "h", "NEW", "u", None),
     ], "id long, filename string, status string, uploaded_by string, created_at timestamp_ntz")
-    assert {r.filename: r.status for r in dashboards.job_status(rows).collect()} == {"f": "COMPLETED", "g": "FAILED"}
+    assert {r.filename: r.status for r in dashboards.job_status(rows).collect()} == {"f": "COMPLETED", "g": "FAILED", "h": "NEW"}
 
 
 def test_top_rows_are_cut_before_the_shuffle(spark):

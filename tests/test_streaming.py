@@ -66,11 +66,16 @@ def test_sheets_are_processed_as_they_arrive(spark, place):
     # Same bytes as another file of the batch: one of the two is taken, by path.
     assert verdicts[("m4", "new.csv")] == "REPEATED_IN_BATCH"
 
-    last = table("status_events").groupBy("path").agg(F.max_by(F.struct("status", "reason"), "step").alias("s"))
-    status = {os.path.basename(r.path): tuple(r.s) for r in last.collect() if "m4" not in r.path}
+    last = dashboards.job_status(table("status_events"), "path", ("created_at", "step"), ("status", "reason"))
+    status = {os.path.basename(r.path): (r.status, r.reason) for r in last.collect() if "m4" not in r.path}
     assert status["feb.csv"] == ("COMPLETED", None) and status["odd.csv"] == ("FAILED", "NO_ID_COLUMN")
     assert status["again.csv"] == ("FAILED", "IN_HISTORY")
     assert table("notifications").count() == 3 and table("report_history").count() == 3
+    uploads = {(r.filename, r.uploaded_by): (r.category, r.status) for r in table("upload_history").collect()}
+    assert uploads == {
+        ("jan.csv", "ann@x"): ("GETS_SHEET", "COMPLETED"), ("jan.csv", "bob@x"): ("GETS_SHEET", "COMPLETED"),
+        ("odd.csv", "bob@x"): ("GETS_SHEET", "FAILED"), ("feb.csv", "ann@x"): ("GETS_SHEET", "COMPLETED"),
+    }
     assert {r.action for r in table("audit_logs").collect()} == {"BACKGROUND_GETS_PROCESS"}
     reports = glob.glob(f"{job.table('reports')}/batch_id=*/file_hash=*/part-*")
     assert any("Manager: Ann" in open(r).read() for r in reports)
@@ -89,7 +94,7 @@ def test_stream_equals_batch_and_a_replay_changes_nothing(spark, place, tmp_path
     batch = {tuple(r) for r in reconcile.summarise(roster, sheet).select(*counts).collect()}
     assert {tuple(r) for r in table("summary").select(*counts).collect()} == batch
 
-    names = ("inventory", "summary", "issues", "report_history", "status_events", "pairs")
+    names = ("inventory", "summary", "issues", "report_history", "upload_history", "status_events", "pairs")
     before = {n: sorted(map(str, table(n).drop("created_at", "generated_at", "filename").collect())) for n in names}
     from musterline.sources.inventory import read_files
 
