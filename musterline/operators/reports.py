@@ -31,6 +31,7 @@ COUNT_CAPTIONS = (
     ("unknown", "Unknown"),
     ("missing_email", "Without e-mail"),
 )
+_SLICES = 256
 _STATUS_SECTION = {K.MATCHED: 5, K.MISSING: 6, K.UNKNOWN: 7}
 
 
@@ -182,9 +183,18 @@ def result_documents(
             departments.select(by, F.lit("DEPARTMENT").alias("kind"), F.col("department").alias("value"), F.col("headcount").alias("n"))
         )
     )
-    dealt = pieces.join(sized.select(by, "parts"), by).withColumn(
-        # Seeded by a constant, so that IDs chosen by their plain hash still spread evenly.
-        "part", F.pmod(F.xxhash64(F.lit("part"), F.col("value")), F.col("parts"))
+    # Only owners with several parts need looking up.  Each of them is found under many
+    # slices of its entries, so that no join or grouping key holds a whole owner.
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SLICES - 1).cast("long")))
+    split_owners = sized.where(F.col("parts") > 1).select(by, "parts", slices.alias("_slice"))
+    # Seeded by constants, so that IDs chosen by their plain hash still spread evenly.
+    dealt = (
+        pieces.withColumn("_slice", F.pmod(F.xxhash64(F.lit("slice"), F.col("value")), F.lit(_SLICES)))
+        .join(split_owners, [by, "_slice"], "left")
+        .withColumn(
+            "part",
+            F.coalesce(F.pmod(F.xxhash64(F.lit("part"), F.col("value")), F.col("parts")), F.lit(0).cast("long")),
+        )
     )
 
     def listed(kind: str) -> Column:
