@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterline.llm import ngram_join
-from musterline.llm.tables import read
+from musterline.llm import ngram_join, quality
+from musterline.llm.tables import read, remainder
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,15 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.documents.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.select("doc_id", F.col("quality").alias("label")).where(remainder(F.col("doc_id"), 4) != 2))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join}
+    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality}
 
 
 def statements() -> dict[str, str]:
