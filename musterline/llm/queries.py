@@ -7,10 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterline.llm import ngram_join, quality
+from musterline.llm import decontaminate, mixing, ngram_join, quality, sharding
 from musterline.llm.tables import read, remainder
 
 
+_HASH = "('0x' || substr(md5({}), 1, 15))::bigint"
+
+_SHARDING = f"""
+with recursive sized as (
+  select doc_id, coalesce(strlen(text), 0)::bigint as bytes,
+         {_HASH.format("coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')")} as hash
+  from documents
+), buckets as (
+  select 0::bigint as prefix, 0 as depth, sum(bytes)::bigint as total from sized having count(*) > 0
+  union all
+  select x.prefix, x.depth, x.total from (
+    select (s.hash >> (59 - b.depth)) as prefix, b.depth + 1 as depth, sum(s.bytes)::bigint as total
+    from sized s join buckets b on b.total > {sharding.LIMIT} and b.depth < 60 and (s.hash >> (60 - b.depth)) = b.prefix
+    group by 1, 2) x
+)
+select doc_id, substr(lpad(bin(hash), 60, '0'), 1, depth) as shard, depth, 0::bigint as page, bytes, bytes > {sharding.LIMIT} as oversized
+from sized join buckets on (hash >> (60 - depth)) = prefix and (total <= {sharding.LIMIT} or depth = 60)
+"""
+
+_MIXING = f"""
+with docs as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+         {_HASH.format("'mix|' || coalesce(doc_id::varchar, '')")} as h
+  from documents
+), sources as (
+  select source, sum(size)::bigint as source_size,
+         [5, 2, 1][((row_number() over (order by source collate C nulls last) - 1) % 3 + 1)::int]::double as w
+  from docs group by source
+), ordered as (
+  select *, sum(w) over (order by 2 * source_size / w desc, source nulls last rows between unbounded preceding and current row) as w_rest,
+         1.5 * sum(source_size) over ()
+           - coalesce(sum(2 * source_size) over (order by 2 * source_size / w, source desc nulls first rows between unbounded preceding and 1 preceding), 0) as t_rest
+  from sources
+), level as (
+  select max(t_rest / w_rest) filter (t_rest / w_rest * w <= 2 * source_size) as unit from ordered
+), goals as (
+  select source, source_size, least(2.0 * source_size, coalesce(unit * w, 2.0 * source_size)) as target from sources, level
+), summed as (
+  select d.*, g.source_size, g.target, floor(g.target)::bigint as quota,
+         sum(d.size) over (partition by d.source order by d.h, d.doc_id rows between unbounded preceding and current row) - d.size as before
+  from docs d join goals g on d.source is not distinct from g.source
+)
+select doc_id, size, source_size, round(target, 3) as target,
+       case when source_size = 0 then 0
+            else size * (quota // source_size) + greatest(0, least(size, quota % source_size - before)) end::bigint as taken
+from summed
+"""
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.ngram_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return joined.documents.select("doc_id", "n_shingles", "component_id")
@@ -23,9 +72,25 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *sharding.NAMES)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.array("source"))
+    sources = mix.sources.withColumnRenamed("source", "named")
+    joined = mix.documents.join(sources, F.col("source").eqNullSafe(F.col("named")), "left")
+    return joined.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality}
+    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op10_mixing": op10_mixing}
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op5_sharding": _SHARDING, "op10_mixing": _MIXING}

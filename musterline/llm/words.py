@@ -139,3 +139,22 @@ def shingle_set(h: np.ndarray, k: int = 5) -> np.ndarray:
     if len(h) < k:
         return np.array([whole_hash(h, 7)], np.uint64)
     return np.unique(runs_hash(h, k))
+
+
+def word_counts(column: pa.Array) -> pa.Array:
+    """Words of each row; null counts 0."""
+    data, at = text_bytes(column)
+    out = np.zeros(len(at) - 1, np.int64)
+    lo = 0
+    while lo < len(out):
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + 8 * BLOCK, side="right")) - 1), len(out))
+        inside = ~_SPACE[data[at[lo] : at[hi]]]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        begin = at[lo:hi] - at[lo]
+        begin = begin[begin < len(inside)]
+        first[begin] = inside[begin]  # a text begins anew
+        total = np.append(0, np.cumsum(first))
+        out[lo:hi] = np.diff(total[at[lo : hi + 1] - at[lo]])
+        lo = hi
+    return pa.array(out)
