@@ -17,12 +17,12 @@ score is 0.5. Columns other than ID and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterline.llm.words import document_words
@@ -171,32 +171,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: in
     return fit(np.concatenate(each).astype(np.float64), bags, np.array([r["label"] for r in rows]))
 
 
-def _scores(model):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, held, size = np.full(batch.num_rows, 0.5), [], 0
-
-            def settle() -> None:
-                x = np.concatenate([f for _, f in held]).astype(np.float64)
-                bags = np.cumsum([0] + [len(f) for _, f in held[:-1]])
-                scores[[row for row, _ in held]] = model.value.forward(x, bags)["p"]
-
-            if model.value is not None:
-                for row, text, s, e, h in document_words(batch.column("text")):
-                    held.append((row, passage_features(text, s, e, h).astype(np.float16)))
-                    size += len(held[-1][1])
-                    if size >= 4096:
-                        settle()
-                        held, size = [], 0
-                if held:
-                    settle()
-            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-            yield pa.record_batch([*rest, pa.array(scores)], names=[x for x in batch.schema.names if x != "text"] + ["score"])
+def scorer(spark: SparkSession, model: Model | None) -> Callable[[Column], Column]:
+    """A column function from text to a score from 0 to 1."""
+    shared = spark.sparkContext.broadcast(model)
 
-    return task
+    def scores(text: pa.Array) -> pa.Array:
+        out, held, size = np.full(len(text), 0.5), [], 0
+
+        def settle() -> None:
+            x = np.concatenate([f for _, f in held]).astype(np.float64)
+            bags = np.cumsum([0] + [len(f) for _, f in held[:-1]])
+            out[[row for row, _ in held]] = shared.value.forward(x, bags)["p"]
 
+        if shared.value is not None:
+            for row, data, s, e, h in document_words(text):
+                held.append((row, passage_features(data, s, e, h).astype(np.float16)))
+                size += len(held[-1][1])
+                if size >= 4096:
+                    settle()
+                    held, size = [], 0
+            if held:
+                settle()
+        return pa.array(out)
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) of every row, a score from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scores(shared), "doc_id long, score double")
+    return F.arrow_udf(scores, "double")

@@ -68,7 +68,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = quality.learn(docs, labels.select("doc_id", F.col("quality").alias("label")).where(remainder(F.col("doc_id"), 4) != 2))
-    scored = quality.score(docs, model)
+    scored = docs.select("doc_id", quality.scorer(spark, model)(F.col("text")).alias("score"))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
