@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterline.llm import decontaminate, mixing, ngram_join, quality, sharding
+from musterline.llm import debruijn, decontaminate, mixing, ngram_join, quality, sharding
 from musterline.llm.tables import read, remainder
 
 
@@ -81,6 +81,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *sharding.NAMES)
 
 
+def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = debruijn.compact(read(spark, sf_dir, "documents")).kept
+    return kept.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.array("source"))
     sources = mix.sources.withColumnRenamed("source", "named")
@@ -89,7 +94,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op10_mixing": op10_mixing}
+    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_debruijn": op6_debruijn, "op10_mixing": op10_mixing}
 
 
 def statements() -> dict[str, str]:
