@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterline.llm import debruijn, decontaminate, mixing, ngram_join, quality, sharding
+from musterline.llm import debruijn, decontaminate, mixing, ngram_join, quality, sharding, suffix_array
 from musterline.llm.tables import read, remainder
 
 
@@ -72,6 +72,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_array.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shingles", "n_found")
@@ -94,7 +99,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_debruijn": op6_debruijn, "op10_mixing": op10_mixing}
+    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_debruijn": op6_debruijn, "op10_mixing": op10_mixing}
 
 
 def statements() -> dict[str, str]:
