@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterline.llm import debruijn, decontaminate, mixing, ngram_join, quality, sharding, suffix_array
+from musterline.llm import debruijn, decontaminate, language, mixing, ngram_join, quality, sharding, suffix_array
 from musterline.llm.tables import read, remainder
 
 
@@ -91,6 +91,14 @@ def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = language.learn(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.predictor(spark, model)(F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.array("source"))
     sources = mix.sources.withColumnRenamed("source", "named")
@@ -99,7 +107,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_debruijn": op6_debruijn, "op10_mixing": op10_mixing}
+    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_debruijn": op6_debruijn, "op7_language": op7_language, "op10_mixing": op10_mixing}
 
 
 def statements() -> dict[str, str]:
