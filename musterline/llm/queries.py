@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterline.llm import debruijn, decontaminate, language, mixing, ngram_join, quality, sharding, suffix_array
+from musterline.llm import debruijn, decontaminate, fingerprints, language, mixing, ngram_join, quality, sharding, suffix_array, token_counts
 from musterline.llm.tables import read, remainder
 
 
@@ -99,6 +99,15 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = read(spark, sf_dir, "documents").select("text")
+    return token_counts.histogram(text.select(token_counts.lengths()(F.col("text")).alias("length")))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.array("source"))
     sources = mix.sources.withColumnRenamed("source", "named")
@@ -107,7 +116,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_debruijn": op6_debruijn, "op7_language": op7_language, "op10_mixing": op10_mixing}
+    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_debruijn": op6_debruijn, "op7_language": op7_language, "op8_token_counts": op8_token_counts, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing}
 
 
 def statements() -> dict[str, str]:
