@@ -154,10 +154,10 @@ def _order(doc_id: Column) -> Column:
 def mix(docs: DataFrame, sources: Column, weigh: Callable[[list[Source]], dict[Source, float]] = cycle(), total: float = 1.5, most: int = 2) -> Mix:
     """docs (doc_id, text, ...) with `sources`, an array of the sources of each document."""
     spark = docs.sparkSession
-    docs = docs.drop("size", "taken")
     size = F.arrow_udf(word_counts, "long")("text")
     pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))))
-    keyed = docs.withColumns({"size": size, "_pattern": pattern, "_order": _order(F.col("doc_id"))})
+    # The row travels as one value, whatever its columns are called.
+    keyed = docs.select(size.alias("size"), pattern.alias("_pattern"), _order(F.col("doc_id")).alias("_order"), F.struct(*docs.drop("size", "taken").columns).alias("row"))
     sized = written(keyed.select("size", "_pattern", "_order").where("size > 0"), "sized")
 
     counted = sized.groupBy("_pattern").agg(F.sum("size").alias("size"))
@@ -193,7 +193,7 @@ def mix(docs: DataFrame, sources: Column, weigh: Callable[[list[Source]], dict[S
     once = F.expr("case when _order < cut then size when _order = cut then least(size, part) else 0 end")
     documents = keyed.join(cuts, "_pattern", "left").withColumn("taken", F.coalesce(F.col("size") * F.col("passes") + once, F.lit(0)))
     return Mix(
-        documents.select(*docs.columns, "size", "taken"),
+        documents.select("row.*", "size", "taken"),
         spark.createDataFrame([(s, whole[s], float(wanted[s])) for s in rank(list(whole))], "source string, source_size long, target double"),
         spark.createDataFrame([(p, s, n) for (p, s), n in routes.items()], "pattern string, source string, words long"),
     )

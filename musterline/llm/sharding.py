@@ -65,33 +65,33 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     One file holds the rows of one (shard, page). The page is 0 but in overflowing buckets.
     """
-    docs = docs.drop(*NAMES)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    hashed = _hash(F.col("doc_id"), F.col("text"))
-    found = written(buckets(written(docs.select(hashed.alias("hash"), size.alias("bytes")), "sized"), limit), "buckets")
+    # The row travels as one value, whatever its columns are called.
+    keyed = docs.select(_hash(F.col("doc_id"), F.col("text")).alias("hash"), size.alias("bytes"), F.struct(*docs.drop(*NAMES).columns).alias("row"))
+    found = written(buckets(written(keyed.select("hash", "bytes"), "sized"), limit), "buckets")
     depths = sorted(r["depth"] for r in found.select("depth").distinct().collect())  # BITS + 1 at most
     width = min(depths[-1] if depths else 0, _WIDTH)
     slots = found.where(f"depth <= {width}").select(
-        F.explode(F.expr(f"sequence(shiftleft(prefix, {width} - depth), shiftleft(prefix + 1, {width} - depth) - 1)")).alias("_slot"), "depth", "total"
+        F.explode(F.expr(f"sequence(shiftleft(prefix, {width} - depth), shiftleft(prefix + 1, {width} - depth) - 1)")).alias("slot"), "depth", "total"
     )
-    keyed = docs.withColumns({"_hash": hashed, "bytes": size}).withColumn("_slot", F.shiftright("_hash", BITS - width))
-    placed = keyed.join(F.broadcast(slots), "_slot", "left" if depths and depths[-1] > width else "inner")  # 2**_WIDTH slots at most
+    keyed = keyed.withColumn("slot", F.shiftright("hash", BITS - width))
+    placed = keyed.join(F.broadcast(slots), "slot", "left")  # 2**_WIDTH slots at most
     if depths and depths[-1] > width:
         deep = F.explode(F.array([F.lit(d) for d in depths if d > width]))
-        below = found.where(f"depth > {width}").withColumnsRenamed({"depth": "_depth", "prefix": "_prefix"})
+        below = found.where(f"depth > {width}").withColumnsRenamed({"depth": "own_depth"})
         rest = placed.where("depth is null").drop("depth", "total").withColumn("depth", deep)
-        rest = rest.join(below, (F.col("depth") == F.col("_depth")) & (F.expr(f"shiftright(_hash, {BITS} - depth)") == F.col("_prefix"))).drop("_depth", "_prefix")
+        rest = rest.join(below, (F.col("depth") == F.col("own_depth")) & (F.expr(f"shiftright(hash, {BITS} - depth)") == F.col("prefix"))).drop("own_depth", "prefix")
         placed = placed.where("depth is not null").unionByName(rest)
-    full = F.expr(f"depth = {BITS} and total > {limit}")
     placed = placed.withColumns({
-        "shard": F.expr(f"substring(lpad(bin(_hash), {BITS}, '0'), 1, depth)"),
+        "shard": F.expr(f"substring(lpad(bin(hash), {BITS}, '0'), 1, depth)"),
         "oversized": F.col("bytes") > limit,
         "page": F.lit(0).cast("long"),
     })
     if depths and depths[-1] == BITS:
         # Equal rows in runs of as many as fit; dealt out first, so that no task gets all of them.
-        over = placed.where(full).withColumn("_deal", F.monotonically_increasing_id() % _DEALT)
-        nth = F.expr("row_number() over (partition by _hash, _deal order by bytes)") - 1
-        over = over.withColumn("page", F.col("_deal") + _DEALT * F.floor(nth / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("bytes")))))
-        placed = placed.where(~full).unionByName(over.drop("_deal"))
-    return placed.select(*docs.columns, *NAMES)
+        full = F.expr(f"depth = {BITS} and total > {limit}")
+        over = placed.where(full).withColumn("deal", F.monotonically_increasing_id() % _DEALT)
+        nth = F.expr("row_number() over (partition by hash, deal order by bytes)") - 1
+        over = over.withColumn("page", F.col("deal") + _DEALT * F.floor(nth / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("bytes")))))
+        placed = placed.where(~full).unionByName(over.drop("deal"))
+    return placed.select("row.*", *NAMES)

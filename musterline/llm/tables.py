@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input. Texts may be long, so Arrow batches get fewer rows than by default; a setting of the caller's stays."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
