@@ -64,10 +64,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, one row for each time a document is taken, in whole or at its source's limit in part."""
-    whole = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))  # whatever other columns are called
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))  # whatever other columns are called
     mixed = mixing.mix(whole, F.array("source")).documents
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return mixed.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select("_row.*")
+    return mixed.where("taken > 0").select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
