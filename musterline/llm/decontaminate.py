@@ -69,11 +69,16 @@ def _items(k: int):
     return task
 
 
-def search(sequence: np.ndarray, spans: list[int], keys: np.ndarray) -> np.ndarray:
-    """The signature keys of a document's windows that some item may have."""
-    found = [np.zeros(0, np.uint64)]
+def search(sequence: np.ndarray, hit: np.ndarray, spans: list[int], keys: np.ndarray) -> np.ndarray:
+    """The signature keys of a document's windows that some item may have.
+
+    Windows without a hit, a shingle that some item may have, agree with no item in any bin.
+    """
+    found, place = [np.zeros(0, np.uint64)], np.flatnonzero(hit)
     for span in spans:
-        for at in range(0, max(len(sequence) - span, 1), span):
+        last = max(-(-len(sequence) // span) - 2, 0)
+        windows = np.unique(np.minimum(np.append(place // span, np.maximum(place // span - 1, 0)), last))
+        for at in (windows * span).tolist():
             own = signature(sequence[at : at + 2 * span], span)
             found.append(own[member(keys, own)])
     return np.unique(np.concatenate(found))
@@ -88,7 +93,7 @@ def _candidates(k: int, spans: list[int], tables):
                 sequence = _sequence(h, k)
                 hit = member(have["shingles"], sequence)
                 if hit.any():
-                    own = search(sequence, spans, have["keys"])
+                    own = search(sequence, hit, spans, have["keys"])
                     if len(own):
                         rows.append(row)
                         hits.append(np.unique(sequence[hit]).view(np.int64))
