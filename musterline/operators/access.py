@@ -59,17 +59,17 @@ def report_scope(role: str, email: str) -> Column:
     return F.col("manager_email") == email if role == K.ROLE_MANAGER else F.lit(True)
 
 
-def _with_total(per_key: DataFrame, key: str, counted: str) -> DataFrame:
-    """Counts per key, in scopes ``own`` / ``unassigned``, plus their total in scope ``all``."""
-    keyed = per_key.select(
-        F.when(F.col(key).isNull(), "unassigned").otherwise("own").alias("scope"),
-        F.coalesce(F.col(key), F.lit("")).alias("scope_key"),
-        counted,
+def _with_total(per_key: DataFrame, key: str, *measures: Column) -> DataFrame:
+    """Reduced rows per key, in scopes ``own`` / ``unassigned``, plus their total in scope ``all``, in one pass."""
+    whole = [F.col(key), F.col("_null")]
+    rolled = per_key.withColumn("_null", F.col(key).isNull()).groupingSets([whole, []], *whole).agg(
+        F.grouping_id().alias("_level"), *measures
     )
-    total = keyed.agg(F.coalesce(F.sum(counted), F.lit(0)).alias(counted)).select(
-        F.lit("all").alias("scope"), F.lit("").alias("scope_key"), counted
+    return rolled.select(
+        F.when(F.col("_level") > 0, "all").when(F.col("_null"), "unassigned").otherwise("own").alias("scope"),
+        F.coalesce(key, F.lit("")).alias("scope_key"),
+        *[c for c in rolled.columns if c not in (key, "_null", "_level")],
     )
-    return keyed.unionByName(total)
 
 
 def scoped_roster_counts(users: DataFrame, roster: DataFrame, legacy_null_scope: bool = False) -> DataFrame:
@@ -78,9 +78,8 @@ def scoped_roster_counts(users: DataFrame, roster: DataFrame, legacy_null_scope:
     The roster is counted per manager first, so users meet one row per manager instead of
     every user of a manager meeting every roster row.
     """
-    counts = _with_total(
-        roster.groupBy("manager_id").agg(F.count("*").alias("visible")), "manager_id", "visible"
-    )
+    per_manager = roster.groupBy("manager_id").agg(F.count("*").alias("visible"))
+    counts = _with_total(per_manager, "manager_id", F.sum("visible").alias("visible"))
     role, boss = F.col("role"), F.col("manager_id")
     unassigned = F.lit("unassigned" if legacy_null_scope else "none")
     scoped = users.select(
@@ -109,12 +108,10 @@ def scoped_uploads(users: DataFrame, uploads: DataFrame) -> DataFrame:
     are matched, so nothing grows with (users of a manager) x (uploads of that manager).
     """
     per_owner = uploads.groupBy(F.col("uploaded_by").alias("owner")).agg(*_upload_measures())
-    keyed = per_owner.select(F.lit("own").alias("scope"), *per_owner.columns)
-    everything = per_owner.agg(
-        F.sum("roster_files").alias("roster_files"),
-        F.sum("sheet_files").alias("sheet_files"),
-        F.max("latest").alias("latest"),
-    ).select(F.lit("all").alias("scope"), F.lit("").alias("owner"), "roster_files", "sheet_files", "latest")
+    counts = _with_total(
+        per_owner, "owner",
+        F.sum("roster_files").alias("roster_files"), F.sum("sheet_files").alias("sheet_files"), F.max("latest").alias("latest"),
+    )
     bosses = users.select(F.col("id").alias("manager_id"), F.col("email").alias("manager_email"))
     role = F.col("role")
     scoped = users.join(bosses, "manager_id", "left").select(
@@ -124,9 +121,9 @@ def scoped_uploads(users: DataFrame, uploads: DataFrame) -> DataFrame:
         F.when(role == K.ROLE_ADMIN, "")
         .when(role == K.ROLE_MANAGER, F.col("email"))
         .when(role == K.ROLE_HR, F.col("manager_email"))
-        .alias("owner"),
+        .alias("scope_key"),
     )
-    return scoped.join(keyed.unionByName(everything), ["scope", "owner"], "left").select(
+    return scoped.join(counts, ["scope", "scope_key"], "left").select(
         "user_id",
         "role",
         F.coalesce("roster_files", F.lit(0)).alias("roster_files"),

@@ -14,9 +14,9 @@ from customer""",
     "sheet": """
 select cast(c_nationkey as varchar) manager_id,
  case when o_orderkey % 7 = 0 then ' ' else '' end
- || cast(case when o_orderkey % 50 = 0 then o_custkey + 1000000 else o_custkey end as varchar)
+ || cast(case when c_custkey % 6 = 0 or o_orderkey % 50 = 0 then o_custkey + 1000000 else o_custkey end as varchar)
  || case when o_orderkey % 3 = 0 then ' ' else '' end employee_id
-from orders join customer on o_custkey = c_custkey where o_orderkey % 5 = 0""",
+from orders join customer on o_custkey = c_custkey""",
     "roster_with_leave": """
 select cast(c_nationkey as varchar) manager_id, cast(c_custkey as varchar) employee_id,
  cast(c_custkey % 4 as varchar) customer_leave,
@@ -24,23 +24,25 @@ select cast(c_nationkey as varchar) manager_id, cast(c_custkey as varchar) emplo
 from customer""",
     "sheet_with_leave": """
 select cast(c_nationkey as varchar) manager_id, cast(c_custkey as varchar) employee_id,
- case when o_orderkey % 35 = 0 then null else cast(c_custkey % 4 as varchar) end customer_leave,
- case when o_orderkey % 55 = 0 then '9'
+ case when o_orderkey % 7 = 0 then null else cast(c_custkey % 4 as varchar) end customer_leave,
+ case when o_orderkey % 11 = 0 then '9'
       when c_custkey % 6 <> 0 then cast(c_custkey % 3 as varchar) end internal_leave
-from orders join customer on o_custkey = c_custkey where o_orderkey % 5 = 0""",
+from orders join customer on o_custkey = c_custkey""",
     "users": """
 select cast(n_nationkey as varchar) id, 'Manager ' || n_nationkey as name,
  'user' || n_nationkey || '@example.com' email, 'MANAGER' as role, cast(null as varchar) manager_id
 from nation
 union all
-select cast(1000 + s_suppkey as varchar), s_name, 'hr' || s_suppkey || '@example.com', 'HR',
+select cast(1000 + s_suppkey as varchar), s_name, 'hr' || s_suppkey || '@example.com',
+ case when s_suppkey % 10 = 7 then 'MASTER_ADMIN' else 'HR' end,
  case when s_suppkey % 11 = 0 then null else cast(s_nationkey as varchar) end
 from supplier""",
     "upload_history": """
 select event_id id, 'file_' || event_id || '.csv' filename,
  sha256(event_type || user_id || props) file_hash,
  case when event_type = 'signup' then 'EMPLOYEE_DATA' else 'GETS_SHEET' end category,
- case event_type when 'signup' then 'UPLOADED' when 'view' then 'COMPLETED' else 'PROCESSING' end status,
+ case event_type when 'signup' then 'UPLOADED' when 'view' then 'COMPLETED'
+ else case when event_id % 2 = 0 then 'FAILED' else 'PROCESSING' end end status,
  'user' || (user_id % 25) || '@example.com' uploaded_by, ts created_at
 from events where event_type in ('signup', 'view', 'error')""",
     "report_history": """
@@ -64,14 +66,14 @@ select o_orderkey id,
  o_orderdate created_at
 from orders""",
     "decisions": """
-select case when o_orderkey % 70 = 0 then -1 - o_orderkey else o_orderkey end request_id,
+select case when o_orderkey % 7 = 0 then -1 - o_orderkey else o_orderkey end request_id,
  case when o_orderkey % 3 = 0 then 'REJECT' else 'APPROVE' end decision
-from orders where o_orderkey % 10 = 0""",
+from orders""",
     "incoming_roster": """
 select o_orderkey row_no,
  cast(case when o_orderkey % 4 = 0 then o_custkey + 2000000 else o_custkey end as varchar) employee_id,
  'Name ' || o_custkey full_name, cast(o_orderkey % 25 as varchar) manager_id
-from orders where o_orderkey % 11 = 0""",
+from orders""",
     "hr_assignments": """
 select s_suppkey seq, case when s_suppkey % 9 = 0 then '0' else cast(1000 + s_suppkey as varchar) end hr_id,
  cast(s_suppkey % 30 as varchar) manager_id
@@ -82,18 +84,19 @@ select event_id seq, event_id - event_id % 4 report_id,
 from events where event_type = 'click'""",
     "user_roles": """
 select * from (values
- ('MASTER_ADMIN', true, true, true, true, true, true),
- ('MANAGER', true, true, true, true, false, cast(null as boolean)),
- ('HR', true, false, true, true, false, true))
-as t(role_name, can_compare, can_upload_gets, can_view_reports, can_download_reports,
-     can_manage_users, can_approve_requests)""",
+ ('MASTER_ADMIN', true, true, true, true, true, true, true, true, true, true, true, true, cast(null as boolean)),
+ ('MANAGER', true, true, true, false, true, false, true, true, true, true, false, cast(null as boolean), true),
+ ('HR', false, true, true, true, true, false, true, false, true, true, true, false, true))
+as t(role_name, can_upload, can_download, can_view_reports, can_generate_reports, can_receive_email, can_manage_users,
+ can_upload_employee, can_upload_gets, can_compare, can_download_reports, can_create_roles, can_assign_manager,
+ can_approve_requests)""",
     "files": """
 select doc_id,
  source || '/' || lang || ' ' || doc_id
  || case doc_id % 7 when 0 then '.CSV' when 1 then '.xlsx' when 2 then '.xls' when 3 then '.pdf'
     when 4 then '.jpeg' when 5 then '' else '.csv' end filename,
  case when doc_id % 9 = 0 then 'text/plain' else 'text/csv' end content_type,
- n_chars size_bytes, text as content
+ case when doc_id % 10 = 3 then n_chars + 60000000 else n_chars end size_bytes, text as content
 from documents""",
     "file_headers": """
 select doc_id, 0 as pos,
@@ -404,14 +407,16 @@ select cast(2 as bigint) as page, cast(20 as bigint) page_limit, count(*) total_
  cast(ceil(count(*) / 20) as bigint) total_pages from roster"""),
         "global_search": _with("roster users upload_history report_history", _search()),
         "scoped_roster_counts": _with("users headcounts", """
-select u.id user_id, u.role, coalesce(c.headcount, 0) visible_rows
+select u.id user_id, u.role,
+ case u.role when 'MASTER_ADMIN' then (select sum(headcount) from headcounts) else coalesce(c.headcount, 0) end visible_rows
 from users u left join headcounts c on c.id = case u.role when 'MANAGER' then u.id else u.manager_id end"""),
         "scoped_uploads": _with("users upload_history", """
 select u.id user_id, u.role, coalesce(c.roster_files, 0) roster_files, coalesce(c.sheet_files, 0) sheet_files, c.latest_file
 from users u left join users m on m.id = u.manager_id
-left join (select uploaded_by, count(*) filter (where category = 'EMPLOYEE_DATA') roster_files,
+left join (select coalesce(uploaded_by, '*') uploaded_by, count(*) filter (where category = 'EMPLOYEE_DATA') roster_files,
   count(*) filter (where category = 'GETS_SHEET') sheet_files, arg_max(filename, (created_at, id)) latest_file
- from upload_history group by 1) c on c.uploaded_by = case u.role when 'MANAGER' then u.email else m.email end"""),
+ from upload_history group by rollup(uploaded_by)) c
+ on c.uploaded_by = case u.role when 'MANAGER' then u.email when 'MASTER_ADMIN' then '*' else m.email end"""),
         "report_history_for_manager": _with("report_history", """
 select cast(id as varchar) id, manager_email, filename, generated_at, downloaded_by, downloaded_at
 from report_history where manager_email = 'user3@example.com'"""),
@@ -421,12 +426,21 @@ select cast(id as varchar) id, email, requested_role from user_requests where st
 select u.id user_id, u.role, p.permission,
  case when u.role = 'HR' and p.permission in ('can_upload_employee', 'can_upload_gets', 'can_compare',
    'can_download_reports', 'can_manage_users', 'can_create_roles', 'can_assign_manager', 'can_approve_requests') then false
- else coalesce(case p.permission when 'can_compare' then r.can_compare when 'can_upload_gets' then r.can_upload_gets
-   when 'can_view_reports' then r.can_view_reports when 'can_download_reports' then r.can_download_reports
-   when 'can_manage_users' then r.can_manage_users else r.can_approve_requests end, false) end allowed
+ else coalesce(case p.permission when 'can_upload' then r.can_upload
+   when 'can_download' then r.can_download
+   when 'can_view_reports' then r.can_view_reports
+   when 'can_generate_reports' then r.can_generate_reports
+   when 'can_receive_email' then r.can_receive_email
+   when 'can_manage_users' then r.can_manage_users
+   when 'can_upload_employee' then r.can_upload_employee
+   when 'can_upload_gets' then r.can_upload_gets
+   when 'can_compare' then r.can_compare
+   when 'can_download_reports' then r.can_download_reports
+   when 'can_create_roles' then r.can_create_roles
+   when 'can_assign_manager' then r.can_assign_manager
+   when 'can_approve_requests' then r.can_approve_requests end, false) end allowed
 from users u left join user_roles r on r.role_name = u.role
-cross join (values ('can_compare'), ('can_upload_gets'), ('can_view_reports'), ('can_download_reports'),
- ('can_manage_users'), ('can_approve_requests')) as p(permission)"""),
+cross join (values ('can_upload'), ('can_download'), ('can_view_reports'), ('can_generate_reports'), ('can_receive_email'), ('can_manage_users'), ('can_upload_employee'), ('can_upload_gets'), ('can_compare'), ('can_download_reports'), ('can_create_roles'), ('can_assign_manager'), ('can_approve_requests')) as p(permission)"""),
         # Ingest and maintenance.
         "file_type": _with("file_extensions", """
 select doc_id, extension,

@@ -6,6 +6,8 @@ column names the operators expect.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from musterline import constants as K
+
 # --- fixed values: columns of the driver tables in use ------------------------------
 _SCHEMAS = {
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -40,12 +42,12 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw sheet rows; ``employee_id`` is still padded and repeated."""
-    orders = _read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").withColumnRenamed("o_custkey", "c_custkey")
+    """Raw sheet rows, padded and repeated; a sixth of the customers always under another ID, missing and unknown at once."""
+    orders = _read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
     return orders.join(_read(spark, sf_dir, "customer"), "c_custkey").selectExpr(
         "cast(c_nationkey as string) manager_id",
         """case when o_orderkey % 7 = 0 then ' ' else '' end
-           || cast(case when o_orderkey % 50 = 0 then c_custkey + 1000000 else c_custkey end as string)
+           || cast(case when c_custkey % 6 = 0 or o_orderkey % 50 = 0 then c_custkey + 1000000 else c_custkey end as string)
            || case when o_orderkey % 3 = 0 then ' ' else '' end employee_id""",
     )
 
@@ -62,12 +64,12 @@ def roster_with_leave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sheet_with_leave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheet rows repeating the roster's figures, but for some orders."""
-    orders = _read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").withColumnRenamed("o_custkey", "c_custkey")
+    orders = _read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
     return orders.join(_read(spark, sf_dir, "customer"), "c_custkey").selectExpr(
         "cast(c_nationkey as string) manager_id",
         "case when o_orderkey % 3 = 0 then ' ' else '' end || cast(c_custkey as string) employee_id",
-        """case when o_orderkey % 35 = 0 then null else cast(c_custkey % 4 as string) end customer_leave""",
-        """case when o_orderkey % 55 = 0 then '9'
+        """case when o_orderkey % 7 = 0 then null else cast(c_custkey % 4 as string) end customer_leave""",
+        """case when o_orderkey % 11 = 0 then '9'
            when c_custkey % 6 <> 0 then cast(c_custkey % 3 as string) end internal_leave""",
     )
 
@@ -84,7 +86,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(1000 + s_suppkey as string) id",
         "s_name name",
         "'hr' || s_suppkey || '@example.com' email",
-        "'HR' role",
+        "case when s_suppkey % 10 = 7 then 'MASTER_ADMIN' else 'HR' end role",
         "case when s_suppkey % 11 <> 0 then cast(s_nationkey as string) end manager_id",
     )
     return managers.unionByName(hr)
@@ -97,7 +99,7 @@ def upload_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sha2(event_type || user_id || props, 256) file_hash",
         "case when event_type = 'signup' then 'EMPLOYEE_DATA' else 'GETS_SHEET' end category",
         """case event_type when 'signup' then 'UPLOADED' when 'view' then 'COMPLETED'
-           else 'PROCESSING' end status""",
+           else case when event_id % 2 = 0 then 'FAILED' else 'PROCESSING' end end status""",
         "'user' || (user_id % 25) || '@example.com' uploaded_by",
         "ts created_at",
     )
@@ -137,14 +139,14 @@ def user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").selectExpr(
-        "case when o_orderkey % 70 = 0 then -1 - o_orderkey else o_orderkey end request_id",
+    return _read(spark, sf_dir, "orders").selectExpr(
+        "case when o_orderkey % 7 = 0 then -1 - o_orderkey else o_orderkey end request_id",
         "case when o_orderkey % 3 = 0 then 'REJECT' else 'APPROVE' end decision",
     )
 
 
 def incoming_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").selectExpr(
+    return _read(spark, sf_dir, "orders").selectExpr(
         "o_orderkey row_no",
         "cast(case when o_orderkey % 4 = 0 then o_custkey + 2000000 else o_custkey end as string) employee_id",
         "'Name ' || o_custkey full_name",
@@ -171,13 +173,12 @@ def report_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An inline table, so its exact size is known when a join is planned."""
-    return spark.sql("""
+    return spark.sql(f"""
         select * from values
-          ('MASTER_ADMIN', true, true, true, true, true, true),
-          ('MANAGER', true, true, true, true, false, cast(null as boolean)),
-          ('HR', true, false, true, true, false, true)
-        as t(role_name, can_compare, can_upload_gets, can_view_reports, can_download_reports,
-             can_manage_users, can_approve_requests)
+          ('MASTER_ADMIN', {", ".join(["true"] * 12)}, cast(null as boolean)),
+          ('MANAGER', true, true, true, false, true, false, true, true, true, true, false, cast(null as boolean), true),
+          ('HR', false, true, true, true, true, false, true, false, true, true, true, false, true)
+        as t(role_name, {", ".join(K.PERMISSION_FLAGS)})
     """)
 
 
@@ -201,6 +202,6 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
            || case doc_id % 7 when 0 then '.CSV' when 1 then '.xlsx' when 2 then '.xls' when 3 then '.pdf'
               when 4 then '.jpeg' when 5 then '' else '.csv' end filename""",
         "case when doc_id % 9 = 0 then 'text/plain' else 'text/csv' end content_type",
-        "n_chars size_bytes",
+        "case when doc_id % 10 = 3 then n_chars + 60000000 else n_chars end size_bytes",
         "text content",
     )

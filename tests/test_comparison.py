@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from musterline.plans import catalog, comparison_sql
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = catalog.queries()
+SQL = comparison_sql.statements()
 
 
 @pytest.fixture(scope="module")
