@@ -46,11 +46,12 @@ def first_by_hash(hashed: DataFrame, history: DataFrame, order: str) -> DataFram
     """Per content hash the first file and whether the history already holds the content.
 
     Grouping first means that a third of all files being copies of one file costs one
-    partial row per task; only then are the distinct hashes matched with the history.
+    partial row per task; only then are the distinct hashes matched with the history, which
+    is first cut to them (without a shuffle where they are few).  Null is no content.
     """
-    firsts = hashed.groupBy("file_hash").agg(F.min(order).alias(order))
+    firsts = hashed.where(F.col("file_hash").isNotNull()).groupBy("file_hash").agg(F.min(order).alias(order))
     known = (
-        history.where(F.col("file_hash").isNotNull())
+        history.join(firsts.select("file_hash"), "file_hash", "left_semi")
         .select("file_hash").distinct().withColumn("known", F.lit(True))
     )
     return firsts.join(known, "file_hash", "left").select(
@@ -59,16 +60,18 @@ def first_by_hash(hashed: DataFrame, history: DataFrame, order: str) -> DataFram
 
 
 def duplicate_verdicts(hashed: DataFrame, history: DataFrame, order: str, keep: list[str]) -> DataFrame:
-    """Every incoming file as ``NEW``, ``IN_HISTORY`` or ``REPEATED_IN_BATCH``.
+    """Every incoming file as ``NEW``, ``IN_HISTORY``, ``REPEATED_IN_BATCH`` or ``NO_HASH``.
 
     ``order`` must be unique per file: verdicts come back by that key rather than by hash,
     so the join stays even when many files share a hash.  A later copy in the batch is
     ``REPEATED_IN_BATCH`` whether or not the history knows it too.
     """
     firsts = first_by_hash(hashed, history, order).select(order, "in_history")
-    return hashed.select(*keep).join(firsts, order, "left").select(
+    listed = hashed.select(*keep, F.col("file_hash").isNull().alias("_no_hash"))
+    return listed.join(firsts, order, "left").select(
         *keep,
-        F.when(F.col("in_history"), "IN_HISTORY")
+        F.when(F.col("_no_hash"), "NO_HASH")
+        .when(F.col("in_history"), "IN_HISTORY")
         .when(~F.col("in_history"), "NEW")
         .otherwise("REPEATED_IN_BATCH")
         .alias("verdict"),
@@ -81,14 +84,16 @@ def new_files(hashed: DataFrame, history: DataFrame, order: str) -> DataFrame:
     return hashed.join(accepted, order, "left_semi")
 
 
-def take_in(hashed: DataFrame, history: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def take_in(
+    hashed: DataFrame, history: DataFrame, keep: list[str] | None = None, max_bytes: int = K.MAX_UPLOAD_BYTES
+) -> DataFrame:
     """The inventory of a batch of hashed files with a ``verdict``; only ``NEW`` is processed.
 
     Other verdicts: ``NO_MANAGER``, a failed admission rule, ``UNREADABLE`` (a spreadsheet
     codec we do not have), ``IN_HISTORY``, ``REPEATED_IN_BATCH``.
     """
     typed = F.col("content_type") if "content_type" in hashed.columns else F.lit(K.ALLOWED_CONTENT_TYPES[0])
-    admitted = admission_verdict(F.col("filename"), typed, F.col("size_bytes"))
+    admitted = admission_verdict(F.col("filename"), typed, F.col("size_bytes"), max_bytes)
     rule = (
         F.when(F.coalesce("manager_id", F.lit("")) == "", "NO_MANAGER")
         .when(admitted != "ACCEPTED", admitted)
@@ -119,7 +124,7 @@ def parsed_new_files(
     """
     from musterline.sources.sheets import parse_sheets
 
-    csv_files = hashed.where(reader_for(extension("filename")) == "CSV")
+    csv_files = hashed.where((reader_for(extension("filename")) == "CSV") & F.col("content").isNotNull())
     rows = parse_sheets(csv_files, ["path", "file_hash"], extra_headers)
     return rows.join(fresh.select("path"), "path", "left_semi")
 
@@ -134,7 +139,9 @@ def import_new_rows(batch: DataFrame, roster: DataFrame, order: str = "row_no")
         F.col("employee_id").isNotNull()
     )
     firsts = first_per_key(cleaned, ["employee_id"], [F.col(order).asc()])
-    return firsts.join(_known_ids(roster), "employee_id", "left_anti")
+    # The roster is cut to the batch's IDs first, without a shuffle where these are few.
+    known = _known_ids(roster).join(firsts.select("employee_id"), "employee_id", "left_semi")
+    return firsts.join(known, "employee_id", "left_anti")
 
 
 def _known_ids(roster: DataFrame) -> DataFrame:

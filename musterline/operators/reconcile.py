@@ -117,15 +117,13 @@ def id_set(df: DataFrame, by: str = "manager_id") -> DataFrame:
 
 
 def ids_on_both(roster: DataFrame, sheet: DataFrame, by: str = "manager_id") -> DataFrame:
-    return id_set(roster, by).intersect(id_set(sheet, by))
+    return presence(roster, sheet, by).where("in_roster and in_sheet").select(by, "employee_id")
 
 
 def ids_on_one(roster: DataFrame, sheet: DataFrame, by: str = "manager_id") -> DataFrame:
     """Both set differences, told apart by ``side``."""
-    a, b = id_set(roster, by), id_set(sheet, by)
-    return (
-        a.subtract(b).withColumn("side", F.lit("ROSTER_ONLY"))
-        .unionByName(b.subtract(a).withColumn("side", F.lit("SHEET_ONLY")))
+    return presence(roster, sheet, by).where("in_roster <> in_sheet").select(
+        by, "employee_id", F.when(F.col("in_roster"), "ROSTER_ONLY").otherwise("SHEET_ONLY").alias("side")
     )
 
 

@@ -31,7 +31,6 @@ COUNT_CAPTIONS = (
     ("unknown", "Unknown"),
     ("missing_email", "Without e-mail"),
 )
-_SLICES = 256
 _STATUS_SECTION = {K.MATCHED: 5, K.MISSING: 6, K.UNKNOWN: 7}
 
 
@@ -151,74 +150,27 @@ def notifications(summary: DataFrame, users: DataFrame, report: Column) -> DataF
     )
 
 
-def result_documents(
-    summary: DataFrame,
-    departments: DataFrame,
-    reconciliation: DataFrame,
-    no_email: DataFrame,
-    ids_per_part: int = 100_000,
-    by: str = "manager_id",
-) -> DataFrame:
-    """Nested result per owner: summary, departments, recommendations and the four ID lists.
+def result_documents(summary: DataFrame, by: str = "manager_id") -> DataFrame:
+    """The head of each owner's result: its summary and recommendation codes.
 
-    An owner with up to ``ids_per_part`` entries gets one document.  A larger owner gets
-    ``parts`` documents, entries dealt to parts by hash, so that no array grows with the
-    owner; the lists of all parts together are the whole lists, sorted within each part.
-    Entries are roster IDs, unknown IDs and e-mail gaps, of which the summary has the counts.
+    What an owner has many of is in :func:`result_entries`, so no row grows with the owner.
     """
-    if ids_per_part < 1:
-        raise ValueError("ids_per_part starts at 1")
-    entries = F.col("roster_count") + F.col("unknown") + F.col("missing_email")
-    parts = F.greatest(F.ceil(entries / F.lit(ids_per_part)), F.lit(1)).cast("long")
-    sized = summary.withColumn("parts", parts)
+    facts = [c for c in summary.columns if c != by]
+    return summary.select(by, F.struct(*facts).alias("summary"), _codes().alias("recommendations"))
 
-    # Copies of a row without e-mail collapse to one entry with a count before dealing.
-    gaps = no_email.groupBy(by, "employee_id").agg(F.count("*").alias("n"))
-    pieces = (
-        reconciliation.select(
-            by, F.col("status").alias("kind"), F.col("employee_id").alias("value"), F.lit(1).cast("long").alias("n")
-        )
-        .unionByName(gaps.select(by, F.lit("NO_EMAIL").alias("kind"), F.col("employee_id").alias("value"), "n"))
-        .unionByName(
-            departments.select(by, F.lit("DEPARTMENT").alias("kind"), F.col("department").alias("value"), F.col("headcount").alias("n"))
-        )
-    )
-    # Only owners with several parts need looking up.  Each of them is found under many
-    # slices of its entries, so that no join or grouping key holds a whole owner.
-    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SLICES - 1).cast("long")))
-    split_owners = sized.where(F.col("parts") > 1).select(by, "parts", slices.alias("_slice"))
-    # Seeded by constants, so that IDs chosen by their plain hash still spread evenly.
-    dealt = (
-        pieces.withColumn("_slice", F.pmod(F.xxhash64(F.lit("slice"), F.col("value")), F.lit(_SLICES)))
-        .join(split_owners, [by, "_slice"], "left")
-        .withColumn(
-            "part",
-            F.coalesce(F.pmod(F.xxhash64(F.lit("part"), F.col("value")), F.col("parts")), F.lit(0).cast("long")),
-        )
-    )
 
-    def listed(kind: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
-
-    lists = dealt.groupBy(by, "part").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(
-                F.col("kind") == "DEPARTMENT",
-                F.struct((-F.col("n")).alias("rank"), F.col("value").alias("department"), F.col("n").alias("employees")),
-            ))),
-            lambda d: F.struct(d["department"].alias("department"), d["employees"].alias("employees")),
-        ).alias("department_summary"),
-        listed(K.MATCHED).alias("matched_ids"),
-        listed(K.MISSING).alias("missing_ids"),
-        listed(K.UNKNOWN).alias("unknown_ids"),
-        listed("NO_EMAIL").alias("without_email"),
-        F.sum(
-            F.when((F.col("kind") == "NO_EMAIL") & F.col("value").isNull(), F.col("n")).otherwise(0)
-        ).alias("without_email_and_id"),
-    )
-    facts = [c for c in summary.columns if c != by]
-    heads = sized.select(
-        by, "parts", F.struct(*facts).alias("summary"), _codes().alias("recommendations"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+def result_entries(
+    departments: DataFrame, reconciliation: DataFrame, no_email: DataFrame, by: str = "manager_id"
+) -> DataFrame:
+    """One row ``(owner, list, value, n)`` per entry of an owner's result.
+
+    Lists: ``MATCHED``, ``MISSING``, ``UNKNOWN`` IDs; ``NO_EMAIL`` with the number of roster rows
+    of that ID (null for rows without one); ``DEPARTMENT`` with its headcount.
+    """
+    one = F.lit(1).cast("long")
+    gaps = no_email.groupBy(by, "employee_id").agg(F.count("*").alias("n"))
+    return (
+        reconciliation.select(by, F.col("status").alias("list"), F.col("employee_id").alias("value"), one.alias("n"))
+        .unionByName(gaps.select(by, F.lit("NO_EMAIL").alias("list"), F.col("employee_id").alias("value"), "n"))
+        .unionByName(departments.select(by, F.lit("DEPARTMENT").alias("list"), F.col("department").alias("value"), F.col("headcount").alias("n")))
     )
-    return heads.join(lists, [by, "part"], "left")

@@ -393,18 +393,15 @@ def notifications(s, d):
 
 @_query
 def result_documents(s, d):
-    """The nested documents with their lists written out as text."""
-    roster, sheet = V.roster(s, d), V.sheet(s, d)
-    documents = reports.result_documents(
-        reconcile.summarise(roster, sheet),
-        reconcile.department_headcount_by_owner(roster),
-        reconcile.reconcile(roster, sheet),
-        reconcile.without_email(roster),
+    """The heads, recommendation codes written out as text."""
+    return reports.result_documents(_summary(s, d)).select(
+        "manager_id", "summary.compliance_score", "summary.risk_level", F.array_join("recommendations", ",").alias("recommendations")
     )
-    lists = ("recommendations", "matched_ids", "missing_ids", "unknown_ids", "without_email")
-    departments = F.transform("department_summary", lambda x: F.concat(x["department"], F.lit(":"), x["employees"].cast("string")))
-    return documents.select(
-        "manager_id", "part", "parts", "summary.compliance_score",
-        F.array_join(departments, ",").alias("department_summary"),
-        *[F.array_join(c, ",").alias(c) for c in lists],
+
+
+@_query
+def result_entries(s, d):
+    roster, sheet = V.roster(s, d), V.sheet(s, d)
+    return reports.result_entries(
+        reconcile.department_headcount_by_owner(roster), reconcile.reconcile(roster, sheet), reconcile.without_email(roster)
     )

@@ -513,15 +513,14 @@ select m.email receiver, 'Your compliance report: risk ' || risk_level subject,
   'Missing: ' || missing, 'Unknown: ' || unknown, 'Without e-mail: ' || missing_email,
   concat_ws(chr(10), {_ADVICE}), 'Report: report_' || manager_id || '_20240201_000000.txt') body
 from summary s join managers m on m.id = s.manager_id"""),
-        "result_documents": _with("summary departments pairs no_email", """
-select s.manager_id, cast(0 as bigint) part, cast(1 as bigint) parts, s.compliance_score,
- (select string_agg(department || ':' || headcount, ',' order by headcount desc, department) from departments d where d.manager_id = s.manager_id) department_summary,
+        "result_documents": _with("summary", """
+select s.manager_id, s.compliance_score, s.risk_level,
  coalesce(nullif(concat_ws(',', case when missing > 0 then 'REVIEW_MISSING' end, case when unknown > 0 then 'VERIFY_UNKNOWN' end,
-  case when missing_email > 0 then 'FIX_EMAIL' end), ''), 'NO_ISSUES') recommendations,
- coalesce((select string_agg(employee_id, ',' order by employee_id) from pairs p where p.manager_id = s.manager_id and status = 'MATCHED'), '') matched_ids,
- coalesce((select string_agg(employee_id, ',' order by employee_id) from pairs p where p.manager_id = s.manager_id and status = 'MISSING'), '') missing_ids,
- coalesce((select string_agg(employee_id, ',' order by employee_id) from pairs p where p.manager_id = s.manager_id and status = 'UNKNOWN'), '') unknown_ids,
- coalesce((select string_agg(employee_id, ',' order by employee_id) from no_email n where n.manager_id = s.manager_id), '') without_email
+  case when missing_email > 0 then 'FIX_EMAIL' end), ''), 'NO_ISSUES') recommendations
 from summary s"""),
+        "result_entries": _with("departments pairs no_email", """
+select manager_id, status as list, employee_id as value, 1 n from pairs
+union all select manager_id, 'NO_EMAIL', employee_id, count(*) from no_email group by 1, 3
+union all select manager_id, 'DEPARTMENT', department, headcount from departments"""),
     }
     return sql

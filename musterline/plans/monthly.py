@@ -68,7 +68,6 @@ def run_month(
         reports.notifications(summary, users, reports.report_name(F.col("manager_id"), clock)), "notifications"
     )
     if documents:
-        sinks.write_documents(
-            reports.result_documents(summary, departments, pairs, no_email), result.path("documents")
-        )
+        sinks.write_documents(reports.result_documents(summary), result.path("documents"))
+        publish(reports.result_entries(departments, pairs, no_email), "document_entries")
     return result

@@ -34,6 +34,12 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = K.MAX_UPLOAD_BYT
     return as_inventory(scan.where(F.col("length") <= max_bytes))
 
 
+def all_files(scan: DataFrame, beyond: DataFrame, max_bytes: int = K.MAX_UPLOAD_BYTES) -> DataFrame:
+    """Every file of two equal ``binaryFile`` scans: with content up to ``max_bytes``, without (and unread) beyond."""
+    large = beyond.where(F.col("length") > max_bytes).select("path", "modificationTime", "length")
+    return as_inventory(scan.where(F.col("length") <= max_bytes).unionByName(large, allowMissingColumns=True))
+
+
 def oversized_files(spark: SparkSession, path: str, max_bytes: int = K.MAX_UPLOAD_BYTES) -> DataFrame:
     """The files :func:`read_files` leaves out; content is not read."""
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from musterline import constants as K
 from musterline.functions import extension
-from musterline.sources.inventory import owner_in_path, read_files
+from musterline.sources.inventory import oversized_files, owner_in_path, read_files
 
 # A quoted cell may be as long as the file it is in.
 csv.field_size_limit(K.MAX_UPLOAD_BYTES)
@@ -102,13 +102,18 @@ def _sheet_chunks(
 def read_sheets(
     spark: SparkSession, folder: str, extra: dict[str, str] | None = None, max_bytes: int = K.MAX_UPLOAD_BYTES
 ) -> DataFrame:
-    """All CSV sheets below ``<folder>/manager_id=<id>/``, each under its own header.
+    """All sheets below ``<folder>/manager_id=<id>/``, each under its own header.
 
     Rows as from :func:`parse_sheets`, with ``path`` and ``manager_id``; look at ``problem``
-    before using them.
+    before using them.  A file that is no CSV or too large gives one row that says so.
     """
     files = read_files(spark, folder, max_bytes).withColumn("manager_id", owner_in_path())
-    return parse_sheets(files.where(extension("filename") == ".csv"), ["path", "manager_id"], extra)
+    is_csv = extension("filename") == ".csv"
+    rows = parse_sheets(files.where(is_csv), ["path", "manager_id"], extra)
+    turned_away = files.where(~is_csv).select("path", "manager_id", F.lit("UNREADABLE").alias("problem")).unionByName(
+        oversized_files(spark, folder, max_bytes).select("path", owner_in_path().alias("manager_id"), F.lit("TOO_LARGE").alias("problem"))
+    ).withColumn("row_no", F.lit(0).cast("long"))
+    return rows.unionByName(turned_away, allowMissingColumns=True)
 
 
 def preview(rows: DataFrame, sheet: str, order: str, k: int = K.PREVIEW_ROWS) -> DataFrame:

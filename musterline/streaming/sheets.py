@@ -16,7 +16,7 @@ from musterline import constants as K
 from musterline.functions import content_hash, utc_now
 from musterline.operators import ingest, reconcile, records, reports
 from musterline.sources import sinks
-from musterline.sources.inventory import FILE_SCHEMA, as_inventory, owner_in_path
+from musterline.sources.inventory import FILE_SCHEMA, all_files, owner_in_path
 
 _INVENTORY = (
     "path string, filename string, stored_name string, manager_id string, size_bytes long, "
@@ -42,14 +42,17 @@ class SheetJob:
 def arriving_files(
     spark: SparkSession, inbox: str, files_per_batch: int = 1000, max_bytes: int = K.MAX_UPLOAD_BYTES
 ) -> DataFrame:
-    """New files with their manager; larger ones are passed over by length, unread."""
-    scan = (
-        spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(inbox)
-    )
-    return as_inventory(scan.where(F.col("length") <= max_bytes)).withColumn("manager_id", owner_in_path())
+    """New files with their manager; those over the limit come without content, unread."""
+
+    def scan() -> DataFrame:
+        return (
+            spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+            .option("recursiveFileLookup", "true")
+            .option("maxFilesPerTrigger", files_per_batch)
+            .load(inbox)
+        )
+
+    return all_files(scan(), scan(), max_bytes).withColumn("manager_id", owner_in_path())
 
 
 def sheet_stream(
@@ -71,7 +74,7 @@ def process_batch(files: DataFrame, batch_id: int, job: SheetJob, clock: Column
         return sinks.publish(df, job.table(name), batch_id=batch_id)
 
     hashed = files.withColumn("file_hash", content_hash("content"))
-    inventory = publish(ingest.take_in(hashed, _history(spark, job, batch_id)), "inventory")
+    inventory = publish(ingest.take_in(hashed, _history(spark, job, batch_id), max_bytes=job.max_bytes), "inventory")
     fresh = inventory.where(F.col("verdict") == "NEW")
 
     rows = publish(ingest.parsed_new_files(hashed, fresh, job.extra_headers), "sheet_rows")
@@ -92,7 +95,7 @@ def process_batch(files: DataFrame, batch_id: int, job: SheetJob, clock: Column
     status = F.when(F.col("problem").isNull(), K.STATUS_COMPLETED).otherwise(K.STATUS_FAILED)
     publish(records.upload_rows(ended, K.SHEET_FILE, status, who, clock), "upload_history")
 
-    report = reports.report_name(F.concat_ws("_", "manager_id", F.substring("file_hash", 1, 12)), clock)
+    report = reports.report_name(F.concat_ws("_", "manager_id", "file_hash"), clock)
     names = (
         summary.select("file_hash", F.col("manager_id").alias("id")).join(users, "id", "left")
         .select("file_hash", F.coalesce("name", "id").alias("name"))

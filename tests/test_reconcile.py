@@ -145,36 +145,14 @@ def frames(roster, sheet):
     )
 
 
-def test_result_document_is_whole_and_sorted(small):
-    docs = {r.manager_id: r for r in reports.result_documents(*frames(*small)).collect()}
-    a = docs["a"]
-    assert (a.part, a.parts, a.summary.matched, a.recommendations) == (
-        0, 1, 2, ["REVIEW_MISSING", "VERIFY_UNKNOWN", "FIX_EMAIL"]
-    )
-    assert (a.matched_ids, a.missing_ids, a.unknown_ids, a.without_email, a.without_email_and_id) == (
-        ["1", "2"], ["3"], ["9"], ["2"], 1
-    )
-    assert [tuple(d) for d in a.department_summary] == [("Unknown", 2), (" ", 1), ("Ops", 1)]
-
-
-def test_parts_stay_even_for_ids_picked_by_their_hash(spark):
-    roster = spark.range(6000).select(
-        F.lit("hot").alias("manager_id"), F.col("id").cast("string").alias("employee_id"),
-        F.lit("x@y").alias("company_email"), F.lit("Ops").alias("department"),
-    ).where(F.pmod(F.xxhash64("employee_id"), F.lit(3)) == 0)
-    sizes = [len(r.matched_ids) for r in reports.result_documents(*frames(roster, roster), ids_per_part=230).collect()]
-    assert len(sizes) in (8, 9, 10) and max(sizes) < 2 * min(sizes)
-
+def test_result_has_one_head_and_a_row_per_entry(small):
+    summary, departments, pairs, no_email = frames(*small)
+    heads = {r.manager_id: r for r in reports.result_documents(summary).collect()}
+    assert heads["a"].summary.matched == 2
+    assert heads["a"].recommendations == ["REVIEW_MISSING", "VERIFY_UNKNOWN", "FIX_EMAIL"]
+    entries = reports.result_entries(departments, pairs, no_email).where("manager_id = 'a'")
+    assert {(r["list"], r["value"], r["n"]) for r in entries.collect()} == {
+        ("MATCHED", "1", 1), ("MATCHED", "2", 1), ("MISSING", "3", 1), ("UNKNOWN", "9", 1), ("NO_EMAIL", "2", 1), ("NO_EMAIL", None, 1),
+        ("DEPARTMENT", "Unknown", 2), ("DEPARTMENT", " ", 1), ("DEPARTMENT", "Ops", 1),
+    }
 
-def test_large_owner_is_split_over_parts_without_loss(spark):
-    n = 500
-    roster = spark.range(n).select(
-        F.lit("hot").alias("manager_id"), F.col("id").cast("string").alias("employee_id"),
-        F.lit(None).cast("string").alias("company_email"), F.lit("Ops").alias("department"),
-    )
-    sheet = roster.where("cast(employee_id as int) % 3 = 0").select("manager_id", "employee_id")
-    rows = reports.result_documents(*frames(roster, sheet), ids_per_part=50).collect()
-    assert len(rows) == rows[0].parts == 20
-    assert sorted(i for r in rows for i in r.matched_ids or []) == sorted(str(i) for i in range(0, n, 3))
-    assert sorted(i for r in rows for i in r.without_email or []) == sorted(str(i) for i in range(n))
-    assert max(len(r.missing_ids or []) for r in rows) < 60

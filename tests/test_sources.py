@@ -178,7 +178,9 @@ def test_month_messages_and_documents(spark, month):
     mails = {r.receiver: r.body for r in month.table(spark, "notifications").collect()}
     assert set(mails) == {"ann@x", "bob@x"} and "Report: report_m1_20240131_120000.txt" in mails["ann@x"]
     docs = {r.manager_id: r for r in spark.read.json(month.path("documents")).collect()}
-    assert docs["m1"].unknown_ids == ["4"] and docs["m2"].recommendations == ["NO_ISSUES"]
+    entries = {(r.manager_id, r["list"], r.value) for r in month.table(spark, "document_entries").collect()}
+    assert [v for m, kind, v in entries if (m, kind) == ("m1", "UNKNOWN")] == ["4"]
+    assert docs["m2"].recommendations == ["NO_ISSUES"]
     raw = [json.loads(line) for f in os.listdir(month.path("documents")) if f.startswith("part-")
            for line in open(f"{month.path('documents')}/{f}")]
     assert {d["manager_id"] for d in raw} == {"m1", "m2", "m3"}

@@ -140,6 +140,20 @@ def test_live_job_status_ends_at_the_batch_answer(spark, pieces, data_dir, tmp_p
     assert same(live_rows, dashboards.job_status(V.upload_history(spark, data_dir)))
 
 
+def test_every_file_gets_a_record(spark, place, tmp_path):
+    inbox, job, _, table, _ = place
+    small = SheetJob(job.out, job.roster, job.users, max_bytes=40)
+    drop(inbox, "m 1", "ok.csv", "Employee ID\n1\n")
+    drop(inbox, "m 1", "big.csv", "Employee ID\n" + "1\n" * 50)
+    drop(inbox, "m2", "notes.pdf", "x")
+    sheet_stream(spark, inbox, small, f"{tmp_path}/checkpoint2").trigger(availableNow=True).start().awaitTermination()
+    assert {r.filename: r.verdict for r in table("inventory").collect()} == {
+        "ok.csv": "NEW", "big.csv": "TOO_LARGE", "notes.pdf": "BAD_EXTENSION",
+    }
+    failed = {os.path.basename(r.path): r.reason for r in table("status_events").where("status = 'FAILED'").collect()}
+    assert failed == {"big.csv": "TOO_LARGE", "notes.pdf": "BAD_EXTENSION"}
+
+
 def test_live_counters_end_at_the_batch_answer(spark, pieces, data_dir, tmp_path):
     uploads = finish(live.live_upload_counts(stream(spark, pieces, "upload_history")), "live_uploads", "complete", tmp_path)
     assert same(uploads, live.live_upload_counts(V.upload_history(spark, data_dir)))
