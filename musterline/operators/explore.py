@@ -1,5 +1,7 @@
 """Search, sorting and paging over the roster; search across entities."""
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline import constants as K
@@ -30,13 +32,26 @@ def _checked(page: int, limit: int) -> None:
         raise ValueError(f"page and limit start at 1, got page={page} limit={limit}")
 
 
-def roster_order(sort_by: str = "employee_id", sort_order: str = "asc") -> list[Column]:
-    """Nulls last ascending, first descending; ties by ID, then by owner, so pages never overlap."""
-    column = sort_by if sort_by in K.SORTABLE_COLUMNS else "employee_id"
-    descending = sort_order.lower() == "desc"
-    first = F.col(column).desc_nulls_first() if descending else F.col(column).asc_nulls_last()
-    ties = [c for c in ("employee_id", "manager_id") if c != column]
-    return [first, *[F.col(c).asc_nulls_last() for c in ties]]
+def order_keys(columns: list[str], sort_by: str = "employee_id", sort_order: str = "asc") -> list[tuple[str, bool]]:
+    """``(column, descending)`` to sort by: the chosen column, then ID, owner and row key, those there are."""
+    column = sort_by if sort_by in (*K.SORTABLE_COLUMNS, "id") and sort_by in columns else "employee_id"
+    ties = [c for c in ("employee_id", "manager_id", "id") if c != column and c in columns]
+    return [(column, sort_order.lower() == "desc"), *[(c, False) for c in ties]]
+
+
+def roster_order(columns: list[str], sort_by: str = "employee_id", sort_order: str = "asc") -> list[Column]:
+    """Nulls last ascending, first descending.  With a unique ``id`` in the frame pages never overlap."""
+    return [
+        F.col(c).desc_nulls_first() if descending else F.col(c).asc_nulls_last()
+        for c, descending in order_keys(columns, sort_by, sort_order)
+    ]
+
+
+def _behind(column: str, descending: bool, value) -> Column:
+    """Rows that come after ``value`` by one key."""
+    if descending:
+        return F.col(column).isNotNull() if value is None else F.col(column) < F.lit(value)
+    return F.lit(False) if value is None else F.col(column).isNull() | (F.col(column) > F.lit(value))
 
 
 def roster_page(
@@ -52,11 +67,11 @@ def roster_page(
     """One page in order.  Each task keeps ``page * limit`` rows; for deep pages use
     :func:`roster_page_after`."""
     _checked(page, limit)
-    columns = [c for c in PAGE_COLUMNS if c in roster.columns]
+    columns = [c for c in ("id", *PAGE_COLUMNS) if c in roster.columns]
     return (
         filter_roster(roster, search, department, literal)
         .select(*columns)
-        .orderBy(*roster_order(sort_by, sort_order))
+        .orderBy(*roster_order(columns, sort_by, sort_order))
         .offset((page - 1) * limit)
         .limit(limit)
     )
@@ -71,24 +86,29 @@ def my_roster_page(
 
 def roster_page_after(
     roster: DataFrame,
-    last: str | None,
+    last: Mapping[str, object] | None,
     limit: int = K.PAGE_SIZE,
     search: str = "",
     department: str = "",
+    sort_by: str = "employee_id",
+    sort_order: str = "asc",
     literal: bool = False,
-    key: str = "employee_id",
 ) -> DataFrame:
-    """The next page in ``key`` order after ``last``: its cost does not grow with depth.
+    """The page behind the row ``last`` (its values by name) in any order of :func:`roster_page`.
 
-    ``key`` has to be unique, and rows without it are on no page: where some roster rows
-    have no employee ID yet, walk by ``id``.
+    Its cost does not grow with depth: each task keeps ``limit`` rows.  The walk reaches every
+    row, nulls in their place, where ``id`` or all sort keys together are unique.
     """
     _checked(1, limit)
-    rows = filter_roster(roster, search, department, literal).where(F.col(key).isNotNull())
+    rows = filter_roster(roster, search, department, literal)
+    columns = [c for c in ("id", *PAGE_COLUMNS) if c in roster.columns]
     if last is not None:
-        rows = rows.where(F.col(key) > last)
-    columns = dict.fromkeys([key, *(c for c in PAGE_COLUMNS if c in roster.columns)])
-    return rows.select(*columns).orderBy(key).limit(limit)
+        behind, equal = F.lit(False), F.lit(True)
+        for column, descending in order_keys(columns, sort_by, sort_order):
+            behind = behind | (equal & _behind(column, descending, last[column]))
+            equal = equal & F.col(column).eqNullSafe(F.lit(last[column]))
+        rows = rows.where(behind)
+    return rows.select(*columns).orderBy(*roster_order(columns, sort_by, sort_order)).limit(limit)
 
 
 def roster_page_info(

@@ -234,6 +234,13 @@ def roster_page(s, d):
     return explore.roster_page(V.roster(s, d), **PAGE)
 
 
+@_query
+def roster_page_after(s, d):
+    """The page behind a row without a department, in the same order."""
+    last = {"department": None, "employee_id": "143", "manager_id": "3"}
+    return explore.roster_page_after(V.roster(s, d), last, PAGE["limit"], sort_by="department", sort_order="desc")
+
+
 @_query
 def roster_page_info(s, d):
     return explore.roster_page_info(V.roster(s, d), PAGE["page"], PAGE["limit"])

@@ -402,6 +402,9 @@ select * from roster where employee_id ilike '%build%' or full_name ilike '%buil
  or company_email ilike '%build%' or department ilike '%build%'"""),
         "roster_page": _with("roster", """
 select * from roster order by department desc nulls first, employee_id asc nulls last, manager_id limit 20 offset 20"""),
+        "roster_page_after": _with("roster", """
+select * from roster where department is not null or employee_id > '143' or (employee_id = '143' and manager_id > '3')
+order by department desc nulls first, employee_id asc nulls last, manager_id limit 20"""),
         "roster_page_info": _with("roster", """
 select cast(2 as bigint) as page, cast(20 as bigint) page_limit, count(*) total_records,
  cast(ceil(count(*) / 20) as bigint) total_pages from roster"""),

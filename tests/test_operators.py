@@ -174,24 +174,20 @@ def test_pages_cover_the_roster_once(people):
     assert ids(explore.roster_page(people, 1, 3, sort_by="no such column", sort_order="x")) == ["e00", "e01", "e02"]
 
 
-def test_keyset_pages_equal_offset_pages(people):
-    last, seen = None, []
-    while page := ids(explore.roster_page_after(people, last, 7)):
-        seen += page
-        last = page[-1]
-    assert seen == sorted(seen) and len(seen) == 25
-
-
-def test_keyset_walk_by_row_key_reaches_rows_without_an_employee_id(spark):
+@pytest.mark.parametrize("order", ["asc", "desc"])
+@pytest.mark.parametrize("sort_by", ["employee_id", "full_name", "department", "manager_id"])
+def test_keyset_pages_equal_offset_pages(spark, sort_by, order):
     rows = spark.createDataFrame(
-        [(f"k{i}", None if i % 2 else f"e{i}") for i in range(9)], "id string, employee_id string"
-    )
+        [(f"k{i:02d}", None if i % 3 else f"e{i % 6}", f"n{i % 4}", None if i % 5 == 0 else f"d{i % 2}", None if i % 7 == 0 else f"m{i % 3}")
+         for i in range(30)],
+        "id string, employee_id string, full_name string, department string, manager_id string",
+    ).coalesce(2)
+    whole = [r.id for r in explore.roster_page(rows, 1, 100, sort_by=sort_by, sort_order=order).collect()]
     last, seen = None, []
-    while page := [r.id for r in explore.roster_page_after(rows, last, 4, key="id").collect()]:
-        seen += page
-        last = page[-1]
-    assert seen == [f"k{i}" for i in range(9)]
-    assert ids(explore.roster_page_after(rows, None, 9)) == ["e0", "e2", "e4", "e6", "e8"]
+    while page := explore.roster_page_after(rows, last, 11, sort_by=sort_by, sort_order=order).collect():
+        seen += [r.id for r in page]
+        last = page[-1].asDict()
+    assert seen == whole and sorted(seen) == [f"k{i:02d}" for i in range(30)]
 
 
 def test_page_filters_and_info(people):
