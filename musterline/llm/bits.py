@@ -13,14 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from musterline.llm.words import mixed
+
 BITS = 1 << 24
 _SLICES = 8
 _SCHEMA = "slice int, bits binary"
 
 
 def cells(keys: np.ndarray) -> np.ndarray:
-    """The cell of each 64-bit key: its top bits."""
-    return (keys.view(np.uint64) >> np.uint64(40)).astype(np.int64)
+    """The cell of each 64-bit key: the top bits once they are mixed, as keys may be the least of many hashes."""
+    return (mixed(keys.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +43,7 @@ def _either(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
-    """BITS booleans from the one column of well-mixed longs."""
+    """BITS booleans from the one column of longs."""
     rows = keys.dropna().mapInArrow(_mark, _SCHEMA).groupBy("slice").applyInArrow(_either, _SCHEMA).collect()
     packed = np.zeros((_SLICES, BITS // _SLICES // 8), np.uint8)
     for r in rows:

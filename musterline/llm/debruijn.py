@@ -4,8 +4,8 @@ An edge is a window of k words, between its first and its last k - 1 words; only
 more than once are of interest. Edges are partitioned by their anchors (see repeats.py), and
 neighbouring edges of one anchor are kept as one segment. Where an anchor always has the same
 content, the segment is a path without branches: whoever passes one of its edges passes
-all of them, so it stays one compact edge. The other segments may branch inside. They are
-taken apart into single edges, which Spark counts by window hash.
+all of them, so it stays one compact edge. The other segments may branch inside: they are
+taken apart into single edges, counted by window hash where all contents of an anchor meet.
 
 `paths` then joins compact edges further: B follows A where every occurrence of A is directly
 followed by B and every occurrence of B directly follows A. What is removed is decided by
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from musterline.llm import repeats
 from musterline.llm.components import components
 from musterline.llm.tables import written
-from musterline.llm.words import runs_hash
+from musterline.llm.words import mixed, runs_hash
 
-GRAM = 8
+GRAM = 20
+SHARD = 4 << 20  # bytes of window hashes aimed at
+CROWD = 20_000
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,21 @@ class Graph:
     kept: DataFrame
 
 
-def _windows(k: int):
-    return lambda text, get, start, count: runs_hash(get(start, start + count + k - 1), k).tobytes()
+def _payloads(k: int):
+    """The hashes of all windows of each segment."""
+
+    def payloads(block: repeats.Block, starts: list[int], counts: list[int]) -> list[bytes]:
+        h = runs_hash(block.symbols, k)
+        return [h[a : a + n].tobytes() for a, n in zip(starts, counts, strict=True)]
+
+    return payloads
+
+
+def _look(anchor: np.ndarray, n: np.ndarray, count: np.ndarray, payloads: list[bytes]) -> np.ndarray:
+    """Which windows occur more than once with the same anchor."""
+    key = mixed(np.repeat(anchor.view(np.uint64), count)) ^ np.frombuffer(b"".join(payloads), np.uint64)
+    _, inverse = np.unique(key, return_inverse=True)
+    return np.bincount(inverse, np.repeat(n, count))[inverse] > 1
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,27 +72,19 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([own.column("anchor"), own.column("content"), pa.array(place, pa.int64()), pa.array(np.concatenate(loads)), own.column("n")], names=["anchor", "content", "place", "window", "n"])
 
 
-def compact(docs: DataFrame, k: int = 35) -> Graph:
+def compact(docs: DataFrame, k: int = 35, shard: int = SHARD, crowd: int = CROWD) -> Graph:
     """Repeated edges of k words in docs (doc_id, text), and each text without them."""
     kind = repeats.Kind(k, min(GRAM, k), True)
     texts = repeats.texts_of(docs)
-    found = repeats.find(texts, kind, _windows(k), "debruijn")
-    single = found.contents.mapInArrow(_split, "anchor long, content long, place long, window long, n long")
-    single = written(single, "debruijn-windows")
-    seen = single.groupBy("anchor", "window").agg(F.sum("n").alias("met")).where("met > 1").drop("met")
-    repeated = single.join(seen, ["anchor", "window"]).select("anchor", "content", "place", "window")
-    # Neighbouring repeated edges of one content in runs; as many rows as it has branches.
-    by = "partition by anchor, content order by place"
-    runs = repeated.withColumn("run", F.expr(f"place - row_number() over ({by})")).groupBy("anchor", "content", "run").agg(F.min("place").alias("from"), F.count("*").alias("edges"))
-    branching = found.mixed.join(runs, ["anchor", "content"]).select("doc_id", "row_key", (F.col("start") + F.col("from")).alias("start"), F.col("edges").alias("count"))
-    kept = repeats.cut(texts, found.solid.drop("anchor").unionByName(branching), kind)
-
-    places = found.mixed.join(repeated, ["anchor", "content"]).select("doc_id", "row_key", (F.col("start") + F.col("place")).alias("start"), F.lit(1).cast("long").alias("count"), F.xxhash64("anchor", "window").alias("edge"))
-    return Graph(found_edges(found).unionByName(places), kept)
-
-
-def found_edges(found: repeats.Found) -> DataFrame:
-    return found.solid.select("doc_id", "row_key", "start", "count", F.col("anchor").alias("edge"))
+    found = repeats.find(texts, kind, _payloads(k), "debruijn")
+    runs = repeats.resolve(found.contents, _look, _split, shard, crowd, "debruijn")
+    kept = repeats.cut(texts, repeats.ranges(found, runs), kind)
+
+    # The repeated edges of segments that may branch, one by one.
+    single = found.contents.mapInArrow(_split, repeats.SINGLE).join(runs, ["anchor", "content"]).where("place >= from and place < from + edges")
+    places = found.mixed.join(single.select("anchor", "content", "place", "window"), ["anchor", "content"])
+    places = places.select("doc_id", "row_key", (F.col("start") + F.col("place")).alias("start"), F.lit(1).cast("long").alias("count"), F.xxhash64("anchor", "window").alias("edge"))
+    return Graph(found.solid.withColumnRenamed("anchor", "edge").unionByName(places), kept)
 
 
 def paths(edges: DataFrame) -> DataFrame:

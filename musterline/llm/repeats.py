@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 
 from musterline.llm.bits import bit_table, member
 from musterline.llm.tables import written
-from musterline.llm.words import _BYTE, mixed, powers, runs_hash, text_bytes, word_hashes
+from musterline.llm.words import _BYTE, document_words, mixed, powers, runs_hash, text_bytes
 
-_CHUNK = 1 << 18
+_CHUNK = 1 << 17
 _PLACE = np.uint64((1 << 20) - 1)
 _CONTENT = 0xD6E8FEB86659FD93
 
 
 @dataclass(frozen=True)
 class Segments:
-    """Of one text: first window, windows, anchor hash and content hash of each segment."""
+    """First window, windows, anchor hash and content hash of each segment."""
 
     start: np.ndarray
     count: np.ndarray
@@ -55,35 +55,57 @@ def _least_place(keys: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[: n - width + 1], ahead[width - 1 : n]) & _PLACE).astype(np.int64)
 
 
-def segments(symbols: Callable[[int, int], np.ndarray], n: int, unit: int, gram: int) -> Segments:
-    """Of a text of n symbols; symbols(lo, hi) gives their hashes."""
+def _within(h: np.ndarray, at: np.ndarray, unit: int, gram: int) -> Segments:
+    """Of texts that lie one after the other in h; text i begins at at[i], and no window leaves its text."""
+    grams = runs_hash(h, gram)
+    place = _least_place(grams, unit - gram + 1)
+    inside = np.zeros(len(h) + 1, np.int32)
+    size = np.diff(at)
+    long = size >= unit
+    np.add.at(inside, at[:-1][long], 1)
+    np.add.at(inside, at[1:][long] - unit + 1, -1)
+    valid = np.cumsum(inside)[: len(place)] > 0
+    new = valid.copy()
+    new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
+    new[at[:-1][long]] = True
+    first = np.flatnonzero(new)
+    count = np.bincount(np.cumsum(new)[valid] - 1, minlength=len(first)) if len(first) else np.zeros(0, np.int64)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(_CONTENT, len(h)), out=total[1:])
+    down = powers(pow(_CONTENT, -1, 1 << 64), len(h))
+    content = mixed((total[first + count + unit - 1] - total[first]) * down[first] + count.astype(np.uint64))
+    return Segments(first, count, grams[place[first]], content)
+
+
+def segments(h: np.ndarray, at: np.ndarray, unit: int, gram: int) -> Segments:
+    """Of texts of symbol hashes h that begin at at[:-1]; a text longer than a chunk stands alone."""
+    n = len(h)
+    if n < unit:
+        return Segments(*(np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, np.uint64)))
+    if n <= 2 * _CHUNK or len(at) > 2:
+        return _within(h, at, unit, gram)
     out, lo = [], 0
-    while n - lo >= unit:
-        hi = min(n, lo + _CHUNK + unit)
-        h = symbols(lo, hi)
-        grams = runs_hash(h, gram)
-        place = _least_place(grams, unit - gram + 1)
-        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        count = np.diff(np.append(first, len(place)))
-        if hi < n:  # the last segment may go on: the next chunk begins with it
-            keep = len(first) - 1
-            step = int(first[-1])
-            first, count = first[:keep], count[:keep]
-        else:
-            step = len(place)
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * powers(_CONTENT, len(h)), out=total[1:])
-        down = powers(pow(_CONTENT, -1, 1 << 64), len(h))
-        end = first + count + unit - 1
-        content = mixed((total[end] - total[first]) * down[first] + count.astype(np.uint64))
-        out.append((first + lo, count, grams[place[first]], content))
-        lo += step
-        if hi == n:
+    while True:
+        part = h[lo : lo + _CHUNK + unit]
+        s = _within(part, np.array([0, len(part)]), unit, gram)
+        if lo + len(part) == n:
+            out.append(Segments(s.start + lo, s.count, s.anchor, s.content))
             break
-    if not out:
-        empty = np.zeros(0, np.int64)
-        return Segments(empty, empty, empty.view(np.uint64), empty.view(np.uint64))
-    return Segments(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        # The last segment may go on: the next chunk begins with it.
+        out.append(Segments(s.start[:-1] + lo, s.count[:-1], s.anchor[:-1], s.content[:-1]))
+        lo += int(s.start[-1])
+    return Segments(*(np.concatenate([getattr(s, x) for s in out]) for x in ("start", "count", "anchor", "content")))
+
+
+@dataclass(frozen=True)
+class Block:
+    """Neighbouring texts: their rows, where each begins, their symbols (word hashes or bytes), segments and the text of each segment."""
+
+    rows: np.ndarray
+    at: np.ndarray
+    symbols: np.ndarray
+    found: Segments
+    owner: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -94,19 +116,37 @@ class Kind:
     gram: int
     words: bool
 
-    def symbols(self, text: np.ndarray) -> tuple[Callable[[int, int], np.ndarray], int]:
-        if self.words:
-            h = word_hashes(text)[2]
-            return (lambda lo, hi: h[lo:hi]), len(h)
-        return (lambda lo, hi: _BYTE[text[lo:hi]]), len(text)
+    def _block(self, rows: list[int], parts: list[np.ndarray]) -> Block:
+        at = np.cumsum([0] + [len(p) for p in parts])
+        h = np.concatenate(parts)
+        found = segments(h, at, self.unit, self.gram)
+        return Block(np.array(rows), at, h, found, np.searchsorted(at, found.start, side="right") - 1)
 
-    def of(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, Callable[[int, int], np.ndarray], Segments]]:
-        data, at = text_bytes(column)
-        for row in range(len(at) - 1):
-            text = data[at[row] : at[row + 1]]
-            get, n = self.symbols(text)
-            if n >= self.unit:
-                yield row, text, get, segments(get, n, self.unit, self.gram)
+    def blocks(self, column: pa.Array) -> Iterator[Block]:
+        """The texts that have windows."""
+        if self.words:
+            rows, parts, size = [], [], 0
+            for row, _, _, _, h in document_words(column):
+                if len(h) < self.unit:
+                    continue
+                if size + len(h) > _CHUNK and size:
+                    yield self._block(rows, parts)
+                    rows, parts, size = [], [], 0
+                rows.append(row)
+                parts.append(h)
+                size += len(h)
+            if size:
+                yield self._block(rows, parts)
+        else:
+            data, at = text_bytes(column)
+            lo = 0
+            while lo < len(at) - 1:
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + _CHUNK, side="right")) - 1)
+                text = data[at[lo] : at[hi]]
+                own = at[lo : hi + 1] - at[lo]
+                found = segments(_BYTE[text], own, self.unit, self.gram)
+                yield Block(np.arange(lo, hi), own, text, found, np.searchsorted(own, found.start, side="right") - 1)
+                lo = hi
 
 
 def _longs(x: list[np.ndarray]) -> pa.Array:
@@ -116,8 +156,8 @@ def _longs(x: list[np.ndarray]) -> pa.Array:
 def _count(kind: Kind):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for _, _, _, s in kind.of(batch.column("text"))]
-            yield pa.record_batch([_longs([s.anchor for s in found]), _longs([s.content for s in found])], names=["anchor", "content"])
+            for block in kind.blocks(batch.column("text")):
+                yield pa.record_batch([_longs([block.found.anchor]), _longs([block.found.content])], names=["anchor", "content"])
 
     return task
 
@@ -126,28 +166,22 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", p
 FOUND = "doc_id long, row_key long, start long, count long, anchor long, content long, payload binary"
 
 
-def _find(kind: Kind, payload, tables):
+def _find(kind: Kind, payloads, tables):
     """Segments of repeated anchors, with what is needed to look into the mixed ones."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, parts, loads = [], [], []
-            for row, text, get, s in kind.of(batch.column("text")):
+            for block in kind.blocks(batch.column("text")):
+                s = block.found
                 at = np.flatnonzero(member(tables.value["repeated"], s.anchor))
-                if len(at):
-                    rows.append(np.full(len(at), row))
-                    parts.append(Segments(s.start[at], s.count[at], s.anchor[at], s.content[at]))
-                    inside = member(tables.value["mixed"], s.anchor[at])
-                    loads += [payload(text, get, int(a), int(c)) if m else None for a, c, m in zip(s.start[at], s.count[at], inside, strict=True)]
-                if len(loads) >= 20_000 or row == batch.num_rows - 1:
-                    yield out(batch, rows, parts, loads)
-                    rows, parts, loads = [], [], []
-            if loads:
-                yield out(batch, rows, parts, loads)
-
-    def out(batch: pa.RecordBatch, rows, parts, loads) -> pa.RecordBatch:
-        own = batch.take(_longs(rows))
-        return pa.record_batch([own.column("doc_id"), own.column("row_key"), *(_longs([getattr(s, x) for s in parts]) for x in ("start", "count", "anchor", "content")), pa.array(loads, pa.binary())], schema=_FOUND)
+                if not len(at):
+                    continue
+                start, count, anchor, owner = s.start[at], s.count[at], s.anchor[at], block.owner[at]
+                inside = member(tables.value["mixed"], anchor)
+                loads = np.full(len(at), None, object)
+                loads[inside] = payloads(block, start[inside].tolist(), count[inside].tolist())
+                own = batch.select(["doc_id", "row_key"]).take(pa.array(block.rows[owner]))
+                yield pa.record_batch([own.column(0), own.column(1), *(_longs([x]) for x in (start - block.at[owner], count, anchor, s.content[at])), pa.array(loads, pa.binary())], schema=_FOUND)
 
     return task
 
@@ -160,7 +194,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 class Found:
     """solid: segments whose windows all repeat. mixed: the others, of anchors with several contents.
 
-    contents: one row for each anchor and content of the mixed ones: occurrences, count, payload.
+    contents: one row for each anchor and content of the mixed ones: occurrences n, count, payload.
     """
 
     solid: DataFrame
@@ -168,18 +202,70 @@ class Found:
     contents: DataFrame
 
 
-def find(texts: DataFrame, kind: Kind, payload: Callable, name: str) -> Found:
+def find(texts: DataFrame, kind: Kind, payloads: Callable, name: str) -> Found:
     """Segments of texts (doc_id, row_key, text) whose anchors occur more than once."""
     spark = texts.sparkSession
     anchors = texts.select("text").mapInArrow(_count(kind), "anchor long, content long")
     anchors = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
     anchors = written(anchors.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("is_mixed")), f"{name}-anchors")
     tables = spark.sparkContext.broadcast({"repeated": bit_table(anchors.select("anchor")), "mixed": bit_table(anchors.where("is_mixed").select("anchor"))})
-    found = texts.mapInArrow(_find(kind, payload, tables), FOUND)
+    found = texts.mapInArrow(_find(kind, payloads, tables), FOUND)
     found = written(found.join(anchors, "anchor").withColumn("payload", F.when(F.col("is_mixed"), F.col("payload"))), f"{name}-found")
     inside = found.where("is_mixed")
     contents = inside.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.first("count").alias("count"), F.first("payload").alias("payload"))
-    return Found(found.where("not is_mixed").select("doc_id", "row_key", "start", "count", "anchor"), inside.drop("payload"), contents)
+    return Found(found.where("not is_mixed").select("doc_id", "row_key", "start", "count", "anchor"), inside.drop("payload"), written(contents, f"{name}-contents"))
+
+
+RUN = "anchor long, content long, from long, edges long"
+_RUN = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("from", pa.int64()), ("edges", pa.int64())])
+SINGLE = "anchor long, content long, place long, window long, n long"
+
+
+def _runs(look: Callable):
+    """Runs of repeated windows in each content, where all contents of an anchor are at hand."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        held = None
+        anchor, content, n, count = (table.column(x).to_numpy() for x in ("anchor", "content", "n", "count"))
+        hit = look(anchor, n, count, table.column("payload").to_pylist())
+        begin = np.append(0, np.cumsum(count + 1))  # a gap behind each content
+        line = np.zeros(begin[-1] + 1, np.int8)
+        line[np.arange(int(count.sum())) + np.repeat(np.arange(len(count)), count) + 1] = hit | np.repeat(n > 1, count)
+        edge = np.diff(line)
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        row = np.searchsorted(begin, a, side="right") - 1
+        yield pa.record_batch([pa.array(anchor[row]), pa.array(content[row]), pa.array(a - begin[row]), pa.array(b - a)], schema=_RUN)
+
+    return task
+
+
+def resolve(contents: DataFrame, look: Callable, split: Callable, shard: int, crowd: int, name: str) -> DataFrame:
+    """(anchor, content, from, edges): runs of windows that occur in several places.
+
+    Contents are dealt into shards of about `shard` bytes by anchor, and look(anchor, n, count,
+    payloads) says for all windows whether they repeat. An anchor of more than `crowd`
+    contents would crowd a shard: split, a task, turns its contents into rows by window, and Spark counts those.
+    """
+    each = contents.groupBy("anchor").agg(F.count("*").alias("contents"))
+    crowded = written(each.where(f"contents > {crowd}").select("anchor"), f"{name}-crowded")
+    whole = contents.agg(F.sum(F.length("payload"))).first()[0] or 0
+    n = max(1, whole // shard)
+    dealt = contents.join(crowded, "anchor", "left_anti").repartition(n, "anchor")
+    runs = dealt.mapInArrow(_runs(look), RUN)
+    single = written(contents.join(crowded, "anchor", "left_semi").mapInArrow(split, SINGLE), f"{name}-windows")
+    seen = single.groupBy("anchor", "window").agg(F.sum("n").alias("met")).where("met > 1").drop("met")
+    more = single.join(seen, ["anchor", "window"]).select("anchor", "content", F.col("place").alias("from"), F.lit(1).cast("long").alias("edges"))
+    return written(runs.unionByName(more), f"{name}-runs")
+
+
+def ranges(found: Found, runs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, start, count): all window starts that repeat."""
+    branching = found.mixed.join(runs, ["anchor", "content"]).select("doc_id", "row_key", (F.col("start") + F.col("from")).alias("start"), F.col("edges").alias("count"))
+    return found.solid.drop("anchor").unionByName(branching)
 
 
 def merged(ranges: np.ndarray) -> np.ndarray:

@@ -28,16 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from musterline.llm import repeats
-from musterline.llm.tables import written
 from musterline.llm.words import _BYTE, runs_hash
 
 UNIT = 400
 GRAM = 100
-SHARD = 2 << 20  # bytes aimed at
-CROWD = 4000
+SHARD = 1 << 20  # bytes aimed at
+CROWD = 1500
 _BREAK = 255  # never occurs in UTF-8
 
 
@@ -183,49 +181,38 @@ def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.where(derived, length[last] - (place - last), length)
 
 
-def _repeated(loads: list[bytes], counts: np.ndarray, unit: int) -> list[np.ndarray]:
-    """For each content, which of its windows start in another place of the shard too."""
-    size = np.array([len(x) + 1 for x in loads])
-    t = np.frombuffer(b"".join(x + bytes([_BREAK]) for x in loads), np.uint8)
-    begin = np.append(0, np.cumsum(size)[:-1])
-    order = suffix_array(t)
-    prefix = common_prefixes(t, order)
-    left = np.repeat(begin + size - 1, size) - np.arange(len(t))  # bytes up to the content's end
-    before = np.full(len(t), -1, np.int64)
-    before[order[1:]] = order[:-1]
-    match = (prefix >= unit) & (left >= unit)
-    match[match] &= left[before[match]] >= unit
-    hit = match.copy()
-    hit[before[match]] = True
-    return [hit[b : b + c] for b, c in zip(begin, counts, strict=True)]
+def _payloads(unit: int):
+    """The bytes of each segment."""
 
+    def payloads(block: repeats.Block, starts: list[int], counts: list[int]) -> list[bytes]:
+        return [block.symbols[a : a + n + unit - 1].tobytes() for a, n in zip(starts, counts, strict=True)]
 
-_RUN = "anchor long, content long, from long, edges long"
-_SCHEMA = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("from", pa.int64()), ("edges", pa.int64())])
+    return payloads
 
 
-def _shard(unit: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return
-        counts = table.column("count").to_numpy()
-        rows, starts, runs = [], [], []
-        many = table.column("n").to_numpy() > 1
-        for i, hit in enumerate(_repeated(table.column("payload").to_pylist(), counts, unit)):
-            edge = np.diff(np.concatenate([[0], (hit | many[i]).view(np.int8), [0]]))
-            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            rows.append(np.full(len(a), i))
-            starts.append(a)
-            runs.append(b - a)
-        own = table.select(["anchor", "content"]).take(pa.array(np.concatenate(rows))).combine_chunks()
-        yield pa.record_batch([own.column(0).combine_chunks(), own.column(1).combine_chunks(), pa.array(np.concatenate(starts)), pa.array(np.concatenate(runs))], schema=_SCHEMA)
+def _look(unit: int):
+    """Which windows of a shard's contents start in another place of the shard too."""
 
-    return task
+    def look(anchor: np.ndarray, n: np.ndarray, count: np.ndarray, payloads: list[bytes]) -> np.ndarray:
+        size = count + unit  # with a break behind each content
+        t = np.frombuffer(b"".join(x + bytes([_BREAK]) for x in payloads), np.uint8)
+        begin = np.append(0, np.cumsum(size)[:-1])
+        order = suffix_array(t)
+        prefix = common_prefixes(t, order)
+        left = np.repeat(begin + size - 1, size) - np.arange(len(t))  # bytes up to the content's end
+        before = np.full(len(t), -1, np.int64)
+        before[order[1:]] = order[:-1]
+        match = (prefix >= unit) & (left >= unit)
+        match[match] &= left[before[match]] >= unit
+        hit = match.copy()
+        hit[before[match]] = True
+        return hit[left >= unit]
+
+    return look
 
 
-def _windows(unit: int):
-    """Window hashes of crowded contents, one row each."""
+def _split(unit: int):
+    """One row for each window of crowded contents, by hash."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,19 +228,6 @@ def remove_repeats(docs: DataFrame, unit: int = UNIT, shard: int = SHARD, crowd:
     """(doc_id, n, n_removed, n_spans, kept_sha256) of docs (doc_id, text) without strings of `unit` bytes that occur elsewhere."""
     kind = repeats.Kind(unit, min(GRAM, unit), False)
     texts = repeats.texts_of(docs)
-    found = repeats.find(texts, kind, lambda text, get, start, count: text[start : start + count + unit - 1].tobytes(), "suffix")
-    contents = written(found.contents, "suffix-contents")
-    each = contents.groupBy("anchor").agg(F.count("*").alias("contents"))
-    crowded = each.where(f"contents > {crowd}").select("anchor")
-
-    sized = contents.join(crowded, "anchor", "left_anti")
-    shards = max(1, (sized.agg(F.sum(F.length("payload"))).first()[0] or 0) // shard)
-    runs = sized.repartition(shards, F.pmod(F.xxhash64("anchor"), F.lit(shards))).mapInArrow(_shard(unit), _RUN)
-
-    single = written(contents.join(crowded, "anchor", "left_semi").mapInArrow(_windows(unit), "anchor long, content long, place long, window long, n long"), "suffix-windows")
-    seen = single.groupBy("anchor", "window").agg(F.sum("n").alias("met")).where("met > 1").drop("met")
-    more = single.join(seen, ["anchor", "window"]).select("anchor", "content", F.col("place").alias("from"), F.lit(1).cast("long").alias("edges"))
-    runs = written(runs.unionByName(more), "suffix-runs")
-
-    branching = found.mixed.join(runs, ["anchor", "content"]).select("doc_id", "row_key", (F.col("start") + F.col("from")).alias("start"), F.col("edges").alias("count"))
-    return repeats.cut(texts, found.solid.drop("anchor").unionByName(branching), kind)
+    found = repeats.find(texts, kind, _payloads(unit), "suffix")
+    runs = repeats.resolve(found.contents, _look(unit), _split(unit), shard, crowd, "suffix")
+    return repeats.cut(texts, repeats.ranges(found, runs), kind)
