@@ -39,11 +39,10 @@ _HALF = 0.5  # added to every count
 @functools.cache
 def _characters() -> tuple[np.ndarray, np.ndarray]:
     """Which code points are letters, and their lower case."""
-    every = [chr(c) for c in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in every), bool, len(every))
-    lower = np.arange(len(every), dtype=np.uint32)
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    lower = np.arange(len(letter), dtype=np.uint32)
     at = np.flatnonzero(letter)
-    lower[at] = [ord(low) if len(low := every[c].lower()) == 1 else c for c in at]
+    lower[at] = np.fromiter((ord(low) if len(low := chr(c).lower()) == 1 else c for c in at.tolist()), np.uint32, len(at))
     return letter, lower
 
 
@@ -148,7 +147,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     g, inverse = np.unique(g, return_inverse=True)
                     held.setdefault((lang, length), []).append((g, np.bincount(inverse, n[owner], len(g))))
                     size += len(g)
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield from settle()
                     held, size = {}, 0
     yield from settle()
