@@ -9,11 +9,11 @@ their prefixes share at least the smaller of their two l.
 The frequency estimate is a table of CELLS counters over all documents: its size is fixed,
 whatever the corpus. It only steers order and l; the result does not depend on it.
 
-Equal sets are one class and travel once per task. Candidates are verified in two rounds:
-first neighbours in the lists of documents that share a shingle, which joins groups of near
-copies in as many pairs as members; then all candidate pairs between different
-components. So a group of copies never becomes all its pairs, and no link is lost that
-would change a component.
+Equal sets are one class and travel once per task. Candidates are verified in three rounds: each
+document with a neighbour and the likeliest original in the lists of documents that share
+a shingle; then the best candidate between any two components; then all candidates
+between what is still apart. So a group of copies never becomes all its pairs, and no
+link is lost that would change a component.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows keep one output
 row each. A null ID is kept; it never names a component unless all its members are null.
@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from musterline.llm.bits import bit_table, member
 from musterline.llm.components import components
-from musterline.llm.tables import parts, written
+from musterline.llm.tables import written
 from musterline.llm.words import document_words, mixed, shingle_set, whole_hash
 
-CELLS = 1 << 20
-_SLICES = 16
+CELLS = 1 << 22
+_SLICES = 64
 _MOST = 8  # longest extension l; longer prefixes cost more than they save
 
 
@@ -52,7 +53,7 @@ class Similarity:
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(44)).astype(np.int64)
+    return (tokens >> np.uint64(42)).astype(np.int64)
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -87,7 +88,7 @@ def _scan(like: Similarity):
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=_SCAN)
         if seen:
             m = _SLICES
-            yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array([x.tobytes() for x in np.split(cells, m)], pa.binary())], schema=_SCAN)
+            yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(cells, m)], pa.binary())], schema=_SCAN)
 
     return task
 
@@ -96,36 +97,36 @@ def _add_up(slice_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     total = np.zeros(CELLS // _SLICES, np.uint32)
     for batch in batches:
         for x in batch.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.uint32)
+            total += np.frombuffer(x.as_buffer(), np.uint16)
     yield pa.record_batch([pa.array([slice_[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
 
 
 def frequency_table(scan: DataFrame) -> np.ndarray:
-    """Documents per cell beyond what a cell holds by chance: always CELLS numbers."""
+    """Documents per cell beyond what a cell holds by chance, as a power of two (0 for none): always CELLS bytes."""
     rows = scan.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_up, "slice int, counts binary").collect()
     cells = np.zeros(CELLS, np.int64)
     for r in rows:
         cells[r["slice"] * (CELLS // _SLICES) :][: CELLS // _SLICES] = np.frombuffer(r["counts"], np.uint32)
     mean = cells.mean()
-    return np.maximum(cells - np.int64(mean + 4 * mean**0.5 + 1), 0).astype(np.uint32)
+    return np.frexp(np.maximum(cells - np.int64(mean + 4 * mean**0.5 + 1), 0).astype(np.float64))[1].astype(np.uint8)
 
 
 def adaptive_prefix(tokens: np.ndarray, frequent: np.ndarray, like: Similarity) -> tuple[np.ndarray, int]:
     """The prefix of a set and its l: the cheapest of the prefixes by estimated candidates to count and to verify."""
     n = len(tokens)
-    weight = frequent[_cells(tokens)]
-    order = np.lexsort((mixed(tokens), np.frexp(weight.astype(np.float64))[1]))
+    level = frequent[_cells(tokens)]
+    order = np.lexsort((mixed(tokens), level))
     least = int(like.least(np.int64(n)))
     first = n - least + 1
     most = min(_MOST, least)
-    meets = np.cumsum(weight[order[: first + most - 1]].astype(np.float64))[first - 1 :]
+    meets = np.cumsum(np.exp2(level[order[: first + most - 1]]) - 1)[first - 1 :]
     l = np.arange(1, most + 1)
     cost = (meets + first + l) + meets / l * (n / 16)
     best = int(np.argmin(cost)) + 1
     return tokens[order[: first + best - 1]], best
 
 
-_POSTING = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("l", pa.int16())])
+_POSTING = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("l", pa.int16()), ("place", pa.int32())])
 
 
 def _postings(like: Similarity, frequent):
@@ -142,6 +143,7 @@ def _postings(like: Similarity, frequent):
                     pa.array(np.repeat(np.array([x[1] for x in held], np.int64), count)),
                     pa.array(np.repeat(np.array([x[2] for x in held], np.int32), count)),
                     pa.array(np.repeat(np.array([x[3] for x in held], np.int16), count)),
+                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in count])),
                 ],
                 schema=_POSTING,
             )
@@ -162,19 +164,20 @@ def _postings(like: Similarity, frequent):
     return task
 
 
-def _packed(like: Similarity):
-    """Class and sorted set of each document."""
+_PACKED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("class", pa.int64()), ("tokens", pa.binary())])
+
+
+def _packed(like: Similarity, wanted):
+    """Class and sorted set of each document whose row key may be wanted."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sets = [], []
-            for _, _, tokens in _sets([batch], like.k):
-                names.append(_class(tokens))
-                sets.append(tokens.tobytes())
-                if len(names) == 500:
-                    yield pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["class", "tokens"])
-                    names, sets = [], []
-            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["class", "tokens"])
+            keep = member(wanted.value, batch.column("row_key").to_numpy())
+            kept = batch.filter(pa.array(keep))
+            for part in (kept.slice(i, 500) for i in range(0, kept.num_rows, 500)):
+                sets = [tokens for _, _, tokens in _sets([part], like.k)]
+                names = [_class(x) if len(x) else None for x in sets]
+                yield pa.record_batch([part.column("doc_id"), part.column("row_key"), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=_PACKED)
 
     return task
 
@@ -197,11 +200,19 @@ def _linked(like: Similarity):
     return task
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, like: Similarity) -> DataFrame:
+    """Links among the candidate pairs; the set of a class comes from its one chosen row."""
+    spark = pairs.sparkSession
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    rows = written(chosen.join(ends, "class", "left_semi"), "ngram-chosen")
+    wanted = spark.sparkContext.broadcast(bit_table(rows.select("row_key")))
+    sets = texts.mapInArrow(_packed(like, wanted), "doc_id long, row_key long, class long, tokens binary")
+    sets = sets.join(rows, (sets["row_key"] == rows["row_key"]) & sets["doc_id"].eqNullSafe(rows["doc_id"]) & (sets["class"] == rows["class"]), "left_semi")
+    sets = written(sets.select("class", "tokens"), "ngram-sets")
     one = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return met.mapInArrow(_linked(like), "a long, b long, common long, total long")
+    return met.mapInArrow(_linked(like), "a long, b long, common long, total long").distinct()
 
 
 def _size_fits(n: Column, m: Column, like: Similarity) -> Column:
@@ -210,10 +221,14 @@ def _size_fits(n: Column, m: Column, like: Similarity) -> Column:
 
 @dataclass(frozen=True)
 class Joined:
-    """documents: doc_id, n_shingles, class, component_id. links: verified pairs of classes (a, b, common, total)."""
+    """documents: doc_id, n_shingles, component_id. links: verified pairs of classes (a, b, common, total).
+
+    rows: doc_id, row_key (xxhash64 of the text), n, class, and top, the class that stands for the component.
+    """
 
     documents: DataFrame
     links: DataFrame
+    rows: DataFrame
 
 
 def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
@@ -226,55 +241,77 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
 
     # Lists of the classes that share a prefix shingle; lists of one class go.
     by_token, in_list = "partition by token", "partition by token order by n, class"
-    shared = written(
+    shared = (
         texts.select("text")
-        .mapInArrow(_postings(like, frequent), "token long, class long, n int, l short")
-        .withColumns({
-            "previous": F.expr(f"lag(struct(class, n)) over ({in_list})"),
-            "next_class": F.expr(f"lead(class) over ({in_list})"),
-            "head": F.expr(f"first(struct(class, n)) over ({in_list})"),
-            "varied": F.expr(f"max(class) over ({by_token}) <> min(class) over ({by_token})"),
-        })
-        .where("varied and (previous.class is null or previous.class <> class)")
-        .select("token", "class", "n", "l", "previous", "head"),
+        .mapInArrow(_postings(like, frequent), "token long, class long, n int, l short, place int")
+        .withColumns({"previous": F.expr(f"lag(class) over ({in_list})"), "varied": F.expr(f"max(class) over ({by_token}) <> min(class) over ({by_token})")})
+        .where("varied and (previous is null or previous <> class)")
+        .select("token", "class", "n", "l", "place")
+    )
+    # A shingle in common with a similar set has at most `rank` others in common before it (what
+    # no other prefix has is not in common) and what follows it behind: too little, and it goes.
+    shared = written(
+        shared.withColumns({"rank": F.expr("row_number() over (partition by class order by place)"), "degree": F.expr("count(*) over (partition by class)")})
+        .where(f"100 * (rank + n - place - 1) >= {like.percent} * n"),
         "ngram-shared",
-    )
+    )
 
-    # One representative row for each class that shares anything.
-    wanted = shared.select("class").distinct()
-    chosen = rows.groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).join(wanted, "class", "left_semi").select("class", F.col("r.doc_id").alias("doc_id"), F.col("r.row_key").alias("row_key"))
-    picked = texts.alias("t").join(chosen.alias("c"), F.expr("t.row_key = c.row_key and t.doc_id <=> c.doc_id"), "left_semi")
-    sets = written(picked.select("text").mapInArrow(_packed(like), "class long, tokens binary").dropDuplicates(["class"]), "ngram-sets")
+    # The row whose text stands for a class.
+    chosen = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("class", "r.doc_id", "r.row_key")
 
-    # Round 1: each member with its neighbour and with the head of its lists, where they meet often.
-    near = shared.select("class", "n", "l", F.explode(F.array("previous", "head")).alias("other")).where("other is not null and other.class <> class")
+    # Round 1: each member with its neighbour and with the head of its lists, the one that shares
+    # most of itself: an original rather than its copies. This joins groups in few pairs.
+    ranked = shared.withColumns({
+        "previous": F.expr(f"lag(struct(class, n)) over ({in_list})"),
+        "head": F.expr(f"first(struct(class, n)) over ({by_token} order by degree / n desc, n, class)"),
+    })
+    near = ranked.select("class", "n", F.explode(F.array("previous", "head")).alias("other")).where("other is not null and other.class <> class")
     near = near.where(_size_fits(F.col("n"), F.col("other.n"), like))
     near = near.groupBy(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).agg(F.count("*").alias("meets"), F.min(F.least("n", "other.n")).alias("n"))
-    tried = written(near.where(f"meets >= greatest(1, n * {(100 - like.percent) / 100} * 0.4)").select("a", "b"), "ngram-near")
-    first = written(_verify(tried, sets, like), "ngram-links")
+    tried = written(near.where("meets >= 1 + n / 50").select("a", "b"), "ngram-near")
+    first = written(_verify(tried, texts, chosen, like), "ngram-links")
     groups = components(first.select("a", "b"))
 
-    # Round 2: every candidate pair that is not within one component yet.
-    labelled = shared.select("token", "class", "n", "l").join(groups, shared["class"] == groups["node"], "left")
-    labelled = labelled.select("token", "class", "n", "l", F.coalesce("root", "class").alias("label"))
+    # Candidates: all pairs that meet often enough and are not within one component yet. A set and
+    # one of its size or more share so much that a shorter prefix of the smaller one is enough.
+    labelled = shared.join(groups, shared["class"] == groups["node"], "left")
+    labelled = labelled.select("token", "class", "n", "l", "place", "rank", F.coalesce("root", "class").alias("label"))
     open_lists = labelled.withColumn("open", F.expr(f"max(label) over ({by_token}) <> min(label) over ({by_token})")).where("open").drop("open")
-    one, two = open_lists.alias("one"), open_lists.alias("two")
+    one, two = open_lists.where(f"place < n - ceil(2 * {like.percent} * n / {100 + like.percent}) + l").alias("one"), open_lists.alias("two")
+    smaller = F.expr("one.token = two.token and one.label <> two.label and (one.n < two.n or (one.n = two.n and one.class < two.class))")
+    reach = F.expr(f"least(one.rank, two.rank) + least(one.n - one.place, two.n - two.place) - 1 >= {like.percent} * (one.n + two.n) / {100 + like.percent}")
+    met = one.join(two, smaller & reach & _size_fits(F.col("one.n"), F.col("two.n"), like)).groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b"))
+    met = met.agg(F.count("*").cast("int").alias("meets"), *(F.max(f"{x}.{c}").alias(f"{c}_{x}") for x in ("one", "two") for c in ("n", "l", "place")))
     pairs = (
-        one.join(two, F.expr("one.token = two.token and one.class < two.class and one.label <> two.label") & _size_fits(F.col("one.n"), F.col("two.n"), like))
-        .groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b"))
-        .agg(F.count("*").alias("meets"), F.min(F.least("one.l", "two.l")).alias("l"))
-        .where("meets >= l")
+        met.where("meets >= least(l_one, l_two)")
+        # Behind the last shingle that both prefixes share there must be enough left for the overlap.
+        .where(f"meets + least(n_one - place_one, n_two - place_two) - 1 >= {like.percent} * (n_one + n_two) / {100 + like.percent}")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("meets") / F.col("n_one")).alias("share"))
+        .join(tried, ["a", "b"], "left_anti")
     )
-    second = written(_verify(pairs.join(tried, ["a", "b"], "left_anti"), sets, like), "ngram-links")
-    links = first.union(second)
-
-    # Contract the components of round 1 by the links of round 2.
+    one, two = groups.selectExpr("node as a", "root as ra"), groups.selectExpr("node as b", "root as rb")
+    pairs = pairs.join(one, "a", "left").join(two, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
+    pairs = pairs.select("a", "b", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"), "share")
+    pairs = written(pairs, "ngram-pairs")
+
+    # Round 2: the best pair between any two components. Round 3: the rest, between what is still apart.
+    best = written(pairs.groupBy("low", "high").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b"), "ngram-best")
+    second = written(_verify(best, texts, chosen, like), "ngram-links")
+    groups = components(first.select("a", "b").union(second.select("a", "b")))
+    left, right = groups.selectExpr("node as a", "root as ra"), groups.selectExpr("node as b", "root as rb")
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
+    rest = written(rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "ngram-rest")
+    third = written(_verify(rest, texts, chosen, like), "ngram-links")
+    links = first.union(second).union(third)
+
+    # Contract the components so far by the links of round 3.
     roots = groups.withColumnsRenamed({"node": "class"})
-    over = second.join(roots.withColumnsRenamed({"class": "a", "root": "ra"}), "a", "left").join(roots.withColumnsRenamed({"class": "b", "root": "rb"}), "b", "left")
+    over = third.join(roots.withColumnsRenamed({"class": "a", "root": "ra"}), "a", "left").join(roots.withColumnsRenamed({"class": "b", "root": "rb"}), "b", "left")
     over = components(over.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).selectExpr("node as root", "root as top")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     tops = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")).join(over, "root", "left")
     tops = written(tops.select("class", "least", F.coalesce("top", "root").alias("top")), "ngram-tops")
-    named = tops.join(tops.groupBy("top").agg(F.min("least").alias("component_id")), "top").select("class", "component_id")
-    documents = rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("class"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return Joined(documents, links)
+    named = tops.join(tops.groupBy("top").agg(F.min("least").alias("component_id")), "top").select("class", "top", "component_id")
+    placed = rows.join(named, "class", "left")
+    documents = placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return Joined(documents, links, placed.select("doc_id", "row_key", "n", "class", "top"))
