@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from musterline.llm.bits import bit_table, member
 from musterline.llm.components import components
-from musterline.llm.tables import written
+from musterline.llm.tables import discard, written
 from musterline.llm.words import document_words, mixed, shingle_set, whole_hash
 
 CELLS = 1 << 22
@@ -212,13 +212,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, like: Similar
     one = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return met.mapInArrow(_linked(like), "a long, b long, common long, total long").distinct()
+    links = written(met.mapInArrow(_linked(like), "a long, b long, common long, total long").distinct(), "ngram-links")
+    discard(sets)
+    return links
 
 
 def _size_fits(n: Column, m: Column, like: Similarity) -> Column:
     return 100 * F.least(n, m) >= like.percent * F.greatest(n, m)
 
 
+def _in_reach(x: str, y: str, like: Similarity) -> Column:
+    """Whether two sets that meet at a shingle can have enough in common: before, at and behind it."""
+    most = f"least({x}rank, {y}rank) + least({x}n - {x}place, {y}n - {y}place) - 1"
+    return F.expr(f"{most} >= {like.percent} * ({x}n + {y}n) / {100 + like.percent}")
+
+
 @dataclass(frozen=True)
 class Joined:
     """documents: doc_id, n_shingles, component_id. links: verified pairs of classes (a, b, common, total).
@@ -262,14 +270,14 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
     # Round 1: each member with its neighbour and with the head of its lists, the one that shares
     # most of itself: an original rather than its copies. This joins groups in few pairs.
     ranked = shared.withColumns({
-        "previous": F.expr(f"lag(struct(class, n)) over ({in_list})"),
-        "head": F.expr(f"first(struct(class, n)) over ({by_token} order by degree / n desc, n, class)"),
+        "previous": F.expr(f"lag(struct(class, n, place, rank)) over ({in_list})"),
+        "head": F.expr(f"first(struct(class, n, place, rank)) over ({by_token} order by degree / n desc, n, class)"),
     })
-    near = ranked.select("class", "n", F.explode(F.array("previous", "head")).alias("other")).where("other is not null and other.class <> class")
-    near = near.where(_size_fits(F.col("n"), F.col("other.n"), like))
+    near = ranked.select("class", "n", "place", "rank", F.explode(F.array("previous", "head")).alias("other")).where("other is not null and other.class <> class")
+    near = near.where(_size_fits(F.col("n"), F.col("other.n"), like) & _in_reach("", "other.", like))
     near = near.groupBy(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).agg(F.count("*").alias("meets"), F.min(F.least("n", "other.n")).alias("n"))
     tried = written(near.where("meets >= 1 + n / 50").select("a", "b"), "ngram-near")
-    first = written(_verify(tried, texts, chosen, like), "ngram-links")
+    first = _verify(tried, texts, chosen, like)
     groups = components(first.select("a", "b"))
 
     # Candidates: all pairs that meet often enough and are not within one component yet. A set and
@@ -279,8 +287,7 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
     open_lists = labelled.withColumn("open", F.expr(f"max(label) over ({by_token}) <> min(label) over ({by_token})")).where("open").drop("open")
     one, two = open_lists.where(f"place < n - ceil(2 * {like.percent} * n / {100 + like.percent}) + l").alias("one"), open_lists.alias("two")
     smaller = F.expr("one.token = two.token and one.label <> two.label and (one.n < two.n or (one.n = two.n and one.class < two.class))")
-    reach = F.expr(f"least(one.rank, two.rank) + least(one.n - one.place, two.n - two.place) - 1 >= {like.percent} * (one.n + two.n) / {100 + like.percent}")
-    met = one.join(two, smaller & reach & _size_fits(F.col("one.n"), F.col("two.n"), like)).groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b"))
+    met = one.join(two, smaller & _in_reach("one.", "two.", like) & _size_fits(F.col("one.n"), F.col("two.n"), like)).groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b"))
     met = met.agg(F.count("*").cast("int").alias("meets"), *(F.max(f"{x}.{c}").alias(f"{c}_{x}") for x in ("one", "two") for c in ("n", "l", "place")))
     pairs = (
         met.where("meets >= least(l_one, l_two)")
@@ -296,12 +303,12 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
 
     # Round 2: the best pair between any two components. Round 3: the rest, between what is still apart.
     best = written(pairs.groupBy("low", "high").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b"), "ngram-best")
-    second = written(_verify(best, texts, chosen, like), "ngram-links")
+    second = _verify(best, texts, chosen, like)
     groups = components(first.select("a", "b").union(second.select("a", "b")))
     left, right = groups.selectExpr("node as a", "root as ra"), groups.selectExpr("node as b", "root as rb")
     rest = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
     rest = written(rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "ngram-rest")
-    third = written(_verify(rest, texts, chosen, like), "ngram-links")
+    third = _verify(rest, texts, chosen, like)
     links = first.union(second).union(third)
 
     # Contract the components so far by the links of round 3.
