@@ -5,8 +5,11 @@ n-grams of four characters (word ends included), then three, two, one: the longe
 length with any known n-gram decides, by the mean over its known ones. A text's language has
 the largest sum over its words; the score is its share of the softmax of the sums.
 
-Counts cover every word of every labelled text. What tasks hold is bounded: at most KEPT words
-and KEPT n-grams of each length (fewer with very many languages), the most frequent.
+Counts cover every word of every labelled text, and every word seen scores by its own. What tasks
+hold is bounded: at most KEPT words and KEPT n-grams of each length (fewer with very many
+languages), the most frequent. Where there are more, the rest is a Spark table that `identify` joins with
+the distinct words, and n-grams of words never seen, that tasks do not hold; the logs are added as
+integers there, so that no order of rows shows.
 
 A word is a run of letters in lower case. A text that is null or has no letter, and every text
 where nothing could be learnt, is `und` with score 0. Labels that are null teach nothing. Ties go
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ _LONGEST = 4
 _BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _HALF = 0.5  # added to every count
+_ONE = 1 << 26  # logs as integers: exact for the 32-bit logs of rare entries
 
 
 @functools.cache
@@ -170,8 +174,12 @@ class Table:
 
 @dataclass
 class Model:
+    """tables by length (0: words). rest: what they leave out (length, hash, logs), null where nothing."""
+
     languages: list[str]
-    tables: dict[int, Table]  # 0: words
+    tables: dict[int, Table]
+    partial: frozenset[int] = frozenset()  # the lengths in rest
+    rest: DataFrame | None = None
 
     def of_words(self, found: Words, first: np.ndarray) -> np.ndarray:
         """A row of language scores for the word at each place in `first`."""
@@ -218,44 +226,200 @@ def learn(docs: DataFrame, kept: int = KEPT) -> Model | None:
         return None
     most = max(1000, min(kept, _CELLS // len(languages)))
     # The least frequency that keeps no more than `most` entries, from a histogram of frequencies.
-    sized = counts.groupBy("length", "hash").agg(F.sum("n").alias("n"))
-    steps = sized.groupBy("length", F.floor(F.log2("n") * 16).alias("step")).count().collect()
-    tables = {}
+    step = F.floor(F.log2("n") * 16).alias("step")
+    sized = counts.groupBy("length", "hash").agg(F.sum("n").alias("n")).select("length", "hash", step)
+    steps = sized.groupBy("length", "step").count().collect()
+    tables, partial, bounds, wholes = {}, set(), {}, {}
     for length in range(_LONGEST + 1):
         least, have = None, 0
-        for r in sorted((r for r in steps if r["length"] == length), key=lambda r: -r["step"]):
+        own = sorted((r for r in steps if r["length"] == length), key=lambda r: -r["step"])
+        size = sum(r["count"] for r in own)
+        for r in own:
             have += r["count"]
             if have > most:
+                partial.add(length)
                 break
             least = r["step"]
+        bounds[length] = least
+        wholes[length] = np.array([totals.get((x, length), 0) + _HALF * (size + 1) for x in languages])
         if least is None:
             tables[length] = Table(np.zeros(0, np.uint64), np.zeros((0, len(languages)), np.float32))
             continue
-        frequent = sized.where((F.col("length") == length) & (F.floor(F.log2("n") * 16) >= least)).select("hash")
+        frequent = sized.where((F.col("length") == length) & (F.col("step") >= least)).select("hash")
         got = counts.where(F.col("length") == length).join(frequent, "hash", "left_semi").select("hash", "lang", "n").toArrow()
         h, inverse = np.unique(got.column("hash").to_numpy().view(np.uint64), return_inverse=True)
         each = np.full((len(h), len(languages)), _HALF)
         each[inverse, np.searchsorted(languages, got.column("lang").to_numpy().astype(str))] += got.column("n").to_numpy()
-        whole = np.array([totals.get((x, length), 0) + _HALF * (len(h) + 1) for x in languages])
-        tables[length] = Table(h, np.log(each / whole).astype(np.float32))
-    return Model(languages, tables)
+        tables[length] = Table(h, np.log(each / wholes[length]).astype(np.float32))
+    rest = written(_rest(counts, languages, {x: bounds[x] for x in partial}, wholes), "language-rest") if partial else None
+    return Model(languages, tables, frozenset(partial), rest)
+
+
+def _rest(counts: DataFrame, languages: list[str], bounds: dict[int, int | None], wholes: dict[int, np.ndarray]) -> DataFrame:
+    """(length, hash, logs) of the entries below the bound of their length; without a bound, of all."""
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seen = batch.column("seen")
+            each = np.full((batch.num_rows, len(languages)), _HALF)
+            row = np.repeat(np.arange(batch.num_rows), seen.value_lengths().to_numpy())
+            langs, n = seen.flatten().flatten()
+            each[row, np.searchsorted(languages, langs.to_numpy(zero_copy_only=False).astype(str))] += n.to_numpy()
+            length = batch.column("length").to_numpy()
+            for k in np.unique(length).tolist():
+                each[length == k] /= wholes[k]
+            yield pa.record_batch([batch.column("length"), batch.column("hash"), _longs(np.log(each).astype(np.float32))], names=["length", "hash", "logs"])
+
+    rare = " or ".join(f"length = {length}" + ("" if least is None else f" and floor(log2(n) * 16) < {least}") for length, least in sorted(bounds.items()))
+    entries = counts.groupBy("length", "hash").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("seen"))
+    return entries.where(rare).select("length", "hash", "seen").mapInArrow(dense, "length int, hash long, logs array<long>")
+
+
+def _longs(logs: np.ndarray) -> pa.Array:
+    """Rows of logs as lists of integers."""
+    at = np.arange(len(logs) + 1, dtype=np.int32) * logs.shape[1]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.rint(logs.astype(np.float64) * _ONE).astype(np.int64).reshape(-1)))
+
+
+_ANSWER = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+
+def _answers(languages: list[str], total: np.ndarray, n: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of texts by their sums and numbers of words."""
+    best = total.argmax(1)
+    share = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1)
+    return [languages[k] if m else "und" for k, m in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, share, 0)
 
 
 def predictor(spark: SparkSession, model: Model | None) -> Callable[[Column], Column]:
-    """A column function from text to a struct (lang_pred, score)."""
+    """A column function from text to a struct (lang_pred, score), for a model that tasks hold as a whole."""
+    if model is not None and model.rest is not None:
+        raise ValueError("the model has more entries than tasks hold: use identify")
     shared = spark.sparkContext.broadcast(model)
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def predict(column: pa.Array) -> pa.Array:
         model = shared.value
         names, scores = ["und"] * len(column), np.zeros(len(column))
         if model is not None:
             for lo in range(0, len(column), 500):
-                total, n = model.scores(column.slice(lo, 500).to_pylist())
-                best = total.argmax(1)
-                share = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1)
-                for i in np.flatnonzero(n).tolist():
-                    names[lo + i], scores[lo + i] = model.languages[best[i]], share[i]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], fields=list(kind))
+                part = slice(lo, min(lo + 500, len(column)))
+                names[part], scores[part] = _answers(model.languages, *model.scores(column.slice(lo, 500).to_pylist()))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], fields=list(_ANSWER))
 
     return F.arrow_udf(predict, "lang_pred string, score double")
+
+
+_WORD = pa.struct([("hash", pa.int64()), ("n", pa.int64()), ("word", pa.string())])
+_SCANNED = pa.struct([("total", pa.list_(pa.float64())), ("n", pa.int64()), ("open", pa.list_(_WORD))])
+
+
+def _scanner(shared) -> Callable[[Column], Column]:
+    """A column function from text to the sums over its words in the table, its number of words, and its other words."""
+
+    def some(model: Model, texts: list[str | None]) -> pa.Array:
+        total, n = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+        owner, h, count, spelt = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for found in words(texts):
+            if not len(found.hash):
+                continue
+            n += np.bincount(found.text, minlength=len(texts))
+            each, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
+            at, known = model.tables[0].find(each)
+            held = known[inverse]
+            for k in range(len(model.languages)):
+                total[:, k] += np.bincount(found.text[held], model.tables[0].logs[at[inverse[held]], k], len(texts)) if held.any() else 0
+            pairs, times = np.unique(found.text[~held] * len(each) + inverse[~held], return_counts=True)
+            which = pairs % len(each)
+            owner.append(pairs // len(each))
+            h.append(each[which])
+            count.append(times)
+            named = {x: found.codes[(lo := found.start[first[x]]) : lo + found.length[first[x]]].tobytes().decode("utf-32-le") for x in np.unique(which).tolist()}
+            spelt += [named[x] for x in which.tolist()]
+        owner, h, count = (np.concatenate(x) for x in (owner, h, count))
+        order = np.argsort(owner, kind="stable")
+        at = np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts)))).astype(np.int32)
+        left = pa.StructArray.from_arrays([pa.array(h[order].view(np.int64)), pa.array(count[order]), pa.array(spelt, pa.string()).take(pa.array(order))], fields=list(_WORD))
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * total.shape[1]), pa.array(total.reshape(-1)))
+        return pa.StructArray.from_arrays([sums, pa.array(n), pa.ListArray.from_arrays(pa.array(at), left)], fields=list(_SCANNED))
+
+    def scan(column: pa.Array) -> pa.Array:
+        found = [some(shared.value, column.slice(lo, 500).to_pylist()) for lo in range(0, len(column), 500)]
+        return pa.concat_arrays(found) if found else pa.array([], _SCANNED)
+
+    return F.arrow_udf(scan, "total array<double>, n long, open array<struct<hash: long, n: long, word: string>>")
+
+
+_LEVELS = pa.schema([("hash", pa.int64()), ("length", pa.int32()), ("gram", pa.int64()), ("known", pa.int64()), ("logs", pa.list_(pa.int64()))])
+
+
+def _levels(shared):
+    """What the tables know of the n-grams of each word, by length down to the first they know any of.
+
+    The sums of `known` n-grams, where there are any; and each n-gram that may be in the rest.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            name = batch.column("hash").to_numpy()
+            for found in words(batch.column("word").to_pylist()):
+                left = np.arange(len(found.hash))
+                for n in range(_LONGEST, 0, -1):
+                    if not len(left):
+                        break
+                    word = name[found.text[left]]
+                    owner, h = grams(found, left, n)
+                    at, known = model.tables[n].find(h)
+                    if n in model.partial:
+                        more = word[owner[~known]]
+                        none = pa.nulls(len(more), pa.int64())
+                        yield pa.record_batch([pa.array(more), pa.array(np.full(len(more), n, np.int32)), pa.array(h[~known].view(np.int64)), none, pa.nulls(len(more), pa.list_(pa.int64()))], schema=_LEVELS)
+                    owner, at = owner[known], at[known]
+                    count = np.bincount(owner, minlength=len(left))
+                    hit = count > 0
+                    if hit.any():
+                        total = np.stack([np.bincount(owner, model.tables[n].logs[at, k], len(left)) for k in range(len(model.languages))], 1)[hit]
+                        m = len(total)
+                        yield pa.record_batch([pa.array(word[hit]), pa.array(np.full(m, n, np.int32)), pa.nulls(m, pa.int64()), pa.array(count[hit]), _longs(total)], schema=_LEVELS)
+                    left = left[~hit]
+
+    return task
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The columns of docs but text, and a struct p (lang_pred, score) of the text."""
+    spark, own = docs.sparkSession, [x for x in docs.columns if x != "text"]
+    if model is None or model.rest is None:
+        return docs.select(*own, predictor(spark, model)(F.col("text")).alias("p"))
+    languages, rest = model.languages, model.rest
+    shared = spark.sparkContext.broadcast(replace(model, rest=None))
+    rows = written(docs.select(F.struct(*own).alias("own"), _scanner(shared)(F.col("text")).alias("s"), F.monotonically_increasing_id().alias("row")), "language-rows")
+    spread = rows.select("row", F.explode("s.open").alias("w")).select("row", "w.hash", "w.n", "w.word")
+
+    # Each distinct word once: with its logs if it was seen, else by its n-grams.
+    once = spread.groupBy("hash").agg(F.first("word").alias("word"))
+    once = written(once.join(rest.where("length = 0").select("hash", "logs"), "hash", "left"), "language-words")
+    levels = written(once.where("logs is null").select("hash", "word").mapInArrow(_levels(shared), "hash long, length int, gram long, known long, logs array<long>"), "language-levels")
+    looked = levels.where("gram is not null").select("hash", "length", "gram").join(rest.withColumnRenamed("hash", "gram"), ["length", "gram"])
+    looked = looked.select("hash", "length", F.lit(1).cast("long").alias("known"), "logs")
+
+    def summed(times: Column) -> Column:
+        return F.array(*(F.sum(F.get("logs", F.lit(k)) * times) for k in range(len(languages))))
+
+    met = levels.where("gram is null").select("hash", "length", "known", "logs").unionByName(looked)
+    met = met.groupBy("hash", "length").agg(F.sum("known").alias("known"), summed(F.lit(1)).alias("logs"))
+    met = met.select("hash", "length", F.transform("logs", lambda x: F.round(x / F.col("known")).cast("long")).alias("logs"))
+    unseen = met.groupBy("hash").agg(F.max_by("logs", "length").alias("logs"))
+    scored = once.where("logs is not null").select("hash", "logs").unionByName(unseen)
+    more = spread.select("row", "hash", "n").join(scored, "hash").groupBy("row").agg(summed(F.col("n")).alias("more"))
+
+    def answer(total: pa.Array, n: pa.Array, more: pa.Array) -> pa.Array:
+        sums = total.flatten().to_numpy().reshape(len(n), len(languages)).copy()
+        sums[more.is_valid().to_numpy(zero_copy_only=False)] += more.flatten().to_numpy().reshape(-1, len(languages)) / _ONE
+        names, scores = _answers(languages, sums, n.to_numpy())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], fields=list(_ANSWER))
+
+    answered = F.arrow_udf(answer, "lang_pred string, score double")
+    return rows.join(more, "row", "left").select(*(F.col("own").getField(x).alias(x) for x in own), answered("s.total", "s.n", "more").alias("p"))

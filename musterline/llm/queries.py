@@ -95,7 +95,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 3) == 1
     model = language.learn(docs.where(~held_out))
-    found = docs.select("doc_id", held_out.alias("held_out"), language.predictor(spark, model)(F.col("text")).alias("p"))
+    found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -197,6 +198,78 @@ def test_grams_stay_within_words():
         assert len(h) == want and set(owner.tolist()) <= {0, 1, 2}
 
 
+def spelt(seed, n):
+    """n distinct words of seven letters that say nothing of a language."""
+    rand, seen = np.random.default_rng(seed), {}
+    while len(seen) < n:
+        seen |= dict.fromkeys("".join(map(chr, x)) for x in rand.integers(97, 123, (n, 7)))
+    return list(seen)[:n]
+
+
+def language_sums(counts, text):
+    """Sums by language from counts {length: {lang: Counter}}; lengths 4 to 1 for words never seen."""
+    langs = sorted({x for by in counts.values() for x in by})
+    size = {n: len(set().union(*by.values())) for n, by in counts.items()}
+    whole = {n: {x: sum(by[x].values()) + 0.5 * (size[n] + 1) for x in langs} for n, by in counts.items()}
+    out = np.zeros(len(langs))
+    for word in text.split():
+        for n in (0, 4, 3, 2, 1):
+            parts = [p for p in language_parts(word, n) if any(p in counts[n][x] for x in langs)]
+            if parts:
+                out += np.mean([[np.log((counts[n][x][p] + 0.5) / whole[n][x]) for x in langs] for p in parts], axis=0)
+                break
+    return langs, out
+
+
+def language_parts(word, n):
+    if n == 0:
+        return [word]
+    line = word if n == 1 else f" {word} "
+    return [line[i : i + n] for i in range(len(line) - n + 1)]
+
+
+def test_language_of_more_entries_than_tasks_hold(spark):
+    known, other = spelt(1, 4000), spelt(2, 300)
+    learnt = [(i, " ".join(known[40 * i : 40 * i + 40] * (1 + i % 3)), "de en fr".split()[i % 3]) for i in range(100)]
+    asked = [(100 + i, " ".join([*other[10 * i : 10 * i + 10], known[77 * i], "zz" * (i % 3)]), None) for i in range(30)]
+    docs = spark.createDataFrame([*learnt, *asked, asked[0], (None, None, None), (None, "12 !", None), (None, "ß ñ", None)], "doc_id long, text string, lang string").repartition(3)
+    counts = {n: {x: Counter() for x in ("de", "en", "fr")} for n in range(5)}
+    for _, text, lang in learnt:
+        for word in text.split():
+            for n in counts:
+                counts[n][lang].update(language_parts(word, n))
+    model = language.learn(docs, 1000)
+    assert model.partial == {0, 3, 4} and all(len(t.hashes) <= 1000 for t in model.tables.values())
+    with pytest.raises(ValueError):
+        language.predictor(spark, model)
+    got = language.identify(docs.withColumn("copy", F.col("text")), model).collect()
+    assert len(got) == docs.count() and got[0].asDict().keys() == {"doc_id", "lang", "copy", "p"}
+    assert len({tuple(r["p"]) for r in got if r["doc_id"] == 100}) == 1
+    for r in got:
+        if not re.search(r"[^\W\d_]", r["copy"] or ""):
+            assert tuple(r["p"]) == ("und", 0.0)
+            continue
+        langs, sums = language_sums(counts, r["copy"])
+        assert r["p"]["lang_pred"] == langs[int(sums.argmax())], r
+        assert r["p"]["score"] == pytest.approx(1 / np.exp(sums - sums.max()).sum(), abs=1e-3)
+    whole = {r["copy"]: r["p"] for r in language.identify(docs.withColumn("copy", F.col("text")), language.learn(docs)).collect()}
+    assert all(whole[r["copy"]]["lang_pred"] == r["p"]["lang_pred"] and whole[r["copy"]]["score"] == pytest.approx(r["p"]["score"], abs=1e-4) for r in got)
+
+
+def test_language_by_words_seen_once(spark, tmp_path):
+    from musterline.llm import queries
+
+    known = spelt(3, 240_000)
+    out = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 == 1]
+    learnt = [i for i in range(2000) if i not in set(out)][:600]
+    rows = [(i, " ".join(known[400 * k : 400 * k + 400]), f"l{k % 4}", None, None) for k, i in enumerate(learnt)]
+    rows += [(i, known[400 * k], None, f"l{k % 4}", None) for k, i in enumerate(out[:500])]
+    spark.createDataFrame(rows, odd.SCHEMA).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r[0]: r[3] for r in rows if r[3]}
+    got = queries.op7_language(spark, str(tmp_path)).where("held_out").collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == want
+
+
 def test_language_held_out(spark, data_dir):
     from musterline.llm import queries
 
