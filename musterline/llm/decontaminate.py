@@ -12,8 +12,8 @@ Two bit tables of fixed size (all item shingles; all item signatures) let a task
 text that holds nothing of any item; a false hit only costs a lookup. So what is
 shuffled follows the matches, and nothing that grows is broadcast.
 
-Items or texts that are null or without words match nothing; fewer than k words are one
-shingle, found only in texts of the same words. Repeated rows each get their own result rows.
+An item of n < k words is one shingle of n words, and looked for among the n-word shingles of each
+document. Items or texts that are null or without words match nothing. Repeated rows each get their own result rows.
 Null IDs are kept. Other columns of either table are ignored.
 """
 
@@ -28,13 +28,7 @@ from pyspark.sql import functions as F
 
 from musterline.llm.bits import bit_table, member
 from musterline.llm.tables import written
-from musterline.llm.words import document_words, mixed, runs_hash, shingle_set, whole_hash
-
-def _sequence(h: np.ndarray, k: int) -> np.ndarray:
-    """The shingles of a text in order."""
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    return runs_hash(h, k) if len(h) >= k else np.array([whole_hash(h, 7)], np.uint64)
+from musterline.llm.words import document_words, mixed, runs_hash, shingle_set
 
 
 def _span(n: int) -> int:
@@ -54,17 +48,19 @@ def signature(shingles: np.ndarray, span: int) -> np.ndarray:
 def _items(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sets, spans, keys = [], [], [], []
+            rows, lengths, sets, spans, keys = [], [], [], [], []
             for row, _, _, _, h in document_words(batch.column("text"), fold=True):
-                s = shingle_set(h, k)
+                n = min(len(h), k)
+                s = shingle_set(h, k) if n in (0, k) else runs_hash(h, n, n)
                 if len(s):
                     rows.append(row)
+                    lengths.append(n)
                     sets.append(s.view(np.int64))
                     spans.append(_span(len(s)))
                     keys.append(signature(s, spans[-1]).view(np.int64))
             kept = batch.take(pa.array(rows, pa.int64()))
             longs = pa.list_(pa.int64())
-            yield pa.record_batch([kept.column("item_id").cast(pa.int64()), pa.array(spans, pa.int64()), pa.array(sets, longs), pa.array(keys, longs)], names=["item_id", "span", "shingles", "keys"])
+            yield pa.record_batch([kept.column("item_id").cast(pa.int64()), pa.array(lengths, pa.int32()), pa.array(spans, pa.int64()), pa.array(sets, longs), pa.array(keys, longs)], names=["item_id", "length", "span", "shingles", "keys"])
 
     return task
 
@@ -84,20 +80,29 @@ def search(sequence: np.ndarray, hit: np.ndarray, spans: list[int], keys: np.nda
     return np.unique(np.concatenate(found))
 
 
-def _candidates(k: int, spans: list[int], tables):
+def _candidates(k: int, spans: list[int], short: list[int], tables):
+    """short: the lengths of items of fewer than k words."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = tables.value
         for batch in batches:
             rows, hits, keys = [], [], []
             for row, _, _, _, h in document_words(batch.column("text"), fold=True):
-                sequence = _sequence(h, k)
+                sequence = runs_hash(h, k)
                 hit = member(have["shingles"], sequence)
-                if hit.any():
-                    own = search(sequence, hit, spans, have["keys"])
-                    if len(own):
-                        rows.append(row)
-                        hits.append(np.unique(sequence[hit]).view(np.int64))
-                        keys.append(own.view(np.int64))
+                found = [sequence[hit]]
+                own = [search(sequence, hit, spans, have["keys"])] if hit.any() else []
+                for n in short:
+                    runs = np.unique(runs_hash(h, n, n))
+                    runs = runs[member(have["shingles"], runs)]
+                    key = mixed(mixed(runs) ^ np.uint64(1))  # the signature of each alone
+                    found.append(runs)
+                    own.append(key[member(have["keys"], key)])
+                own = np.unique(np.concatenate(own)) if own else []
+                if len(own):
+                    rows.append(row)
+                    hits.append(np.unique(np.concatenate(found)).view(np.int64))
+                    keys.append(own.view(np.int64))
             kept = batch.take(pa.array(rows, pa.int64()))
             longs = pa.list_(pa.int64())
             yield pa.record_batch([kept.column("doc_id").cast(pa.int64()), kept.column("row_key"), pa.array(hits, longs), pa.array(keys, longs)], names=["doc_id", "row_key", "hits", "keys"])
@@ -111,11 +116,12 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 75)
     docs has (doc_id, text), items (item_id, text). row_key is xxhash64(text).
     """
     spark = docs.sparkSession
-    items = written(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_items(k), "item_id long, span long, shingles array<long>, keys array<long>").withColumn("item", F.monotonically_increasing_id()), "items")
-    spans = sorted(r["span"] for r in items.select("span").distinct().collect())  # powers of two: 63 at most
+    items = written(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_items(k), "item_id long, length int, span long, shingles array<long>, keys array<long>").withColumn("item", F.monotonically_increasing_id()), "items")
+    kinds = items.select("length", "span").distinct().collect()  # spans are powers of two: 63 at most
+    spans, short = sorted({r["span"] for r in kinds if r["length"] == k}), sorted({r["length"] for r in kinds if r["length"] < k})
     tables = spark.sparkContext.broadcast({name: bit_table(items.select(F.explode(name))) for name in ("shingles", "keys")})
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("row_key"))
-    found = texts.mapInArrow(_candidates(k, spans, tables), "doc_id long, row_key long, hits array<long>, keys array<long>")
+    found = texts.mapInArrow(_candidates(k, spans, short, tables), "doc_id long, row_key long, hits array<long>, keys array<long>")
     found = written(found.withColumn("doc", F.monotonically_increasing_id()), "candidates")
 
     pairs = found.select("doc", F.explode("keys").alias("key")).join(items.select("item", F.explode("keys").alias("key")), "key").select("doc", "item").distinct()

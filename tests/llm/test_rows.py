@@ -147,6 +147,14 @@ def test_contained_items(spark):
     assert Counter(tuple(r) for r in got.select("doc_id", "item_id", "n_shingles", "n_found").collect()) == want
 
 
+def test_items_of_few_words_inside_long_texts(spark):
+    texts = [(1, odd.prose(1, 900) + " Seldom met " + odd.prose(2, 900)), (2, "seldom met"), (3, "seldom\nMET twice"), (4, "met seldom"), (5, "a b c d"), (6, "x a b c d e a b"), (None, "seldom"), (7, None)]
+    items = [(1, "seldom met"), (2, "A b c d"), (3, "met"), (4, "b c d e a"), (5, "not here")]
+    got = decontaminate.contained(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(1, 1), (2, 1), (3, 1), (5, 2), (6, 2), (1, 3), (2, 3), (3, 3), (4, 3), (6, 4)}
+    assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "n_shingles", "n_found").collect()) == sorted((d, i, 1, 1) for d, i in want)
+
+
 def test_nothing_contained(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained(odd.frame(spark), items).collect() == []
