@@ -305,8 +305,8 @@ def _cut(kind: Kind):
 
 
 def gathered(ranges: DataFrame) -> DataFrame:
-    """All ranges of window starts of one text in one row: as many as the text has segments at most."""
-    return ranges.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "count")).alias("r")).select("doc_id", "row_key", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"))
+    """All distinct ranges of window starts of one text in one row: as many as the text has segments at most, however often its row is repeated."""
+    return ranges.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "count")).alias("r")).select("doc_id", "row_key", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"))
 
 
 def cut(texts: DataFrame, ranges: DataFrame, kind: Kind) -> DataFrame:

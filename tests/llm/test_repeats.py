@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from musterline.llm import debruijn, suffix_array
+from musterline.llm import debruijn, repeats, suffix_array
 from tests.llm import odd
 
 
@@ -78,6 +78,12 @@ def test_bytes_of_passages(spark, crowd):
     assert got(suffix_array.remove_repeats(docs, 60, shard=5000, crowd=crowd)) == of_bytes(passages(), 60)
 
 
+def test_repeated_rows_bring_their_ranges_once(spark):
+    rows = [(1, 5, 0, 10), (1, 5, 20, 3), (None, 5, 0, 10)] * 50
+    found = repeats.gathered(spark.createDataFrame(rows, "doc_id long, row_key long, start long, count long").repartition(3)).collect()
+    assert {r["doc_id"]: sorted(zip(r["starts"], r["counts"], strict=True)) for r in found} == {1: [(0, 10), (20, 3)], None: [(0, 10)]}
+
+
 def test_empty(spark):
     assert got(debruijn.compact(odd.empty(spark)).kept) == []
     assert got(suffix_array.remove_repeats(odd.empty(spark))) == []
