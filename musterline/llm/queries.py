@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterline.llm import debruijn, decontaminate, fingerprints, language, mixing, ngram_join, quality, sharding, suffix_array, token_counts
-from musterline.llm.tables import read, remainder
+from musterline.llm import collocations, conversations, debruijn, decontaminate, fingerprints, language, mixing, ngram_join, quality, sharding, suffix_array, token_counts, warc
+from musterline.llm.tables import read, remainder, shared_folder
 
 
 _HASH = "('0x' || substr(md5({}), 1, 15))::bigint"
@@ -59,6 +60,112 @@ select doc_id, size, source_size, round(target, 3) as target,
 from summed
 """
 
+_RULE = collocations.Rule()
+
+_COLLOCATIONS = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), totals as (
+  select lang, sum(len(w))::hugeint as n from words group by lang
+), counted as (
+  select lang, phrase, count(*)::hugeint as a from (
+    select lang, array_to_string(w[i : i + k - 1], ' ') as phrase
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, range(1, {_RULE.longest + 1}) t(k) where len(w) >= k)
+  ) group by lang, phrase having count(*) >= {_RULE.least}
+), candidates as (
+  select lang, phrase, string_split(phrase, ' ') as w, a from counted where contains(phrase, ' ')
+), covered as (
+  select lang, array_to_string(w[1 : len(w) - 1], ' ') as phrase, a from candidates union select lang, array_to_string(w[2 : len(w)], ' '), a from candidates
+), cuts as (
+  select c.lang, c.phrase, c.a, k, h.a as l, t.a as r, n, (1000 * c.a * n) // (h.a * t.a) as score
+  from (select *, unnest(range(1, len(w))) as k from candidates anti join covered using (lang, phrase, a)) c
+  join counted h on h.lang = c.lang and h.phrase = array_to_string(w[1 : k], ' ')
+  join counted t on t.lang = c.lang and t.phrase = array_to_string(w[k + 1 : len(w)], ' ')
+  join totals s on s.lang = c.lang
+), lowest as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase collate C) as rank from lowest)
+where rank <= {_RULE.top}
+"""
+
+_CONVERSATIONS = r"""
+with recursive named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name
+  from conversations
+), summed as (
+  select *, xor(list_reduce(list_transform(string_split(name, ''), lambda x: ord(x)::bigint), lambda c, b:
+              list_reduce(range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b)), 4294967295), 4294967295) % 20 as kind
+  from named
+), damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+  from summed where kind <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+         lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, text, copy) as before
+  from damaged
+), rows as (
+  select *, left(role, 1) as initial,
+         case when not regexp_matches(text, '[^ 	-]') then 'B' when seen > 1 then 'D' when not regexp_matches(text, '[.!?][ 	-]*$') then 'T' else '' end as fault
+  from placed
+), facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'B') as blank,
+         count(*) filter (fault = 'D') as duplicate, count(*) filter (fault = 'T') as truncated,
+         count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, max(i) as n
+  from rows group by conv_id
+), inserts(q, to_q, price, letters, said) as (
+  values (0, 0, 0, '', []::varchar[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+         (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+         (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])
+), says(q, initial, to_q) as (
+  values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), edits as (
+  select r.conv_id, r.i, q.q, q.q as to_q, 2 as price, 'D' as letter, []::varchar[] as said from rows r, (values (0), (1), (2), (3)) q(q)
+  union all
+  select r.conv_id, r.i, s.q, s.to_q, case when r.initial = s.initial then 0 else 1 end + case when fault = 'T' then 5 else 0 end,
+         case when r.initial = s.initial then 'K' else 'R' end,
+         [case when r.initial = s.initial then role when s.initial = 'u' then 'user' else 'assistant' end || ':' || text]
+  from rows r, says s where fault in ('', 'T') and (r.initial = s.initial or s.initial <> 's')
+), walk as (
+  select conv_id, 0::bigint as i, 0 as q, {'cost': 0, 'audit': '', 'said': []::varchar[]} as best from facts
+  union all
+  select x.conv_id, x.i, x.q, x.best from (
+    select w.conv_id, e.i, e.to_q as q, min({'cost': w.best.cost + p.price + e.price, 'audit': w.best.audit || p.letters || e.letter, 'said': list_concat(list_concat(w.best.said, p.said), e.said)}) as best
+    from walk w join inserts p on p.q = w.q join edits e on e.conv_id is not distinct from w.conv_id and e.i = w.i + 1 and e.q = p.to_q
+    group by w.conv_id, e.i, e.to_q) x
+), done as (
+  select f.conv_id, min({'cost': w.best.cost + p.price, 'audit': w.best.audit || p.letters, 'said': list_concat(w.best.said, p.said)}) as best
+  from facts f join walk w on w.conv_id is not distinct from f.conv_id and w.i = f.n join inserts p on p.q = w.q and p.to_q in (0, 3) group by f.conv_id
+)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit,
+       sha256(coalesce(array_to_string(best.said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join facts f on f.conv_id is not distinct from c.conv_id left join done d on d.conv_id is not distinct from c.conv_id
+"""
+
+_WARC = """
+with hashed as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), grouped as (
+  select *, min(page_id) over (partition by hex, payload_bytes) as first from hashed
+)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') as payload_digest,
+       case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from first then first end as refers_to
+from grouped
+"""
+
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.ngram_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -115,9 +222,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), _RULE)
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations")
+    repaired = conversations.repair(conversations.damage(given), given)
+    totals = repaired.totals.withColumnRenamed("conv_id", "named")
+    return repaired.digests().join(totals, F.col("conv_id").eqNullSafe(F.col("named"))).drop("named")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    found = warc.verified(warc.read(spark, folder))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_debruijn": op6_debruijn, "op7_language": op7_language, "op8_token_counts": op8_token_counts, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing}
+    return {"op1_ngram_join": op1_ngram_join, "op2_quality": op2_quality, "op3_suffix_array": op3_suffix_array, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_debruijn": op6_debruijn, "op7_language": op7_language, "op8_token_counts": op8_token_counts, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing, "op11_collocations": op11_collocations, "op12_conversations": op12_conversations, "op13_warc": op13_warc}
 
 
 def statements() -> dict[str, str]:
-    return {"op5_sharding": _SHARDING, "op10_mixing": _MIXING}
+    return {"op5_sharding": _SHARDING, "op10_mixing": _MIXING, "op11_collocations": _COLLOCATIONS, "op12_conversations": _CONVERSATIONS, "op13_warc": _WARC}
