@@ -6,7 +6,7 @@ shuffle key carries the ID, so a manager owning a third of all rows still spread
 every partition, and no join is needed to find out who is on which side.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from musterline import constants as K
 from musterline.functions import (
@@ -17,6 +17,7 @@ from musterline.functions import (
     risk_level,
     score,
 )
+from musterline.sources.buckets import Buckets, open_buckets
 
 
 def presence(roster: DataFrame, sheet: DataFrame, by: str = "manager_id") -> DataFrame:
@@ -103,6 +104,24 @@ def reconcile_with_details(
     )
 
 
+def reconcile_buckets(roster: Buckets, sheet: Buckets, columns: tuple = ("full_name", "company_email", "department")) -> DataFrame:
+    """As :func:`reconcile_with_details` over stored buckets: no exchange while their numbers are equal.
+
+    IDs are clean in stored tables.  Each side is reduced to one row per pair within its
+    buckets; the join then finds both sides where they lie.
+    """
+    spark, by = SparkSession.active(), roster.by
+    details = (
+        open_buckets(spark, roster).groupBy(by, "employee_id").agg(F.min(F.struct(*columns)).alias("_d")).withColumn("_r", F.lit(True))
+    )
+    seen = open_buckets(spark, sheet).select(F.col(sheet.by).alias(by), "employee_id").distinct().withColumn("_s", F.lit(True))
+    found = details.join(seen, [by, "employee_id"], "full_outer")
+    in_roster, in_sheet = (F.coalesce(c, F.lit(False)) for c in ("_r", "_s"))
+    return found.withColumns({"in_roster": in_roster, "in_sheet": in_sheet}).select(
+        by, "employee_id", match_status().alias("status"), *[F.col(f"_d.{c}").alias(c) for c in columns]
+    )
+
+
 def ids_with_status(reconciliation: DataFrame, status: str, by: str = "manager_id") -> DataFrame:
     return reconciliation.where(F.col("status") == status).select(by, "employee_id")
 

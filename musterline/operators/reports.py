@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline import constants as K
+from musterline.operators.numbering import copies, numbered
 from musterline.functions import (
     advice_text,
     executive_codes,
@@ -74,9 +75,42 @@ def report_lines(
 ) -> DataFrame:
     """``(by, section_no, line_key, line)``: the whole text report of every owner.
 
-    Reading order is ``section_no, line_key, line``.  Lines are ordered by key instead of
-    being numbered, since numbering would pull each owner's IDs through one task.
+    Reading order is ``section_no, line_key, line``; :func:`numbered_lines` numbers them.
     """
+    most = _lines(summary, names, departments, reconciliation, generated, by)
+    return most.unionByName(_no_email_lines(no_email, by))
+
+
+def _no_email_lines(no_email: DataFrame, by: str) -> DataFrame:
+    shown_id = F.coalesce("employee_id", F.lit("(no ID)"))
+    return no_email.select(by, F.lit(8).alias("section_no"), shown_id.alias("line_key"), shown_id.alias("line"))
+
+
+def numbered_lines(
+    summary: DataFrame,
+    names: DataFrame,
+    departments: DataFrame,
+    reconciliation: DataFrame,
+    no_email: DataFrame,
+    generated: Column | None = None,
+    by: str = "manager_id",
+) -> DataFrame:
+    """As :func:`report_lines` with ``line_no``, from 1 and without gaps for each owner.
+
+    Numbers are prefix sums over range partitions, so an owner's report may be longer than any
+    task.  Roster rows without e-mail may share an ID; such lines are counted first and told apart by
+    copy, so they spread like all others.
+    """
+    most = _lines(summary, names, departments, reconciliation, generated, by).withColumn("_copy", F.lit(1).cast("long"))
+    gaps = _no_email_lines(no_email, by)
+    repeated = copies(gaps.groupBy(*gaps.columns).agg(F.count("*").alias("_n")), "_n", "_copy").drop("_n")
+    return numbered(most.unionByName(repeated), [by], ["section_no", "line_key", "line", "_copy"], "line_no").drop("_copy")
+
+
+def _lines(
+    summary: DataFrame, names: DataFrame, departments: DataFrame, reconciliation: DataFrame, generated: Column | None, by: str
+) -> DataFrame:
+    """Every line but those of roster rows without e-mail."""
 
     def line(section: int, key, text: Column) -> Column:
         key = F.lit(key) if isinstance(key, str) else key
@@ -110,9 +144,7 @@ def report_lines(
     from_ids = reconciliation.select(
         by, section.alias("section_no"), F.col("employee_id").alias("line_key"), F.col("employee_id").alias("line")
     )
-    shown_id = F.coalesce("employee_id", F.lit("(no ID)"))
-    from_no_email = no_email.select(by, F.lit(8).alias("section_no"), shown_id.alias("line_key"), shown_id.alias("line"))
-    return from_summary.unionByName(from_departments).unionByName(from_ids).unionByName(from_no_email)
+    return from_summary.unionByName(from_departments).unionByName(from_ids)
 
 
 def in_reading_order(lines: DataFrame, by: str = "manager_id") -> DataFrame:

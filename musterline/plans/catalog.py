@@ -1,14 +1,17 @@
 """Every named query: operators applied to the stand-in tables of one directory."""
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from musterline import constants as K
-from musterline.operators import access, changes, dashboards, explore, ingest, reconcile, reports
+from musterline.operators import access, changes, dashboards, explore, ingest, partials, reconcile, reports, sketches, trigrams
 from musterline.plans import standins as V
+from musterline.sources import buckets, keyed
 from musterline.sources.sheets import preview
-from musterline.streaming import live
+from musterline.sources.storage import fresh_path, parked
+from musterline.streaming import lifecycle, live, timed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEARCH_ROSTER = "build"
 SEARCH_ALL = "12"
 PAGE = {"page": 2, "limit": 20, "sort_by": "department", "sort_order": "desc"}
+FILTERED = {"search": "9", "department": "BUILDING", "sort_by": "full_name", "limit": 20}
+PATIENCE, HORIZON, END_WITHIN = timedelta(days=2), timedelta(days=10), "3 days"
 REPORTS_OF = "user3@example.com"
 CLOCK = "2024-02-01 00:00:00"
 
@@ -43,6 +48,11 @@ def _pairs(s, d):
     return reconcile.reconcile(V.roster(s, d), V.sheet(s, d))
 
 
+def _issues(s, d):
+    """All three types: IDs of one side, and leave figures that differ."""
+    return reconcile.issues(_pairs(s, d), V.roster_with_leave(s, d), V.sheet_with_leave(s, d))
+
+
 # --- reconciliation -----------------------------------------------------------------
 
 @_query
@@ -55,6 +65,20 @@ def reconciliation(s, d):
     return reconcile.reconcile_with_details(V.roster(s, d), V.sheet(s, d))
 
 
+@_query
+def reconciliation_by_bucket(s, d):
+    """Roster and sheet stored by ID bucket, compared without moving a row."""
+    tables = [buckets.store(v(s, d), fresh_path(s, name), name) for name, v in (("roster", V.roster), ("sheet", V.sheet))]
+    return reconcile.reconcile_buckets(*tables)
+
+
+@_query
+def sketched_summary(s, d):
+    """Set sizes and scores from theta sketches of roster and sheet; the sheet's are merged from sketches by ID length."""
+    sheet = sketches.id_sketches(V.sheet(s, d).withColumn("part", F.length("employee_id")), ["manager_id", "part"])
+    return sketches.compare(sketches.id_sketches(V.roster(s, d), ["manager_id"]), sketches.merged(sheet, ["manager_id"]))
+
+
 @_query
 def matched_ids(s, d):
     return reconcile.ids_with_status(_pairs(s, d), K.MATCHED).orderBy("manager_id", "employee_id")
@@ -112,7 +136,7 @@ def executive_summary(s, d):
 
 @_query
 def issues(s, d):
-    return reconcile.issues(_pairs(s, d)).orderBy("issue_order", "manager_id", "employee_id").drop("issue_order")
+    return _issues(s, d).orderBy("issue_order", "manager_id", "employee_id").drop("issue_order")
 
 
 @_query
@@ -122,7 +146,7 @@ def leave_mismatches(s, d):
 
 @_query
 def issue_summary(s, d):
-    return reconcile.issue_counts(reconcile.issues(_pairs(s, d))).select("issue_type", "issue_count")
+    return reconcile.issue_counts(_issues(s, d)).select("issue_type", "issue_count")
 
 
 @_query
@@ -182,6 +206,20 @@ def actions_by_user(s, d):
     return live.live_action_counts(V.audit_logs(s, d))
 
 
+@_query
+def kept_upload_counts(s, d):
+    """Upload counts by owner from three stored partials: sheets as first told, rosters, and a correction of the sheets."""
+    uploads = V.upload_history(s, d)
+    sheets, rosters = (uploads.where(F.col("category") == c) for c in (K.SHEET_FILE, K.ROSTER_FILE))
+    told = sheets.withColumn("status", F.lit(K.STATUS_PROCESSING))
+    kept = partials.Kept(s, fresh_path(s, "kept"), partials.upload_measures())
+    kept.add(partials.signed(told), 0)
+    kept.add(partials.signed(rosters), 1)
+    kept.fold()
+    kept.add(partials.corrections(told, sheets), 2)
+    return kept.dashboard()
+
+
 @_query
 def recent_uploads(s, d):
     return dashboards.recent_uploads(V.upload_history(s, d))
@@ -222,6 +260,18 @@ def job_status(s, d):
     return dashboards.job_status(V.upload_history(s, d))
 
 
+@_query
+def timed_job_status(s, d):
+    """How jobs ended; those that tell nothing for the time of patience have failed."""
+    return timed.ended_jobs(V.job_events(s, d), PATIENCE)
+
+
+@_query
+def upload_outcomes(s, d):
+    """Uploads with the events that end them in time, and those that nothing ends."""
+    return lifecycle.outcomes(V.user_uploads(s, d), V.user_ends(s, d), END_WITHIN)
+
+
 # --- exploration ----------------------------------------------------------------------
 
 @_query
@@ -229,6 +279,19 @@ def roster_search(s, d):
     return explore.search_roster(V.roster(s, d), SEARCH_ROSTER)
 
 
+@_query
+def roster_search_indexed(s, d):
+    """The same search by way of a trigram index."""
+    roster, path = V.roster(s, d), fresh_path(s, "trigrams")
+    trigrams.build(roster, path, "employee_id")
+    return trigrams.search(roster, trigrams.open_index(s, path), "employee_id", SEARCH_ROSTER)
+
+
+@_query
+def filtered_roster_page(s, d):
+    return explore.roster_page(V.roster(s, d), **FILTERED)
+
+
 @_query
 def roster_page(s, d):
     return explore.roster_page(V.roster(s, d), **PAGE)
@@ -355,6 +418,15 @@ def apply_changes_latest(s, d):
     return changes.apply_changes(V.report_history(s, d), stamps, "id", ["seq"], ["downloaded_by", "downloaded_at"])
 
 
+@_query
+def rewritten_reports(s, d):
+    """The same download stamps applied to a stored table: only the buckets they change are written anew."""
+    table = keyed.create(V.report_history(s, d), fresh_path(s, "reports"), "id", buckets=16)
+    stamps = V.report_downloads(s, d).withColumnRenamed("report_id", "id")
+    keyed.apply(table, stamps, ["seq"], ["downloaded_by", "downloaded_at"])
+    return keyed.read(s, table)
+
+
 @_query
 def assignment_validation(s, d):
     return changes.validate_assignments(V.hr_assignments(s, d), V.users(s, d))
@@ -381,13 +453,14 @@ def decided_requests(s, d):
 
 @_query
 def report_lines(s, d):
-    roster, sheet = V.roster(s, d), V.sheet(s, d)
+    roster = V.roster(s, d)
     names = V.users(s, d).where(F.col("role") == K.ROLE_MANAGER).select(F.col("id").alias("manager_id"), "name")
-    return reports.report_lines(
-        reconcile.summarise(roster, sheet),
+    present = parked(reconcile.presence(roster, V.sheet(s, d)), "presence")  # read for counts and for lines
+    return reports.numbered_lines(
+        reconcile.summarise_presence(present),
         names,
         reconcile.department_headcount_by_owner(roster),
-        reconcile.reconcile(roster, sheet),
+        reconcile.statuses(present),
         reconcile.without_email(roster),
         generated=_clock(),
     )

@@ -57,6 +57,10 @@ select event_id id, 'user' || (user_id % 25) || '@example.com' user_email,
  case event_type when 'click' then 'RUN_COMPARISON' else upper(event_type) end as action,
  props details, ts created_at
 from events""",
+    "job_events": """
+select event_id id, 'job_' || user_id job,
+ case event_type when 'view' then 'PROCESSING' when 'purchase' then 'COMPLETED' else 'FAILED' end status, ts created_at
+from events where event_type in ('view', 'purchase', 'error')""",
     "user_requests": """
 select o_orderkey id,
  case when o_custkey % 20 = 0 then 'hr' || (o_custkey % 10) || '@example.com'
@@ -112,6 +116,14 @@ union all select doc_id, 4, upper(left(source, 1)) || lower(substr(source, 2)) f
 select coalesce(r.manager_id, s.manager_id) manager_id, coalesce(r.employee_id, s.employee_id) employee_id,
  case when s.employee_id is null then 'MISSING' when r.employee_id is null then 'UNKNOWN' else 'MATCHED' end status
 from roster_ids r full join sheet_ids s on r.manager_id = s.manager_id and r.employee_id = s.employee_id""",
+    "mismatches": """
+select distinct r.manager_id, trim(r.employee_id) employee_id
+from roster_with_leave r join sheet_with_leave s on s.manager_id = r.manager_id and trim(s.employee_id) = r.employee_id
+where r.customer_leave is distinct from s.customer_leave or r.internal_leave is distinct from s.internal_leave""",
+    "issue_rows": """
+select case status when 'MISSING' then 'MISSING_IN_GETS' else 'UNKNOWN_EMPLOYEE' end issue_type, manager_id, employee_id
+from pairs where status <> 'MATCHED'
+union all select 'LEAVE_MISMATCH', manager_id, employee_id from mismatches""",
     "no_email": """
 select manager_id, trim(employee_id) employee_id from roster
 where company_email is null or trim(company_email) = ''""",
@@ -171,6 +183,7 @@ from files""",
 # Which views a view reads, so that a statement carries only what it needs.
 _USES = {
     "roster_ids": ("roster",), "sheet_ids": ("sheet",), "pairs": ("roster_ids", "sheet_ids"),
+    "mismatches": ("roster_with_leave", "sheet_with_leave"), "issue_rows": ("pairs", "mismatches"),
     "no_email": ("roster",), "counts": ("pairs", "no_email"), "scored": ("counts",), "summary": ("scored",),
     "departments": ("roster",), "managers": ("users",), "upload_counts": ("upload_history",),
     "headcounts": ("roster",), "ranked_reports": ("report_history",),
@@ -198,6 +211,22 @@ _ADVICE = """case when missing > 0 then '* Check the roster IDs that the sheet l
  case when missing_email > 0 then '* Fill in the company e-mail addresses that are blank.' end,
  case when missing = 0 and unknown = 0 and missing_email = 0 then '* Nothing to follow up.' end"""
 
+_DETAILED = """
+select p.*, r.full_name, r.company_email, r.department
+from pairs p left join roster r on r.manager_id = p.manager_id and r.employee_id = p.employee_id"""
+
+_FOUND = """
+select * from roster where employee_id ilike '%build%' or full_name ilike '%build%'
+ or company_email ilike '%build%' or department ilike '%build%'"""
+
+_STAMPED = """
+select r.id, r.manager_id, r.manager_email, r.filename, r.generated_at,
+ case when c.seq is not null then c.downloaded_by else r.downloaded_by end downloaded_by,
+ case when c.seq is not null then c.downloaded_at else r.downloaded_at end downloaded_at
+from report_history r left join (
+ select *, row_number() over (partition by report_id order by seq desc) as nth from report_downloads) c
+on c.report_id = r.id and c.nth = 1"""
+
 _SCORE_TEXT = "case when roster_count = 0 then '0' else cast(compliance_score as varchar) end"
 
 _SCORE = """case when roster_count = 0 then 0.0
@@ -263,9 +292,9 @@ def statements() -> dict[str, str]:
     sql = {
         # Reconciliation.
         "compliance_summary": _with("summary", "select * from summary"),
-        "reconciliation": _with("pairs", """
-select p.*, r.full_name, r.company_email, r.department
-from pairs p left join roster r on r.manager_id = p.manager_id and r.employee_id = p.employee_id"""),
+        "reconciliation": _with("pairs", _DETAILED),
+        "sketched_summary": _with("summary", "select * exclude (missing_email) from summary"),
+        "reconciliation_by_bucket": _with("pairs", _DETAILED),
         "matched_ids": _with("roster_ids sheet_ids", """
 select * from roster_ids r
 where exists (select 1 from sheet_ids s where s.manager_id = r.manager_id and s.employee_id = r.employee_id)"""),
@@ -307,16 +336,9 @@ select manager_id, risk_level as priority, risk_level,
   case when missing_email > 0 then 'FIX_EMAIL:' || missing_email end,
   case when compliance_score < 90 then 'BELOW_TARGET' end), ''), 'NO_ISSUES') codes
 from summary"""),
-        "issues": _with("pairs", """
-select case status when 'MISSING' then 'MISSING_IN_GETS' else 'UNKNOWN_EMPLOYEE' end issue_type, manager_id, employee_id
-from pairs where status <> 'MATCHED'"""),
-        "leave_mismatches": _with("roster_with_leave sheet_with_leave", """
-select distinct r.manager_id, r.employee_id
-from roster_with_leave r join sheet_with_leave s on s.manager_id = r.manager_id and s.employee_id = r.employee_id
-where r.customer_leave is distinct from s.customer_leave or r.internal_leave is distinct from s.internal_leave"""),
-        "issue_summary": _with("pairs", """
-select case status when 'MISSING' then 'MISSING_IN_GETS' else 'UNKNOWN_EMPLOYEE' end issue_type, count(*) issue_count
-from pairs where status <> 'MATCHED' group by 1"""),
+        "issues": _with("issue_rows", "select * from issue_rows"),
+        "leave_mismatches": _with("mismatches", "select * from mismatches"),
+        "issue_summary": _with("issue_rows", "select issue_type, count(*) issue_count from issue_rows group by 1"),
         "org_rollup": _with("summary", f"""
 select *, {_risk('compliance_score')} risk_level from (
  select *, {_SCORE} compliance_score from (
@@ -376,6 +398,24 @@ where h.role = 'HR'"""),
 select uploaded_by, category, count(*) uploads from upload_history group by 1, 2"""),
         "actions_by_user": _with("audit_logs", """
 select user_email, action, count(*) actions from audit_logs group by 1, 2"""),
+        "kept_upload_counts": _with("upload_history", """
+select uploaded_by, count(*) row_count, count(*) filter (where category = 'EMPLOYEE_DATA') roster_files,
+ count(*) filter (where category = 'GETS_SHEET') sheet_files, count(*) filter (where status = 'COMPLETED') completed,
+ count(*) filter (where status = 'FAILED') failed
+from upload_history group by 1"""),
+        "timed_job_status": _with("job_events", """
+select job, started_at, case when late then started_at + interval 2 day else ended end ended_at,
+ case when late then 'FAILED' else ending end status, case when late then 'NO_END_IN_TIME' end reason
+from (select *, coalesce(ended >= started_at + interval 2 day, true) late from (
+ select job, status, created_at started_at, lead(created_at) over w ended, lead(status) over w ending
+ from job_events window w as (partition by job order by created_at, id)))
+where status = 'PROCESSING' and (late or ending <> 'PROCESSING')"""),
+        "upload_outcomes": """
+select u.event_id upload_id, 'user' || u.user_id as owner, u.ts uploaded_at, e.event_id end_id,
+ case e.event_type when 'purchase' then 'COMPLETED' when 'error' then 'FAILED' end status, e.ts ended_at
+from events u left join events e on e.user_id = u.user_id and e.event_type in ('purchase', 'error')
+ and e.ts >= u.ts and e.ts < u.ts + interval 3 day
+where u.event_type = 'signup'""",
         "recent_uploads": _with("upload_history", """
 select filename, category, uploaded_by, created_at uploaded_at from upload_history order by created_at desc, id desc limit 5"""),
         "recent_uploads_per_manager": _with("upload_history", """
@@ -397,9 +437,12 @@ select filename, status, uploaded_by, created_at uploaded_at from (
  select *, row_number() over (partition by filename order by created_at desc, id desc) as nth from upload_history)
 where nth = 1"""),
         # Exploration.
-        "roster_search": _with("roster", """
-select * from roster where employee_id ilike '%build%' or full_name ilike '%build%'
- or company_email ilike '%build%' or department ilike '%build%'"""),
+        "roster_search": _with("roster", _FOUND),
+        "roster_search_indexed": _with("roster", _FOUND),
+        "filtered_roster_page": _with("roster", """
+select * from roster where department = 'BUILDING'
+ and (employee_id ilike '%9%' or full_name ilike '%9%' or company_email ilike '%9%' or department ilike '%9%')
+order by full_name asc nulls last, employee_id asc nulls last, manager_id limit 20"""),
         "roster_page": _with("roster", """
 select * from roster order by department desc nulls first, employee_id asc nulls last, manager_id limit 20 offset 20"""),
         "roster_page_after": _with("roster", """
@@ -489,13 +532,8 @@ from file_headers h"""),
         "import_counts": _with("first_new_rows", """
 select i.manager_id, count(n.row_no) inserted, count(*) - count(n.row_no) skipped, cast(0 as bigint) blank_ids
 from incoming_roster i left join first_new_rows n on n.row_no = i.row_no group by 1"""),
-        "apply_changes_latest": _with("report_history report_downloads", """
-select r.id, r.manager_id, r.manager_email, r.filename, r.generated_at,
- case when c.seq is not null then c.downloaded_by else r.downloaded_by end downloaded_by,
- case when c.seq is not null then c.downloaded_at else r.downloaded_at end downloaded_at
-from report_history r left join (
- select *, row_number() over (partition by report_id order by seq desc) as nth from report_downloads) c
-on c.report_id = r.id and c.nth = 1"""),
+        "apply_changes_latest": _with("report_history report_downloads", _STAMPED),
+        "rewritten_reports": _with("report_history report_downloads", _STAMPED),
         "assignment_validation": _with("assignment_outcomes", "select * from assignment_outcomes"),
         "assigned_users": _with("assignment_outcomes users", """
 select u.id, u.name, u.email, u.role, coalesce(a.manager_id, u.manager_id) manager_id
@@ -507,7 +545,8 @@ on a.hr_id = u.id and a.nth = 1"""),
 select r.id, r.email, r.requested_role, coalesce(o.outcome, r.status) status, r.created_at
 from user_requests r left join (select * from outcomes where outcome in ('APPROVED', 'REJECTED')) o on o.request_id = r.id"""),
         # Reports.
-        "report_lines": _with("summary managers departments pairs no_email", _report_lines()),
+        "report_lines": _with("summary managers departments pairs no_email", f"""
+select *, row_number() over (partition by manager_id order by section_no, line_key, line) line_no from ({_report_lines()})"""),
         "notifications": _with("summary managers", f"""
 select m.email receiver, 'Your compliance report: risk ' || risk_level subject,
  concat_ws(chr(10), 'Dear ' || m.name || ',', 'your sheet has been compared with the roster.',

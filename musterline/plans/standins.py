@@ -127,6 +127,31 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What jobs tell of themselves: many starts and ends for each job, in any order."""
+    return _read(spark, sf_dir, "events").where("event_type in ('view', 'purchase', 'error')").selectExpr(
+        "event_id id",
+        "'job_' || user_id job",
+        "case event_type when 'view' then 'PROCESSING' when 'purchase' then 'COMPLETED' else 'FAILED' end status",
+        "ts created_at",
+    )
+
+
+def user_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").where("event_type = 'signup'").selectExpr(
+        "event_id id", "'user' || user_id owner", "ts uploaded_at"
+    )
+
+
+def user_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that end uploads, each of them told twice."""
+    ends = _read(spark, sf_dir, "events").where("event_type in ('purchase', 'error')").selectExpr(
+        "event_id id", "'user' || user_id owner",
+        "case event_type when 'purchase' then 'COMPLETED' else 'FAILED' end status", "ts ended_at",
+    )
+    return ends.unionByName(ends)
+
+
 def user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").selectExpr(
         "o_orderkey id",

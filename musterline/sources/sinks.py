@@ -1,15 +1,50 @@
 """Writing results: history appends, partitioned text reports, workbook tables, JSON."""
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from musterline.operators.reports import in_reading_order
 
 
 def append_records(df: DataFrame, path: str) -> None:
-    """Append history, audit or status rows to a Parquet table."""
+    """Append history, audit or status rows to a Parquet table; a repeat appends again (see :func:`append_once`)."""
     df.write.mode("append").parquet(path)
 
 
+def append_once(df: DataFrame, table: str, batch_id: int | str) -> bool:
+    """Append the rows of a batch under ``batch_id=<id>``; False if that batch is there already.
+
+    Rows go to a folder that readers do not see, and one rename publishes them all.  A batch that was
+    stopped before the rename has left nothing visible, and repeating it leaves each row once; of two
+    attempts at once the first rename wins.  The file system has to rename folders atomically.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    final = jvm.Path(f"{table}/batch_id={batch_id}")
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(final):
+        return False
+    staged = jvm.Path(f"{table}/_staged/{batch_id}-{uuid.uuid4().hex}")
+    df.write.parquet(staged.toString())
+    files.mkdirs(final.getParent())
+    # A rename onto a folder that has come meanwhile would move ours into it: look again, and undo that.
+    if files.exists(final) or not files.rename(staged, final):
+        files.delete(staged, True)
+        return False
+    inside = jvm.Path(final, staged.getName())
+    if files.exists(inside):
+        files.delete(inside, True)
+        return False
+    return True
+
+
+def clear_staged(spark: SparkSession, table: str) -> None:
+    """Remove what stopped batches have left; no batch may be running."""
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/_staged")
+    staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
+
+
 def write_partition(df: DataFrame, table: str, **partition) -> str:
     """(Re)write one partition directory, so that repeating a batch changes nothing."""
     place = table + "".join(f"/{name}={value}" for name, value in partition.items())
