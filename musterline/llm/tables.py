@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from musterline.sources.storage import work_folder
+
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -20,15 +23,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set and the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder named by spark.checkpoint.dir; a local one only where none is set and Spark runs in this process."""
+    return work_folder(spark)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
@@ -41,6 +37,17 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return table
 
 
+@contextmanager
+def in_batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs run inside; the session's own setting comes back."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of `written` that nothing reads any more."""
     spark = table.sparkSession

@@ -55,5 +55,5 @@ def empty(spark):
 
 def clashing(docs):
     """Extra columns that are called like what operators use inside or return."""
-    names = ["class", "n", "l", "token", "row_key", "a", "b", "size", "taken", "shard", "depth", "page", "bytes", "hash", "slot", "total", "prefix", "row", "cut", "part", "rest", "passes", "score", "label", "anchor", "start", "count", "fingerprint", "own", "item_id", "span"]
-    return docs.withColumns({x: F.lit(7) for x in names})
+    names = ["class", "n", "l", "token", "row_key", "a", "b", "size", "taken", "shard", "depth", "page", "bytes", "hash", "slot", "total", "prefix", "row", "cut", "part", "rest", "passes", "score", "label", "anchor", "start", "count", "fingerprint", "own", "item_id", "span", "_row_key", "_pattern", "_order", "top", "id", "key", "of", "d", "k", "range", "page_id", "html", "digest", "first", "turn", "role", "conv_id", "at", "fault"]
+    return docs.withColumns({x: F.lit(7) for x in names if x not in docs.columns})

@@ -1,0 +1,122 @@
+"""Archives: exact round trips, what other readers see, and what a damaged archive says."""
+
+import base64
+import glob
+import gzip
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+
+from musterline.llm import warc
+from pyspark.sql import functions as F
+from tests.llm import odd
+
+SCHEMA = "page_id long, url string, html string"
+
+
+def rows():
+    rand = random.Random(2)
+    long = "".join(rand.choice("abcdefgh <>é\r\n") for _ in range(400_000))
+    out = [
+        (7, "http://a/", "<p>one</p>"), (3, "http://b/", "<p>one</p>"), (9, None, "<p>one</p>"),  # 3 is first
+        (1, "http://c/?q=\r\nWARC-Type: revisit", "two \r\n\r\n WARC/1.1\r\n"), (2, "http://d/é", None), (4, "http://d", ""),
+        (5, "http://e", long), (6, "http://e", long), (None, "http://f", "<p>one</p>"), (None, None, "none"), (None, "", "none"), (8, "u", "x" * 5_000_000),
+    ]
+    return out + [(10 + i, f"http://h/{i}", "copied page") for i in range(200)] + [(3, "http://b/", "<p>one</p>")]  # a repeated row
+
+
+def wanted(pages, least=0):
+    groups = defaultdict(list)
+    for page_id, _, html in pages:
+        groups[html or ""].append(page_id)
+    out = []
+    for page_id, _, html in pages:
+        data = (html or "").encode()
+        first = min((x for x in groups[html or ""] if x is not None), default=None) if len(data) >= least and len(groups[html or ""]) > 1 else None
+        revisit = first is not None and first != page_id
+        out.append((page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
+    return sorted(out, key=repr)
+
+
+def found(frame):
+    return sorted((tuple(r) for r in frame.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr)
+
+
+@pytest.mark.parametrize("least", [0, 5, 10_000])
+def test_round_trip(spark, tmp_path, least):
+    pages = odd.clashing(spark.createDataFrame(rows(), SCHEMA).repartition(5))
+    warc.write(pages, f"{tmp_path}/w", least)
+    records = warc.verified(warc.read(spark, f"{tmp_path}/w", payloads=True))
+    assert found(records) == wanted(rows(), least)
+    texts = sorted(((r["page_id"], r["payload"].decode()) for r in warc.restored(records).collect()), key=repr)
+    assert texts == sorted(((r[0], r[2] or "") for r in rows()), key=repr)
+    assert {r["payload"] for r in records.where("record_type = 'revisit'").collect()} <= {None}
+    urls = {r["page_id"]: r["target_uri"] for r in records.where("page_id in (1, 2, 9)").collect()}
+    assert urls == {1: "http://c/?q=%0D%0AWARC-Type:%20revisit", 2: "http://d/é", 9: None}
+
+
+def test_other_readers_and_small_files(spark, tmp_path):
+    """Any gzip reader sees the records one after the other; files are rolled."""
+    pages = spark.createDataFrame(rows(), SCHEMA).coalesce(1)
+    warc.write(pages, f"{tmp_path}/w", file_bytes=1)
+    files = sorted(glob.glob(f"{tmp_path}/w/part-*"))
+    plain = b"".join(gzip.open(f).read() for f in files)
+    assert plain.count(b"\r\nWARC-Record-ID: ") == len(rows()) and plain.startswith(b"WARC/1.1\r\n") and plain.endswith(b"\r\n\r\n")
+    assert found(warc.read(spark, f"{tmp_path}/w")) == wanted(rows())
+
+
+def test_unique_pages_are_not_shuffled(spark, tmp_path):
+    """The join gets only pages whose digest may be repeated."""
+    pages = spark.range(500, numPartitions=3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), "id").alias("html"))
+    warc.write(pages, f"{tmp_path}/w")
+    assert found(warc.read(spark, f"{tmp_path}/w")) == wanted([(i, "u", f"page {i}") for i in range(500)])
+
+
+def test_no_pages(spark, tmp_path):
+    warc.write(spark.createDataFrame([], SCHEMA), f"{tmp_path}/w")
+    assert warc.read(spark, f"{tmp_path}/w").count() == 0
+
+
+def read(data, **options):
+    return list(warc.records(memoryview(data), "x", **options))
+
+
+def test_reader_in_small_pieces(monkeypatch):
+    data = b"".join(warc.record(r[0], r[1], (r[2] or "").encode()) + warc.EMPTY_MEMBER for r in rows())
+    whole = read(data, payloads=True)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(warc, "_CHUNK", size)
+        small = warc.record(1, "u", b"p" * 300) + warc.record(2, None, b"") + warc.EMPTY_MEMBER + warc.record(3, "v", b"q", 1)
+        assert [(r[2], r[3], r[5], r[7], r[9]) for r in read(small)] == [("response", 1, 300, None, None), ("response", 2, 0, None, None), ("revisit", 3, 1, 1, None)]
+    assert [r[8].decode() for r in whole] == [r[2] or "" for r in rows()] and {r[9] for r in whole} == {None}
+    assert [data[r[1] : r[1] + 2] for r in whole] == [b"\x1f\x8b"] * len(whole)
+
+
+def packed(text):
+    return gzip.compress(text)
+
+
+def test_damage_is_told():
+    good = warc.record(1, "u", b"payload here")
+    plain = gzip.decompress(good)
+    assert [r[9] for r in read(good + good[:-5])] == [None, "gzip: ends too early"]
+    assert read(b"no gzip at all")[0][9].startswith("gzip: ")
+    assert read(good[:-8] + b"\0" * 8)[0][9].startswith("gzip: ")  # the member's own checksum
+    assert read(packed(plain.replace(b"payload here", b"payload hers")))[0][9] == "block digest"
+    assert read(packed(plain[:-4]))[0][9] == "framing"
+    assert read(packed(plain + b"more"))[0][9] == "framing"
+    assert read(packed(plain[:-9]))[0][9] == "framing"
+    assert read(packed(b"HTTP" + plain[4:]))[0][9] == "no version line"
+    assert read(packed(plain.replace(b"Content-Length: ", b"Content-Size: ", 1)))[0][9] == "no length"
+    assert read(packed(b"WARC/1.1"))[0][9] == "no header"
+    block = plain.split(b"\r\n\r\n", 1)[1][:-4]
+    wrong = plain.replace(b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: sha1:A")
+    assert hashlib.sha1(block).digest() and read(packed(wrong))[0][9] == "payload digest"
+
+
+def test_a_problem_ends_the_job(spark, tmp_path):
+    (tmp_path / "bad.warc.gz").write_bytes(warc.record(1, "u", b"x")[:-3])
+    with pytest.raises(Exception, match="ends too early"):
+        warc.verified(warc.read(spark, str(tmp_path))).select("page_id").collect()
