@@ -5,8 +5,9 @@ statistics and a hashed bag of words through one tanh layer), a gated attention
 passages, and the weighted sum is scored. Encoder, attention and score are learnt together
 from document labels alone, so a bad passage in a long text can decide for the text.
 
-Fitting uses at most SAMPLE labelled rows (the first by a seeded hash of the ID) of at most
-SAMPLE_PASSAGES passages each; scoring covers every passage of every text. The model has a
+Fitting uses at most SAMPLE labelled IDs (the first by a seeded hash). Of a text of more than SAMPLE_PASSAGES
+passages it takes that many, drawn by a seed, so the driver's matrix is bounded and no
+text is left out for its length; scoring covers every passage of every text. The model has a
 fixed size.
 
 A null or empty text is a bag of one empty passage. Rows are scored one by one: repeated rows
@@ -95,6 +96,22 @@ class Model:
         p = 1 / (1 + np.exp(-np.clip(z @ w["score"] + w["score0"], -30, 30)))
         return {"h": h, "g": g, "s": s, "a": a, "z": z, "p": p, "size": size}
 
+    def gradient(self, x: np.ndarray, bags: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Slope of the mean log loss of bag labels in every weight."""
+        w, f = self.weights, self.forward(x, bags)
+        d = (f["p"] - labels) / len(bags)
+        grad = {"score": f["z"].T @ d, "score0": d.sum()}
+        dz = np.repeat(d[:, None] * w["score"], f["size"], 0)
+        da = (dz * f["h"]).sum(1)
+        da = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, bags), f["size"]))
+        grad["weigh"] = (f["g"] * f["s"]).T @ da
+        dg = da[:, None] * w["weigh"] * f["s"] * (1 - f["g"] ** 2)
+        ds = da[:, None] * w["weigh"] * f["g"] * f["s"] * (1 - f["s"])
+        grad |= {"look": f["h"].T @ dg, "look0": dg.sum(0), "gate": f["h"].T @ ds, "gate0": ds.sum(0)}
+        dh = f["a"][:, None] * dz + dg @ w["look"].T + ds @ w["gate"].T
+        dh *= 1 - f["h"] ** 2
+        return grad | {"encode": ((x - w["mean"]) / w["spread"]).T @ dh, "encode0": dh.sum(0)}
+
 
 def fit(x: np.ndarray, bags: np.ndarray, labels: np.ndarray, epochs: int = 16, seed: int = 7) -> Model:
     """Adam on the log loss of bag labels, in mini-batches of bags."""
@@ -116,19 +133,7 @@ def fit(x: np.ndarray, bags: np.ndarray, labels: np.ndarray, epochs: int = 16, s
             rows = np.concatenate([np.arange(bags[i], ends[i]) for i in some])
             own, y = np.append(0, np.cumsum(size)[:-1]), labels[some]
             bx = x[rows]
-            f = model.forward(bx, own)
-            d = (f["p"] - y) / len(some)
-            grad = {"score": f["z"].T @ d, "score0": d.sum()}
-            dz = np.repeat(d[:, None] * w["score"], size, 0)
-            da = (dz * f["h"]).sum(1)
-            da = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, own), size))
-            grad["weigh"] = (f["g"] * f["s"]).T @ da
-            dg = da[:, None] * w["weigh"] * f["s"] * (1 - f["g"] ** 2)
-            ds = da[:, None] * w["weigh"] * f["g"] * f["s"] * (1 - f["s"])
-            grad |= {"look": f["h"].T @ dg, "look0": dg.sum(0), "gate": f["h"].T @ ds, "gate0": ds.sum(0)}
-            dh = f["a"][:, None] * dz + dg @ w["look"].T + ds @ w["gate"].T
-            dh *= 1 - f["h"] ** 2
-            grad |= {"encode": ((bx - w["mean"]) / spread).T @ dh, "encode0": dh.sum(0)}
+            grad = model.gradient(bx, own, y)
             step += 1
             for k in shape:
                 g = grad[k] + 1e-4 * w[k] * (k[-1] != "0")
@@ -143,9 +148,11 @@ def _features(most: int):
         for batch in batches:
             keep, rows = [], []
             for row, text, s, e, h in document_words(batch.column("text")):
-                if len(h) <= most * PASSAGE:
-                    keep.append(row)
-                    rows.append(passage_features(text, s, e, h).astype(np.float16).tobytes())
+                x = passage_features(text, s, e, h)
+                if len(x) > most:
+                    x = x[np.sort(np.random.default_rng(len(x)).choice(len(x), most, replace=False))]
+                keep.append(row)
+                rows.append(x.astype(np.float16).tobytes())
             kept = batch.take(pa.array(keep, pa.int64()))
             yield pa.record_batch([kept.column("doc_id").cast(pa.int64()), kept.column("label").cast(pa.float64()), pa.array(rows, pa.binary())], names=["doc_id", "label", "features"])
 
@@ -161,7 +168,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: in
         .orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id")
         .limit(sample)
     )
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most `sample` rows
+    # One row of an ID: the least text of those that repeat it, so no more than `sample` rows reach the driver.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     rows = found.mapInArrow(_features(passages), "doc_id long, label double, features binary").collect()
     if not rows:
         return None
