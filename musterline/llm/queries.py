@@ -60,6 +60,64 @@ select doc_id, size, source_size, round(target, 3) as target,
 from summed
 """
 
+_FOLDED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_RUNS = "list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k} - 1], ' ')))"
+
+# Shingles of five words; fewer words are one shingle.
+_SHINGLES = f"case when len(w) >= 5 then {_RUNS.format(k=5)} when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
+
+_NGRAM_JOIN = f"""
+with recursive words as (
+  select doc_id, {_WORDS.format(_FOLDED.format('text'))} as w from documents
+), sets as (
+  select doc_id, {_SHINGLES} as s from words
+), shingles as (
+  select doc_id, len(s) as n, unnest(s) as s from sets
+), links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reached as (
+  select doc_id as a, doc_id as b from sets
+  union
+  select r.a, l.b from reached r join (select a, b from links union select b, a from links) l on l.a = r.b
+)
+select doc_id, len(s)::bigint as n_shingles, component_id
+from sets join (select a, min(b) as component_id from reached group by a) on a = doc_id
+"""
+
+_DECONTAMINATE = f"""
+with words as (
+  select doc_id, {_WORDS.format(_FOLDED.format('text'))} as w from documents
+), items as (
+  select item_id, w, {_SHINGLES} as s from (select item_id, {_WORDS.format(_FOLDED.format('text'))} as w from benchmark)
+), wanted as (
+  select item_id, len(s) as n, least(len(w), 5) as k, unnest(s) as s from items
+), grams as (
+  select distinct doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as s
+  from words, (select distinct k from wanted) where len(w) >= k
+)
+select doc_id, item_id, n::bigint as n_shingles, count(*)::bigint as n_found
+from wanted join grams using (k, s) group by doc_id, item_id, n having 100 * count(*) >= 75 * n
+"""
+
+_DEBRUIJN = f"""
+with words as (
+  select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents
+), windows as (
+  select doc_id, unnest(range(1, len(w) - 33)) as i, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i : i + 34], ' ')))) as h
+  from words where len(w) >= 35
+), covered as (
+  select distinct doc_id, unnest(range(i, i + 35)) as i from windows where h in (select h from windows group by h having count(*) > 1)
+), placed as (
+  select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words
+), kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by i) as text from placed anti join covered using (doc_id, i) group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
 _RULE = collocations.Rule()
 
 _COLLOCATIONS = rf"""
@@ -115,7 +173,9 @@ with recursive named as (
   from damaged
 ), rows as (
   select *, left(role, 1) as initial,
-         case when not regexp_matches(text, '[^ 	-]') then 'B' when seen > 1 then 'D' when not regexp_matches(text, '[.!?][ 	-]*$') then 'T' else '' end as fault
+         case when not regexp_matches(text, '[^ 	-
+]') then 'B' when seen > 1 then 'D' when not regexp_matches(text, '[.!?][ 	-
+]*$') then 'T' else '' end as fault
   from placed
 ), facts as (
   select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'B') as blank,
@@ -245,4 +305,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {"op5_sharding": _SHARDING, "op10_mixing": _MIXING, "op11_collocations": _COLLOCATIONS, "op12_conversations": _CONVERSATIONS, "op13_warc": _WARC}
+    return {"op1_ngram_join": _NGRAM_JOIN, "op4_decontaminate": _DECONTAMINATE, "op5_sharding": _SHARDING, "op6_debruijn": _DEBRUIJN, "op10_mixing": _MIXING, "op11_collocations": _COLLOCATIONS, "op12_conversations": _CONVERSATIONS, "op13_warc": _WARC}
