@@ -1,19 +1,20 @@
 """Phrase collocations, counted in weighted acyclic automata.
 
-Three steps, each a pass that Spark partitions:
+Three steps, each made of passes that Spark partitions:
 
-1. What can be frequent. Words and pairs of neighbours are counted by 64-bit hash; those seen `least`
-   times fill a bit table. A longer phrase can only be frequent where all its pairs are. The table
-   only leaves work out: every count used below is taken again, by the words themselves.
+1. What can be frequent. Words and pairs of neighbours are counted by 64-bit hash, then the triples whose
+   pairs were seen `least` times; what was fills bit tables. A longer phrase can only be frequent
+   where all its triples are. The tables only leave work out: every count used below is taken
+   again, by the words themselves.
 2. Counts. Each task sorts the n-grams of its shard that may be frequent and builds count
-   transducers from them (`automata.Transducer`), one for each first word. Transducers of one first word
-   are united and their counts added, sixteen groups of shards first, then all; rare
-   n-grams leave the last union. A word that begins a thousandth of all words has 64 transducers
-   by its second word, so no first word is one task's whole work.
+   transducers from them (`automata.Transducer`), one for each range of prefixes, the first two words.
+   Transducers of one range are united and their counts added, sixteen groups of shards first, then all;
+   rare n-grams leave the last union. A very frequent first word spans many ranges.
 3. Parts. What a cut leaves of a phrase, its first part and its rest, is looked up by composing an automaton of
-   the parts asked for under a first word with the count transducer of that word. Scores are decimals of 38 digits.
+   the parts asked for in a range with the count transducer of that range. Scores are decimals of 38 digits.
 
-A phrase that never occurs outside a longer candidate is dropped: as counts fall with length, the
+Bounds of the ranges are quantiles of the prefixes of SAMPLE texts' beginnings; they deal out the work and change
+no result. A phrase that never occurs outside a longer candidate is dropped: as counts fall with length, the
 candidates longer by one word tell. The best of a language are cut to `top` in 64 groups first.
 
 A null language is `und`, a null text has no words. Repeated rows count each. Ties in score go by count, then by the
@@ -23,11 +24,10 @@ phrase's bytes. Very long texts are hashed in blocks. No documents give no rows.
 from __future__ import annotations
 
 import hashlib
-import zlib
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,12 @@ from musterline.llm.bits import bit_table, member, room
 from musterline.llm.tables import written
 from musterline.llm.words import mixed, runs_hash, text_bytes, word_hashes
 
-SHARD = 4_000_000  # words a task holds before it builds transducers
-HOT = 1_000
-BUCKETS = 64
+SHARD = 1_500_000  # words a task holds before it builds transducers
+BLOCK = 1_000_000  # words it hashes at once where it counts keys
+KEYS = 4_000_000  # distinct keys it adds up before it sends them
+SAMPLE, BEGINNING = 500, 4_000  # texts, and characters of each, that set the bounds of ranges
+PER_RANGE = 10_000  # frequent keys a range should have
+SCORE = "(1000bd * cast(a as decimal(19, 0)) * cast(n as decimal(19, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))"
 _SALTS = 16
 _FOLD = 64  # transducers united at once
 _BREAK = np.arange(256, dtype=np.uint8)
@@ -81,6 +84,20 @@ def _pair_keys(hashes: np.ndarray, lang: str) -> np.ndarray:
     return mixed(runs_hash(hashes, 2) + _seed(lang))
 
 
+def _triple_keys(hashes: np.ndarray, lang: str) -> np.ndarray:
+    return mixed(runs_hash(hashes, 3) + _seed(lang))
+
+
+def _likely_pairs(h: np.ndarray, fresh: np.ndarray, words: np.ndarray, frequent: np.ndarray, lang: str) -> np.ndarray:
+    """Where a word and the one behind it may be a frequent pair."""
+    pairs = np.zeros(len(h), bool)
+    pairs[:-1] = words[:-1] & words[1:] & ~fresh[1:]
+    at = np.flatnonzero(pairs)
+    if len(at):
+        pairs[at] = member(frequent, _pair_keys(h, lang)[at])
+    return pairs
+
+
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
     langs = batch.column("lang")
     for lang in langs.unique().to_pylist():
@@ -88,45 +105,99 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
 
 
 _COUNTED = pa.schema([("size", pa.int8()), ("key", pa.int64()), ("lang", pa.string()), ("n", pa.int64())])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size 0: words of a language; 1: a word's key and count; 2: a pair's."""
+_COUNTED_COLUMNS = "size byte, key long, lang string, n long"
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several counts, with their sums."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+class _Tally:
+    """Counts of keys of one size, added up in the task before they are sent."""
+
+    def __init__(self, size: int):
+        self.size, self.parts, self.held = size, [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(keys):
+            self.parts.append(np.unique(keys, return_counts=True))
+            self.held += len(self.parts[-1][0])
+        if self.held >= KEYS:
+            self.parts = [_added(self.parts)]
+            self.held = len(self.parts[0][0])
+            if self.held >= KEYS // 2:
+                yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        found, n = _added(self.parts)
+        self.parts, self.held = [], 0
+        for i in range(0, len(found), 500_000):
+            part = slice(i, i + 500_000)
+            m = len(found[part])
+            yield pa.record_batch([pa.array(np.full(m, self.size, np.int8)), pa.array(found[part].view(np.int64)), pa.nulls(m, pa.string()), pa.array(n[part])], schema=_COUNTED)
+
+
+def _tallied(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], keys_of: Callable) -> Iterator[pa.RecordBatch]:
+    """Counts of the keys that `keys_of` (language, word hashes, whether they begin a piece) gives for each size; size 0 counts words."""
     held: dict[str, list] = defaultdict(list)
-    size = 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for lang, own in held.items():
-            h, fresh = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
-            yield pa.record_batch([pa.array([0], pa.int8()), pa.nulls(1, pa.int64()), pa.array([lang]), pa.array([len(h)])], schema=_COUNTED)
-            for k, keys in ((1, _word_keys(h, lang)), (2, _pair_keys(h, lang)[~fresh[1:]])):
-                found, n = np.unique(keys, return_counts=True)
-                for i in range(0, len(found), 500_000):
-                    part = slice(i, i + 500_000)
-                    m = len(found[part])
-                    yield pa.record_batch([pa.array(np.full(m, k, np.int8)), pa.array(found[part].view(np.int64)), pa.nulls(m, pa.string()), pa.array(n[part])], schema=_COUNTED)
-        held.clear()
+    tallies, words, size = [_Tally(k) for k in sizes], defaultdict(int), 0
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        for lang in list(held):
+            h, fresh = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
+            words[lang] += len(h)
+            for tally, keys in zip(tallies, keys_of(lang, h, fresh), strict=True):
+                yield from tally.add(keys)
 
     for batch in batches:
         for lang, column in _by_language(batch):
             _, _, _, h, fresh = piece_words(column)
             held[lang].append((h, fresh))
             size += len(h)
-        if size >= SHARD:
-            yield from out()
+        if size >= BLOCK:
+            yield from settle()
             size = 0
-    yield from out()
+    yield from settle()
+    for tally in tallies:
+        yield from tally.out()
+    if words:
+        m = len(words)
+        yield pa.record_batch([pa.array(np.zeros(m, np.int8)), pa.nulls(m, pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], schema=_COUNTED)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size 0: words of a language; 1: a word's key and count; 2: a pair's."""
+    return _tallied(batches, (1, 2), lambda lang, h, fresh: (_word_keys(h, lang), _pair_keys(h, lang)[~fresh[1:]]))
+
+
+def _count_triples(frequent) -> Callable:
+    """Size 3: the key and count of a triple whose pairs may be frequent."""
+
+    def keys_of(lang: str, h: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray]:
+        words = member(frequent.value, _word_keys(h, lang)) if len(h) else np.zeros(0, bool)
+        pairs = _likely_pairs(h, fresh, words, frequent.value, lang)
+        at = np.flatnonzero(pairs[:-1] & pairs[1:])
+        return (_triple_keys(h, lang)[at] if len(at) else np.zeros(0, np.uint64),)
+
+    return lambda batches: _tallied(batches, (3,), keys_of)
 
 
-def grams(h: np.ndarray, fresh: np.ndarray, words: np.ndarray, pairs: np.ndarray, names: dict[int, str], longest: int) -> list[Item]:
-    """Sorted n-grams with counts. words, pairs: which words may count, and which of them with the word behind."""
+def grams(h: np.ndarray, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, names: dict[int, str], longest: int) -> list[Item]:
+    """Sorted n-grams with counts. words, pairs, triples: which may count, alone and with the words behind."""
     own = np.unique(h[words])
     spelt = [names[x] for x in own.tolist()]
     order = sorted(range(len(own)), key=spelt.__getitem__)
     rank = np.empty(len(own), np.int64)
     rank[order] = np.arange(len(own))
     spelt = [spelt[i] for i in order]
-    ids = np.full(len(h), -1, np.int64)
+    ids = np.full(len(h), -1, np.int32)
     ids[words] = rank[np.searchsorted(own, h[words])]
     at = np.flatnonzero(words)
     code, known = ids, [()]
@@ -134,60 +205,59 @@ def grams(h: np.ndarray, fresh: np.ndarray, words: np.ndarray, pairs: np.ndarray
     for k in range(1, longest + 1):
         if k > 1:
             at = at[at + k - 1 < len(h)]
-            at = at[pairs[at + k - 2]]
-        behind = code[at] * len(own) + ids[at + k - 1] if k > 1 else ids[at]
+            at = at[pairs[at] if k == 2 else triples[at + k - 3]]
+        behind = code[at].astype(np.int64) * len(own) + ids[at + k - 1] if k > 1 else ids[at]
         values, place, n = np.unique(behind, return_inverse=True, return_counts=True)
         known = [(*known[a], spelt[b]) for a, b in zip((values // len(own)).tolist(), (values % len(own)).tolist())] if k > 1 else [(spelt[b],) for b in values.tolist()]
         found.extend(zip(known, n.tolist()))
-        code = np.full(len(h), -1, np.int64)
+        code = np.full(len(h), -1, np.int32)
         code[at] = place
     found.sort()
     return found
 
 
-_SHARD_ROWS = pa.schema([("lang", pa.string()), ("first", pa.string()), ("part", pa.int32()), ("labels", pa.list_(pa.string())), ("packed", pa.binary())])
-_SHARD_COLUMNS = "lang string, first string, part int, labels array<string>, packed binary"
+_PLACE = ("lang", "range")
+_SHARD_ROWS = pa.schema([("lang", pa.string()), ("range", pa.int32()), ("labels", pa.list_(pa.string())), ("packed", pa.binary())])
+_SHARD_COLUMNS = "lang string, range int, labels array<string>, packed binary"
 
 
 def _shard_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SHARD_ROWS, strict=True)], schema=_SHARD_ROWS)
 
 
-def _bucket(labels: tuple[str, ...]) -> int:
-    return 1 + zlib.crc32(labels[1].encode()) % BUCKETS if len(labels) > 1 else 0
+def _range(labels: tuple[str, ...] | list[str], bounds: list[str]) -> int:
+    return bisect_right(bounds, " ".join(labels[:2]))
 
 
-def _shards(rule: Rule, frequent, hot):
-    """Transducers of each shard, by language and first word."""
+def _shards(rule: Rule, frequent, frequent_triples, bounds):
+    """Transducers of each shard, by language and range of prefixes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = defaultdict(list)
         names: dict[str, dict[int, str]] = defaultdict(dict)
+        held: dict[str, list] = defaultdict(list)
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows, full = [], 0
-            for lang, own in held.items():
-                h, fresh, words = (np.concatenate(x) for x in zip(*own, strict=True))
-                pairs = np.zeros(len(h), bool)
-                pairs[:-1] = words[:-1] & words[1:] & ~fresh[1:]
-                likely = np.flatnonzero(pairs)
-                pairs[likely] = member(frequent.value, _pair_keys(h, lang)[likely]) if len(likely) else False
-                own_hot = {names[lang][x] for x in np.unique(h[words])[np.isin(_word_keys(np.unique(h[words]), lang).view(np.int64), hot.value)].tolist()}
-                for first, items in groupby(grams(h, fresh, words, pairs, names[lang], rule.longest), key=lambda x: x[0][0]):
-                    parts = defaultdict(list)
-                    for item in items:
-                        parts[_bucket(item[0]) if first in own_hot else 0].append(item)
-                    for part, own_items in parts.items():
-                        rows.append((lang, first, part, *Transducer.build(own_items).pack()))
-                        full += len(rows[-1][4])
-                        if full >= 4 << 20 or len(rows) >= 2000:
-                            yield _shard_rows(rows)
-                            rows, full = [], 0
-            if rows:
-                yield _shard_rows(rows)
-            held.clear()
-            names.clear()
+            for lang in list(held):
+                h, fresh, words = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
+                pairs = _likely_pairs(h, fresh, words, frequent.value, lang)
+                triples = np.zeros(len(h), bool)
+                triples[:-1] = pairs[:-1] & pairs[1:]
+                at = np.flatnonzero(triples)
+                if len(at):
+                    triples[at] = member(frequent_triples.value, _triple_keys(h, lang)[at])
+                ranges: dict[int, list[Item]] = defaultdict(list)
+                for item in grams(h, words, pairs, triples, names.pop(lang, {}), rule.longest):
+                    ranges[_range(item[0], bounds.value)].append(item)
+                rows, full = [], 0
+                for place, items in ranges.items():
+                    rows.append((lang, place, *Transducer.build(items).pack()))
+                    full += len(rows[-1][3])
+                    if full >= 4 << 20:
+                        yield _shard_rows(rows)
+                        rows, full = [], 0
+                if rows:
+                    yield _shard_rows(rows)
 
         for batch in batches:
             for lang, column in _by_language(batch):
@@ -209,7 +279,7 @@ def _shards(rule: Rule, frequent, hot):
 
 
 def _unite(least: int) -> Callable:
-    """Neighbouring rows of one language, first word and part become one."""
+    """Neighbouring rows of one language and range become one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, same, rows, full = None, [], [], 0
@@ -222,15 +292,15 @@ def _unite(least: int) -> Callable:
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in _SHARD_ROWS.names), strict=True):
-                if row[:3] != key:
+                if row[:2] != key:
                     if same and (row_out := united()):
                         rows.append(row_out)
-                        full += len(row_out[4])
-                    key, same = row[:3], []
-                same.append(row[3:])
+                        full += len(row_out[3])
+                    key, same = row[:2], []
+                same.append(row[2:])
                 if len(same) == _FOLD:
                     same = [union(Transducer.unpack(*x) if isinstance(x, tuple) else x for x in same)]
-                if full >= 4 << 20 or len(rows) >= 2000:
+                if full >= 4 << 20:
                     yield _shard_rows(rows)
                     rows, full = [], 0
         if same and (row_out := united()):
@@ -263,46 +333,70 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _phrases(lang, Transducer.unpack(labels, packed).compose(parts))
 
 
+def _placed(bounds):
+    """Phrases asked for, with the range of their prefix."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [_range(x.split(" ", 2), bounds.value) for x in batch.column("phrase").to_pylist()]
+            yield pa.record_batch([batch.column("lang"), pa.array(places, pa.int32()), batch.column("phrase")], names=["lang", "range", "phrase"])
+
+    return task
+
+
 @dataclass(frozen=True)
 class Counts:
-    """totals: lang, n. transducers: lang, first, part, labels, packed. hot: lang, first of the first words that have parts."""
+    """totals: lang, n. transducers: lang, range, labels, packed. bounds: a broadcast of the first prefix of each range but the first."""
 
     totals: DataFrame
     transducers: DataFrame
-    hot: DataFrame
+    bounds: object
+
+
+def _bounds(texts: DataFrame, ranges: int) -> list[str]:
+    """Quantiles of the two-word prefixes in the beginnings of some texts: SAMPLE rows at most, however many there are."""
+    share = min(1.0, 2 * SAMPLE / max(1, texts.count()))
+    drawn = texts.where("text <> ''").sample(share, seed=7).select(F.substring("text", 1, BEGINNING).alias("text")).limit(SAMPLE).collect()
+    prefixes = []
+    for r in drawn:
+        data, s, e, _, fresh = piece_words(pa.array([r["text"]]))
+        words = [data[a:b].tobytes().lower().decode() for a, b in zip(s, e)]
+        prefixes += [x if f else f"{x} {y}" for x, y, f in zip(words, words[1:], fresh[1:])]
+    prefixes.sort()
+    return sorted({prefixes[len(prefixes) * i // ranges] for i in range(1, ranges)}) if prefixes else []
 
 
 def count(docs: DataFrame, rule: Rule = Rule()) -> Counts:
     """Count transducers of all n-grams of documents (text, lang) seen `rule.least` times or more."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    counted = texts.mapInArrow(_count, "size byte, key long, lang string, n long")
+
+    def table(keys: DataFrame, n: int):
+        return spark.sparkContext.broadcast(bit_table(keys, room(n)))
+
+    counted = texts.mapInArrow(_count, _COUNTED_COLUMNS)
     seen = written(counted.groupBy("size", "key", "lang").agg(F.sum("n").alias("n")).where(f"size = 0 or n >= {rule.least}"), "colloc-seen")
     totals = written(seen.where("size = 0").select("lang", "n"), "colloc-totals")
     keys = seen.where("size > 0").select("key")
-    frequent = spark.sparkContext.broadcast(bit_table(keys, room(keys.count())))
-    words = totals.agg(F.sum("n")).first()[0] or 0
-    most = seen.where("size = 1").where(F.col("n") * HOT >= words).select("key").collect()  # HOT rows at most, as words is their sum
-    hot = spark.sparkContext.broadcast(np.array([r[0] for r in most], np.int64))
-
-    place = ["lang", "first", "part"]
-    shards = written(texts.mapInArrow(_shards(rule, frequent, hot), _SHARD_COLUMNS), "colloc-shards")
+    n = keys.count()
+    frequent = table(keys, n)
+    triples = texts.mapInArrow(_count_triples(frequent), _COUNTED_COLUMNS).where("size = 3").groupBy("key").agg(F.sum("n").alias("n")).where(f"n >= {rule.least}")
+    triples = written(triples.select("key"), "colloc-triples")
+    frequent_triples = table(triples, triples.count())
+    bounds = spark.sparkContext.broadcast(_bounds(texts, max(1, n // PER_RANGE)))
+
+    shards = written(texts.mapInArrow(_shards(rule, frequent, frequent_triples, bounds), _SHARD_COLUMNS), "colloc-shards")
     salted = shards.withColumn("salt", F.pmod(F.xxhash64("packed"), F.lit(_SALTS)))
-    groups = salted.repartition(*place, "salt").sortWithinPartitions(*place, "salt").drop("salt").mapInArrow(_unite(0), _SHARD_COLUMNS)
-    whole = groups.repartition(*place).sortWithinPartitions(*place).mapInArrow(_unite(rule.least), _SHARD_COLUMNS)
-    transducers = written(whole, "colloc-transducers")
-    named = written(transducers.where("part > 0").select("lang", "first").distinct(), "colloc-hot")
-    return Counts(totals, transducers, named)
+    groups = salted.repartition(*_PLACE, "salt").sortWithinPartitions(*_PLACE, "salt").drop("salt").mapInArrow(_unite(0), _SHARD_COLUMNS)
+    whole = groups.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(_unite(rule.least), _SHARD_COLUMNS)
+    return Counts(totals, written(whole, "colloc-transducers"), bounds)
 
 
 def look_up(counts: Counts, phrases: DataFrame) -> DataFrame:
     """Counts of phrases (lang, phrase: words joined by a space) that the transducers hold: lang, phrase, a."""
-    words = F.split("phrase", " ")
-    asked = phrases.distinct().withColumns({"first": words[0], "second": F.get(words, F.lit(1))})
-    asked = asked.join(counts.hot.withColumn("is_hot", F.lit(True)), ["lang", "first"], "left")
-    bucket = F.when(F.col("is_hot") & F.col("second").isNotNull(), 1 + F.crc32(F.col("second").cast("binary")) % BUCKETS).otherwise(0)
-    by_place = asked.withColumn("part", bucket.cast("int")).groupBy("lang", "first", "part").agg(F.collect_list("phrase").alias("asked"))
-    met = counts.transducers.join(by_place, ["lang", "first", "part"])
+    placed = phrases.distinct().mapInArrow(_placed(counts.bounds), "lang string, range int, phrase string")
+    asked = placed.groupBy(*_PLACE).agg(F.collect_list("phrase").alias("asked"))  # frequent phrases of one range, as many as its transducer holds
+    met = counts.transducers.join(asked, [*_PLACE])
     return met.select("lang", "labels", "packed", "asked").mapInArrow(_looked_up, "lang string, phrase string, a long")
 
 
@@ -320,7 +414,7 @@ def collocations(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     found = written(look_up(counts, asked), "colloc-parts")
     heads, tails = found.selectExpr("lang", "phrase as head", "a as l"), found.selectExpr("lang", "phrase as tail", "a as r")
     cuts = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(counts.totals, "lang")
-    exact = cuts.withColumn("score", F.expr("(1000bd * cast(a as decimal(19, 0)) * cast(n as decimal(18, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(18, 0)))"))
+    exact = cuts.withColumn("score", F.expr(SCORE))
     lowest = exact.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "n", "c.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     near = lowest.withColumn("_near", F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order))).where(f"_near <= {rule.top}")
