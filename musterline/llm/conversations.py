@@ -144,8 +144,9 @@ def solve(rows: list[Row]) -> tuple[int, str]:
 def between(rows: list[Row]) -> Best:
     """The best edits of a piece of a conversation between any two states."""
     parts = [_open(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)]
+    step = max(2, BLOCK)
     while len(parts) > 1:
-        parts = [_joined(parts[i : i + BLOCK]) for i in range(0, len(parts), BLOCK)]
+        parts = [_joined(parts[i : i + step]) for i in range(0, len(parts), step)]
     return parts[0]
 
 
