@@ -7,12 +7,13 @@ content, the segment is a path without branches: whoever passes one of its edges
 all of them, so it stays one compact edge. The other segments may branch inside: they are
 taken apart into single edges, counted by window hash where all contents of an anchor meet.
 
-`paths` then joins compact edges further: B follows A where every occurrence of A is directly
-followed by B and every occurrence of B directly follows A. What is removed is decided by
-coordinates: every occurrence of every repeated edge, merged per text.
+`paths` joins compact edges further: B follows A where every occurrence of A is directly
+followed by B and every occurrence of B directly follows A. A path occurs wherever its first edge does, so
+what is removed is the spans of whole paths, by the coordinates of their first edges, merged per text.
 
 Null and empty texts, and texts under k words, have no edges. Repeated rows are occurrences
-of their own and each keeps its result row. Null IDs are kept. Other columns are ignored.
+of their own and each keeps its result row; equal spans of equal rows are one. Null IDs are kept. Very long
+texts are cut into chunks that go on where the last segment ended. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ CROWD = 20_000
 
 @dataclass(frozen=True)
 class Graph:
-    """edges: (doc_id, row_key, start, count, edge) each occurrence of a repeated compact edge; kept: result per text."""
+    """edges: (doc_id, row_key, start, count, edge) each occurrence of a repeated compact edge; paths: see `paths`; kept: result per text."""
 
     edges: DataFrame
+    paths: DataFrame
     kept: DataFrame
 
 
@@ -78,27 +80,34 @@ def compact(docs: DataFrame, k: int = 35, shard: int = SHARD, crowd: int = CROWD
     texts = repeats.texts_of(docs)
     found = repeats.find(texts, kind, _payloads(k), "debruijn")
     runs = repeats.resolve(found.contents, _look, _split, shard, crowd, "debruijn")
-    kept = repeats.cut(texts, repeats.ranges(found, runs), kind)
+    branching = found.mixed.join(runs, ["anchor", "content"])
+    branching = branching.select("doc_id", "row_key", (F.col("start") + F.col("from")).alias("start"), F.col("edges").alias("count"), F.xxhash64("anchor", "content", "from").alias("edge"))
+    edges = written(found.solid.withColumnRenamed("anchor", "edge").unionByName(branching).distinct(), "debruijn-seats")
+    joined = written(paths(edges), "debruijn-paths")
+    return Graph(edges, joined, repeats.cut(texts, spans(edges, joined), kind))
 
-    # The repeated edges of segments that may branch, one by one.
-    single = found.contents.mapInArrow(_split, repeats.SINGLE).join(runs, ["anchor", "content"]).where("place >= from and place < from + edges")
-    places = found.mixed.join(single.select("anchor", "content", "place", "window"), ["anchor", "content"])
-    places = places.select("doc_id", "row_key", (F.col("start") + F.col("place")).alias("start"), F.lit(1).cast("long").alias("count"), F.xxhash64("anchor", "window").alias("edge"))
-    return Graph(found.solid.withColumnRenamed("anchor", "edge").unionByName(places), kept)
+
+def spans(edges: DataFrame, joined: DataFrame) -> DataFrame:
+    """(doc_id, row_key, start, count): each occurrence of a path, from its first edge over the windows of all its edges."""
+    whole = joined.groupBy("path").agg(F.sum("count").alias("windows"), F.max(F.when(F.col("first"), F.col("edge"))).alias("edge"))
+    return edges.drop("count").join(whole.select("edge", "windows"), "edge").select("doc_id", "row_key", "start", F.col("windows").alias("count"))
 
 
 def paths(edges: DataFrame) -> DataFrame:
-    """(edge, path): compact edges that follow each other without branches share a path.
+    """(edge, count, path, first): compact edges that follow each other without branches share a path; one is its first.
 
-    A row of `edges` without a neighbour directly behind or before it ends a path there.
+    `edges` has no row twice. A row without a neighbour directly behind or before it ends a path there. A path
+    has two ends, as the last edge of a text is followed by nothing.
     """
-    seats = written(edges.select("doc_id", "row_key", "start", (F.col("start") + F.col("count")).alias("end"), "edge").distinct(), "debruijn-seats")
+    seats = edges.select("doc_id", "row_key", "start", (F.col("start") + F.col("count")).alias("end"), "edge")
     one, two = seats.alias("one"), seats.alias("two")
     next_ = one.join(two, F.expr("one.row_key = two.row_key and one.doc_id <=> two.doc_id and one.end = two.start"), "left").select(F.col("one.edge").alias("a"), F.col("two.edge").alias("b"))
-    ahead = next_.groupBy("a").agg(F.min("b").alias("b"), (F.count("b") == F.count("*")).alias("always"), (F.min("b") == F.max("b")).alias("same")).where("always and same").select("a", "b")
-    before = next_.where("b is not null").groupBy("b").agg(F.min("a").alias("a"), F.count("*").alias("n"), (F.min("a") == F.max("a")).alias("same"))
-    whole = seats.groupBy("edge").agg(F.count("*").alias("met"))
-    before = before.join(whole, F.expr("b = edge and n = met")).where("same").select("a", "b")
-    links = ahead.join(before, ["a", "b"]).where("a <> b")
+    next_ = written(next_.groupBy("a", "b").agg(F.count("*").alias("n")), "debruijn-next")
+    whole = written(edges.groupBy("edge").agg(F.count("*").alias("met"), F.min("count").alias("count")), "debruijn-edges")
+    # Of a, all occurrences go on to b; of b, all come from a.
+    pairs = next_.where("b is not null and a <> b").join(whole.selectExpr("edge as a", "met as met_a"), "a").join(whole.selectExpr("edge as b", "met as met_b"), "b")
+    links = written(pairs.where("n = met_a and n = met_b").select("a", "b"), "debruijn-links")
     named = components(links)
-    return whole.select("edge").join(named, whole["edge"] == named["node"], "left").select("edge", F.coalesce("root", "edge").alias("path"))
+    behind = links.select(F.col("b").alias("edge"), F.lit(True).alias("behind"))
+    placed = whole.select("edge", "count").join(named, whole["edge"] == named["node"], "left").join(behind, "edge", "left")
+    return placed.select("edge", "count", F.coalesce("root", "edge").alias("path"), F.col("behind").isNull().alias("first"))

@@ -222,14 +222,10 @@ SINGLE = "anchor long, content long, place long, window long, n long"
 
 
 def _runs(look: Callable):
-    """Runs of repeated windows in each content, where all contents of an anchor are at hand."""
+    """Runs of repeated windows in each content, shard by shard: rows come sorted by shard, and a shard has all contents of its anchors."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        held = None
         anchor, content, n, count = (table.column(x).to_numpy() for x in ("anchor", "content", "n", "count"))
         hit = look(anchor, n, count, table.column("payload").to_pylist())
         begin = np.append(0, np.cumsum(count + 1))  # a gap behind each content
@@ -238,7 +234,23 @@ def _runs(look: Callable):
         edge = np.diff(line)
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         row = np.searchsorted(begin, a, side="right") - 1
-        yield pa.record_batch([pa.array(anchor[row]), pa.array(content[row]), pa.array(a - begin[row]), pa.array(b - a)], schema=_RUN)
+        return pa.record_batch([pa.array(anchor[row]), pa.array(content[row]), pa.array(a - begin[row]), pa.array(b - a)], schema=_RUN)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and shard[a] != now:
+                    yield settle(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                now = shard[a]
+        if held:
+            yield settle(held)
 
     return task
 
@@ -246,15 +258,16 @@ def _runs(look: Callable):
 def resolve(contents: DataFrame, look: Callable, split: Callable, shard: int, crowd: int, name: str) -> DataFrame:
     """(anchor, content, from, edges): runs of windows that occur in several places.
 
-    Contents are dealt into shards of about `shard` bytes by anchor, and look(anchor, n, count,
-    payloads) says for all windows whether they repeat. An anchor of more than `crowd`
+    Contents are dealt into shards of about `shard` bytes by anchor, many of them in each of Spark's shuffle
+    partitions, and look(anchor, n, count, payloads) says for all windows of a shard whether they repeat. An anchor of more than `crowd`
     contents would crowd a shard: split, a task, turns its contents into rows by window, and Spark counts those.
     """
     each = contents.groupBy("anchor").agg(F.count("*").alias("contents"))
     crowded = written(each.where(f"contents > {crowd}").select("anchor"), f"{name}-crowded")
     whole = contents.agg(F.sum(F.length("payload"))).first()[0] or 0
     n = max(1, whole // shard)
-    dealt = contents.join(crowded, "anchor", "left_anti").repartition(n, "anchor")
+    dealt = contents.join(crowded, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n)))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard")
     runs = dealt.mapInArrow(_runs(look), RUN)
     single = written(contents.join(crowded, "anchor", "left_semi").mapInArrow(split, SINGLE), f"{name}-windows")
     seen = single.groupBy("anchor", "window").agg(F.sum("n").alias("met")).where("met > 1").drop("met")

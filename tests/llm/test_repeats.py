@@ -109,8 +109,9 @@ def test_chunks_and_neighbours_do_not_show(monkeypatch):
 def test_paths_end_where_texts_part(spark):
     a, b, c = (odd.prose(i, 80, 10**6) for i in (1, 2, 3))
     docs = spark.createDataFrame([(1, f"{a} {b}"), (2, f"{a} {b}"), (3, f"{a} {c}"), (4, f"{a} {c}")], "doc_id long, text string")
-    edges = debruijn.compact(docs).edges
-    named = {r["edge"]: r["path"] for r in debruijn.paths(edges).collect()}
+    graph = debruijn.compact(docs)
+    edges = graph.edges
+    named = {r["edge"]: r["path"] for r in graph.paths.collect()}
     of = {}
     for r in edges.collect():
         of.setdefault(r["doc_id"], []).append((r["start"], named[r["edge"]]))
@@ -118,6 +119,11 @@ def test_paths_end_where_texts_part(spark):
     assert lines[1] == lines[2] and lines[3] == lines[4]
     assert lines[1][0] == lines[3][0] and lines[1][-1] != lines[3][-1]
     assert len(set(lines[1])) < len(lines[1])  # several compact edges on one path
+    # What the query removes comes from the paths: a span for each of their occurrences, fewer than edges.
+    found = sorted(map(tuple, debruijn.spans(edges, graph.paths).select("doc_id", "start", "count").collect()))
+    assert len(found) == sum(len(set(x)) for x in lines.values()) < edges.count()
+    covered = {k: {i for d, s, n in found if d == k for i in range(s, s + n)} for k in (1, 2, 3, 4)}
+    assert covered == {k: {i for r in edges.collect() if r["doc_id"] == k for i in range(r["start"], r["start"] + r["count"])} for k in (1, 2, 3, 4)}
 
 
 @settings(max_examples=150, deadline=None)
