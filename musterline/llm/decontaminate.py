@@ -13,8 +13,9 @@ text that holds nothing of any item; a false hit only costs a lookup. So what is
 shuffled follows the matches, and nothing that grows is broadcast.
 
 An item of n < k words is one shingle of n words, and looked for among the n-word shingles of each
-document. Items or texts that are null or without words match nothing. Repeated rows each get their own result rows.
-Null IDs are kept. Other columns of either table are ignored.
+document. Items or texts that are null or without words match nothing, and an empty table on either side gives no
+rows. Texts are searched whole, however long. Repeated rows, and several documents or items that match
+equally well, each get their own result rows. Null IDs are kept. Other columns of either table are ignored.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ sees neighbours one after the other; only the first and last row of each range m
 An edited text shares two thirds of its parse with its original, which is done once.
 
 A null or empty text has no phrases, and all fingerprints of no phrases are equal (likeness 1).
-Repeated rows are documents of their own. One document alone is its own next. Other columns
-are ignored.
+Repeated rows are documents of their own. One document alone is its own next. Texts are parsed whole, however long.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

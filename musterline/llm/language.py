@@ -13,8 +13,8 @@ integers there, so that no order of rows shows.
 
 A word is a run of letters in lower case. A text that is null or has no letter, and every text
 where nothing could be learnt, is `und` with score 0. Labels that are null teach nothing. Ties go
-to the first language by code point. Repeated rows get equal answers, null IDs are kept,
-and other columns are ignored.
+to the first language by code point. Texts are read whole, however long. Repeated rows get equal answers, null IDs
+are kept, an empty table teaches nothing and gives no rows, and other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ An anchor with more than CROWD contents is not sent to a single shard: its windo
 Spark by two 64-bit hashes, which gives the same answer.
 
 Text is UTF-8; null and empty texts have no bytes. Matches never cross documents, so a text
-under `unit` bytes keeps all. Repeated rows are occurrences of their own and each keeps its
-result row. Null IDs are kept. Other columns are ignored.
+under `unit` bytes keeps all. Texts of any length are looked at whole, in chunks that go on where the last segment
+ended. Repeated rows are occurrences of their own and each keeps its result row. Null IDs are kept.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
