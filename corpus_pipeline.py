@@ -15,17 +15,23 @@ from musterline.llm import decontaminate, mixing, ngram_join, quality, sharding
 from musterline.llm.tables import read, remainder, shared_folder, written
 
 
-def _key(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("_row_key", F.xxhash64("text"))
+def _carried(docs: DataFrame) -> DataFrame:
+    """ID and text hash of each row, and the row as one value, whatever its columns are called."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), F.struct(*docs.columns).alias("row"))
 
 
-def _same(frame: DataFrame, keys: DataFrame):
+def _same(rows: DataFrame, keys: DataFrame):
     """A row is known by its ID (null is a value) and its text."""
-    return (frame["_row_key"] == keys["row_key"]) & frame["doc_id"].eqNullSafe(keys["doc_id"])
+    return (rows["key"] == keys["row_key"]) & rows["id"].eqNullSafe(keys["doc_id"])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts good. It learns from all labelled documents of the input."""
+    """Documents that the quality classifier predicts good.
+
+    It learns from the labelled documents of the input whose crc32 modulo 4 is not 2; labels without a document, or of a
+    null ID, are not used, and with none at all every score is 0.5, so nothing stays. A null or empty text is
+    scored like any other, equal rows get equal scores, a text is scored whole however long. No rows give no rows.
+    """
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.learn(docs, labels.where(remainder(F.col("doc_id"), 4) != 2))
     return docs.where(quality.scorer(spark, model)(F.col("text")) >= 0.7)
@@ -34,7 +40,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the least ID, then of the least row key.
 
-    Texts without words are in no group and all stay.
+    Texts without words (null, empty) are in no group and all stay. Of equal rows one stays; a null ID comes
+    last. Texts are compared whole, however long. No rows give no rows.
     """
     joined = ngram_join.ngram_join(docs).rows
     grouped = joined.where("class is not null")
@@ -43,27 +50,35 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         "first",
     )
     bare = joined.where("class is null").select("doc_id", "row_key").distinct()
-    keyed = _key(docs)
+    carried = _carried(docs)
     # Equal rows (same ID, same text) would all pass the join; they are few or none, and one of them stays.
     twins = written(grouped.groupBy("doc_id", "row_key").count().where("count > 1").join(first.withColumnsRenamed({"doc_id": "d", "row_key": "k"}), F.expr("row_key = k and doc_id <=> d"), "left_semi").select("doc_id", "row_key"), "twins")
     single = first.join(twins.withColumnsRenamed({"doc_id": "d", "row_key": "k"}), F.expr("row_key = k and doc_id <=> d"), "left_anti")
     stay = written(single.union(bare), "stay")
-    kept = keyed.join(stay, _same(keyed, stay), "left_semi")
+    kept = carried.join(stay, _same(carried, stay), "left_semi")
     if not twins.isEmpty():
-        again = keyed.join(twins, _same(keyed, twins), "left_semi")
-        kept = kept.union(again.dropDuplicates(["doc_id", "_row_key"]))
-    return kept.drop("_row_key")
+        again = carried.join(twins, _same(carried, twins), "left_semi")
+        kept = kept.union(again.dropDuplicates(["id", "key"]))
+    return kept.select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Null and empty texts, and items, contain and are nothing; equal rows share their fate. Long texts are searched
+    whole. No rows, or no items, change nothing.
+    """
     found = written(decontaminate.contained(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "row_key").distinct(), "leaks")
-    keyed = _key(docs)
-    return keyed.join(found, _same(keyed, found), "left_anti").drop("_row_key")
+    carried = _carried(docs)
+    return carried.join(found, _same(carried, found), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, one row for each time a document is taken, in whole or at its source's limit in part."""
+    """Documents of the mix, one row for each time a document is taken, in whole or at its source's limit in part.
+
+    A null source is a source. Null and empty texts have no words and are not taken. Equal rows of one ID at the limit
+    share what is left and all come. Long texts count all their words. No rows give no rows.
+    """
     whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))  # whatever other columns are called
     mixed = mixing.mix(whole, F.array("source")).documents
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
@@ -71,7 +86,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard."""
+    """All documents with their shard.
+
+    Null and empty texts are sharded by ID; equal rows that no bit can part go to pages; a text beyond the
+    limit is alone and marked. No rows give no rows.
+    """
     return sharding.shards(docs)
 
 

@@ -62,6 +62,70 @@ def test_leaks_go_and_clean_documents_stay(spark, tmp_path):
     assert rows_of(kept) == sorted(((r[0], r[1]) for r in odd.rows() if r[0] not in (10, 11)), key=repr)
 
 
+def labels_of(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_good_documents_stay_with_all_their_columns(spark, tmp_path):
+    """What the classifier accepts, whatever else the rows carry; it learns from labels alone."""
+    from musterline.llm import quality
+
+    labels_of(spark, tmp_path, [(1, 1, 0), (13, 0, 0), (12, 1, 0), (15, 0, 1), (None, 1, 0), (500, 1, 0), (10, 1, 0)])
+    docs = odd.clashing(odd.frame(spark))
+    kept = corpus_pipeline.keep_good(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality.learn(docs, labels.where(corpus_pipeline.remainder(F.col("doc_id"), 4) != 2))
+    want = docs.withColumn("score", quality.scorer(spark, model)(F.col("text"))).where("score >= 0.7")
+    assert rows_of(kept) == rows_of(want) and kept.where("_row_key <> 7 or top <> 7").count() == 0
+
+
+def test_columns_called_like_inner_ones_stay(spark, tmp_path):
+    spark.createDataFrame([(1, odd.prose(2, 60, 5000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd.clashing(odd.frame(spark))
+    for stage in (corpus_pipeline.keep_one_of_each, corpus_pipeline.drop_leaks, corpus_pipeline.mix_sources):
+        out = stage(spark, docs, str(tmp_path))
+        assert sorted(out.columns) == sorted(docs.columns), stage.__name__
+        inner = [c for c in docs.columns if c not in odd.SCHEMA.names]
+        assert out.where(" or ".join(f"`{c}` is null or `{c}` <> 7" for c in inner)).count() == 0, stage.__name__
+    sharded = corpus_pipeline.into_shards(spark, docs, "")
+    assert set(docs.columns) <= set(sharded.columns) and sharded.count() == docs.count()
+
+
+def test_stages_and_pipeline_without_rows(spark, tmp_path):
+    odd.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    labels_of(spark, tmp_path, [])
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd.empty(spark), str(tmp_path))
+        assert out.collect() == [] and set(odd.SCHEMA.names) <= set(out.columns), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_lengths_are_counted_once(spark):
+    """However many sums read the histogram, each text is encoded once."""
+    import pyarrow as pa
+
+    from musterline.llm import token_counts
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def length(texts: pa.Array) -> pa.Array:
+        seen.add(len(texts))
+        return pa.array([len(t.as_py() or "") for t in texts], pa.int64())
+
+    docs = odd.frame(spark)
+    sums = token_counts.histogram(docs.select(F.arrow_udf(length, "long")("text").alias("length")))
+    assert sums.agg(F.sum("n_docs")).first()[0] == len(odd.rows())
+    token_counts.at_limits(sums, [5, 100]).collect()
+    assert seen.value == len(odd.rows())
+
+
+def test_mixing_runs_no_python(spark, data_dir):
+    plan = queries.op10_mixing(spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "regexp_count" in plan.lower()
+
+
 def test_mix_repeats_rows(spark):
     docs = odd.clashing(odd.frame(spark))
     mixed = corpus_pipeline.mix_sources(spark, docs, "")
