@@ -20,7 +20,7 @@ SEARCH_ROSTER = "build"
 SEARCH_ALL = "12"
 PAGE = {"page": 2, "limit": 20, "sort_by": "department", "sort_order": "desc"}
 FILTERED = {"search": "9", "department": "BUILDING", "sort_by": "full_name", "limit": 20}
-PATIENCE, HORIZON, END_WITHIN = timedelta(days=2), timedelta(days=10), "3 days"
+PATIENCE, END_WITHIN = timedelta(days=2), "3 days"
 REPORTS_OF = "user3@example.com"
 CLOCK = "2024-02-01 00:00:00"
 

@@ -1,7 +1,8 @@
 """Keyed state with a time to live, and timers that end jobs nobody ended.
 
-Both processors run on event time: state is bounded by what the watermark has not passed.  They also
-take a whole table as one batch, where every timer counts as passed.
+Both processors run on event time: state is bounded by what the watermark has not passed.  Streams need the
+RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).  A whole table can be
+taken as one batch.
 """
 
 from collections.abc import Iterator
