@@ -12,8 +12,9 @@ documents by a seeded hash of the ID up to the rest; the document at the limit g
 This needs one cut per pattern, found from words per hash range, so documents are neither
 sorted nor numbered, and any number of them may be of one pattern.
 
-What reaches the driver is a row for each pattern; a corpus with more than PATTERNS of them
-is refused.
+Sources and targets are Spark tables. A pattern of one source that no other pattern shares has nothing to
+route: it gives what its source takes, by a join. Only patterns that overlap, and the others of their
+sources, reach the driver as a network; more than PATTERNS of these are refused.
 
 A null or empty text has 0 words and gives none; a null source is a source, the last by
 order; no sources at all gives nothing. A null ID hashes as the empty text; rows of equal ID at the
@@ -23,7 +24,6 @@ those named like a column of the result are replaced.
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict, deque
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from musterline.llm.tables import written
-from musterline.llm.words import word_counts
+from musterline.operators.numbering import numbered
 
 PATTERNS = 1_000_000
 _RANGES = 1 << 12
@@ -41,29 +41,31 @@ _BITS = 60
 Source = str | None
 
 
-def rank(sources: list[Source]) -> list[Source]:
-    """By code point, null last."""
-    return sorted(sources, key=lambda s: (s is None, s or ""))
+def cycle(weights: tuple[float, ...] = (5, 2, 1)) -> Callable[[Column], Column]:
+    """Weights in turn: from a source's place in order (0 the first) to its weight."""
+    return lambda place: F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
 
 
-def cycle(weights: tuple[float, ...] = (5, 2, 1)) -> Callable[[list[Source]], dict[Source, float]]:
-    """Weights in turn for the sources in order."""
-    return lambda sources: {s: weights[i % len(weights)] for i, s in enumerate(rank(sources))}
+def targets(sources: DataFrame, weigh: Callable[[Column], Column], total: float, most: int) -> DataFrame:
+    """sources (source, source_size) with `target`: shares of `total` by weight; none above `most` times its size, the excess shared anew until none is above.
 
-
-def targets(sizes: dict[Source, int], weights: dict[Source, float], total: float, most: float) -> dict[Source, float]:
-    """Shares of `total` by weight; none above `most` times its size, the excess shared anew until none is above."""
-    left, rest, out = total, set(sizes), {}
-    while rest:
-        unit = left / sum(weights[s] for s in rest)
-        full = {s for s in rest if weights[s] * unit > most * sizes[s]}
-        if not full:
-            return out | {s: weights[s] * unit for s in rest}
-        for s in rank(list(full)):
-            out[s] = float(most * sizes[s])
-            left -= out[s]
-        rest -= full
-    return out
+    Sources are in order of code point, null last. Each round is one sum over them; what is full stays full.
+    """
+    ordered = sources.select("source", "source_size", F.lit(0).alias("all"), F.col("source").isNull().alias("last"))
+    placed = numbered(ordered, ["all"], ["last", "source"], "place").withColumn("weight", weigh(F.col("place") - 1)).withColumn("full", F.lit(most) * F.col("source_size"))
+    placed = written(placed.select("source", "source_size", "weight", F.col("full").cast("double").alias("full")), "weights")
+    left, unit, full = total, None, -1
+    while True:
+        is_full = F.lit(False) if unit is None else F.col("weight") * unit > F.col("full")
+        r = placed.agg(F.count_if(is_full).alias("n"), F.sum(F.when(is_full, F.col("full"))).alias("given"), F.sum(F.when(~is_full, F.col("weight"))).alias("weight")).first()
+        if r["n"] == full:
+            break
+        full, left = r["n"], total - (r["given"] or 0.0)
+        if not r["weight"]:
+            unit = float("inf")
+            break
+        unit = max(left / r["weight"], unit or 0.0)
+    return placed.select("source", "source_size", F.least(F.col("full"), F.col("weight") * unit).alias("target"))
 
 
 def flow(sizes: dict[str, int], members: dict[str, list[Source]], quotas: dict[Source, int], most: int) -> dict[tuple[str, Source], int]:
@@ -151,49 +153,59 @@ def _order(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix|"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, sources: Column, weigh: Callable[[list[Source]], dict[Source, float]] = cycle(), total: float = 1.5, most: int = 2) -> Mix:
-    """docs (doc_id, text, ...) with `sources`, an array of the sources of each document."""
-    spark = docs.sparkSession
-    size = F.arrow_udf(word_counts, "long")("text")
-    pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))))
-    # The row travels as one value, whatever its columns are called.
-    keyed = docs.select(size.alias("size"), pattern.alias("_pattern"), _order(F.col("doc_id")).alias("_order"), F.struct(*docs.drop("size", "taken").columns).alias("row"))
-    sized = written(keyed.select("size", "_pattern", "_order").where("size > 0"), "sized")
-
-    counted = sized.groupBy("_pattern").agg(F.sum("size").alias("size"))
-    all_patterns = keyed.select("_pattern").groupBy("_pattern").agg(F.lit(0).cast("long").alias("size"))
-    rows = counted.union(all_patterns).groupBy("_pattern").agg(F.sum("size").alias("size")).limit(PATTERNS + 1).collect()
-    if len(rows) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} membership patterns")
-    sizes = {r["_pattern"]: r["size"] for r in rows}
-    members = {p: json.loads(p) for p in sizes}
-    whole: dict[Source, int] = defaultdict(int)
-    for p, own in members.items():
-        for s in own:
-            whole[s] += sizes[p]
-    wanted = targets(whole, weigh(list(whole)), total * sum(sizes.values()), most)
-    routes = flow({p: n for p, n in sizes.items() if n}, {p: m for p, m in members.items() if sizes[p] and m}, {s: int(t) for s, t in wanted.items()}, most)
+def _routes(patterns: DataFrame, sources: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Words given by each pattern (_pattern, size, given), and from pattern to source."""
+    spark = patterns.sparkSession
+    members = patterns.select("_pattern", "size", "of", F.explode("of").alias("source"))
+    shared = written(members.where("size(of) > 1 and size > 0").select("source").distinct(), "shared")
+    met = members.join(shared.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    tied = met.groupBy("_pattern", "size", "of").agg(F.bool_or(F.col("s").isNotNull() | (F.size("of") > 1)).alias("tied"), F.bool_or(F.col("source").isNull()).alias("_null"))
+    null_shared = not shared.where("source is null").isEmpty()
+    tied = written(tied.select("_pattern", "size", "of", (F.col("tied") | (F.col("_null") & F.lit(null_shared))).alias("tied")), "tied")
+
+    alone = tied.where("not tied").select("_pattern", "size", F.col("of")[0].alias("source"))
+    wanted = sources.select(F.col("source").alias("s"), F.floor("target").cast("long").alias("quota"))
+    alone = alone.join(wanted, F.col("source").eqNullSafe(F.col("s"))).select("_pattern", "size", "source", F.least("quota", most * F.col("size")).alias("words"))
+
+    network = tied.where("tied and size > 0").limit(PATTERNS + 1).collect()
+    if len(network) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} overlapping membership patterns")
+    sizes, of = {r["_pattern"]: r["size"] for r in network}, {r["_pattern"]: r["of"] for r in network}
+    used = spark.createDataFrame([(s,) for s in {s for own in of.values() for s in own}], "u string")
+    quotas = {r["s"]: r["quota"] for r in wanted.join(used, F.col("s").eqNullSafe(F.col("u"))).collect()}  # sources of the network only
+    found = flow(sizes, of, quotas, most)
     given: dict[str, int] = defaultdict(int)
-    for (p, _), words in routes.items():
+    for (p, _), words in found.items():
         given[p] += words
+    plan = spark.createDataFrame([(p, n, given[p]) for p, n in sizes.items()], "_pattern string, size long, given long")
+    routes = spark.createDataFrame([(p, s, n) for (p, s), n in found.items()], "pattern string, source string, words long")
+    return alone.selectExpr("_pattern", "size", "words as given").union(plan), alone.selectExpr("_pattern as pattern", "source", "words").union(routes)
+
+
+def mix(docs: DataFrame, sources: Column, weigh: Callable[[Column], Column] = cycle(), total: float = 1.5, most: int = 2) -> Mix:
+    """docs (doc_id, text, ...) with `sources`, an array of the sources of each document."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    of = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
+    # The row travels as one value, whatever its columns are called.
+    keyed = docs.select(size.alias("size"), F.to_json(of).alias("_pattern"), of.alias("of"), _order(F.col("doc_id")).alias("_order"), F.struct(*docs.drop("size", "taken").columns).alias("row"))
+    sized = written(keyed.select("size", "_pattern", "of", "_order"), "sized")
+
+    patterns = written(sized.groupBy("_pattern", "of").agg(F.sum("size").alias("size")), "patterns")
+    whole = patterns.select("size", F.explode("of").alias("source")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    all_words = patterns.agg(F.sum("size")).first()[0] or 0
+    wanted = targets(whole, weigh, total * all_words, most)
+    plan, routes = _routes(patterns, wanted, most)
 
     # The cut of each pattern: from words per hash range, then inside the one range that has it.
-    plan = spark.createDataFrame([(p, given[p] // n, given[p] % n) for p, n in sizes.items() if n], "_pattern string, passes long, rest long")
-    if len(sizes) <= 10_000:
-        plan = F.broadcast(plan)
-    ranges = sized.groupBy("_pattern", F.shiftright("_order", _BITS - 12).alias("r")).agg(F.sum("size").alias("words"))
+    plan = written(plan.where("size > 0").selectExpr("_pattern", "given div size as passes", "given % size as rest"), "plan")
+    taken_from = sized.where("size > 0")
+    ranges = taken_from.groupBy("_pattern", F.shiftright("_order", _BITS - 12).alias("r")).agg(F.sum("size").alias("words"))
     ranges = ranges.withColumn("until", F.expr("sum(words) over (partition by _pattern order by r)")).join(plan, "_pattern")
-    ranges = ranges.where("until - words <= rest and rest < until").selectExpr("_pattern", "r", "passes", "rest - (until - words) as rest")
-    inside = sized.withColumn("r", F.shiftright("_order", _BITS - 12)).join(ranges, ["_pattern", "r"])
+    ranges = written(ranges.where("until - words <= rest and rest < until").selectExpr("_pattern", "r", "passes", "rest - (until - words) as rest"), "ranges")
+    inside = taken_from.withColumn("r", F.shiftright("_order", _BITS - 12)).join(ranges, ["_pattern", "r"])
     inside = inside.groupBy("_pattern", "passes", "rest", "_order").agg(F.sum("size").alias("words"), F.count("*").alias("equal"))
     inside = inside.withColumn("until", F.expr("sum(words) over (partition by _pattern order by _order)"))
     cuts = written(inside.where("until - words <= rest and rest < until").selectExpr("_pattern", "passes", "_order as cut", "(rest - (until - words)) div equal as part"), "cuts")
-    if len(sizes) <= 10_000:
-        cuts = F.broadcast(cuts)
     once = F.expr("case when _order < cut then size when _order = cut then least(size, part) else 0 end")
-    documents = keyed.join(cuts, "_pattern", "left").withColumn("taken", F.coalesce(F.col("size") * F.col("passes") + once, F.lit(0)))
-    return Mix(
-        documents.select("row.*", "size", "taken"),
-        spark.createDataFrame([(s, whole[s], float(wanted[s])) for s in rank(list(whole))], "source string, source_size long, target double"),
-        spark.createDataFrame([(p, s, n) for (p, s), n in routes.items()], "pattern string, source string, words long"),
-    )
+    documents = keyed.drop("of").join(cuts, "_pattern", "left").withColumn("taken", F.coalesce(F.col("size") * F.col("passes") + once, F.lit(0)))
+    return Mix(documents.select("row.*", "size", "taken"), wanted, routes)

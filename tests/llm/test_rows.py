@@ -75,15 +75,54 @@ def test_mix_of_odd_rows(spark):
         assert r["size"] == len(WORD.findall(r["text"] or ""))
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
-    assert list(sources) == ["", "a", "b", "c", "d", "é", None]
+    assert sorted(sources, key=lambda s: (s is None, s)) == ["", "a", "b", "c", "d", "é", None]
     for s, r in sources.items():
         assert abs(taken[s] - r["target"]) < 3
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(docs.repartition(5), F.array("source")).documents.select("doc_id", "text", "source", "size", "taken").collect()), key=repr)
 
 
-def test_targets_share_the_excess():
-    got = mixing.targets({"a": 10, "b": 100, "c": 100}, {"a": 5, "b": 2, "c": 1}, 315.0, 2)
+def target_of(spark, sizes, total, most=2, weights=(5, 2, 1)):
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    return {r["source"]: r["target"] for r in mixing.targets(sources, mixing.cycle(weights), total, most).collect()}
+
+
+def shared_out(sizes, total, most=2, weights=(5, 2, 1)):
+    """Targets by sharing again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, rest, out = total, set(sizes), {}
+    while rest:
+        unit = left / sum(weight[s] for s in rest)
+        full = {s for s in rest if weight[s] * unit > most * sizes[s]}
+        if not full:
+            return out | {s: weight[s] * unit for s in rest}
+        for s in full:
+            out[s] = float(most * sizes[s])
+            left -= out[s]
+        rest -= full
+    return out
+
+
+def test_targets_share_the_excess(spark):
+    got = target_of(spark, {"a": 10, "b": 100, "c": 100}, 315.0)
     assert got["a"] == 20 and got["b"] + got["c"] == pytest.approx(295) and got["b"] == pytest.approx(295 * 2 / 3)
+    rand = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        sizes = {("s" + str(i) if i else None): int(rand.integers(0, 5000)) for i in range(n)}
+        total = 1.5 * sum(sizes.values())
+        assert target_of(spark, sizes, total) == pytest.approx(shared_out(sizes, total))
+
+
+def test_sources_without_number(spark):
+    """More sources than the driver's network may have patterns: none of them overlap, so none gets there."""
+    docs = spark.range(1_200_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    mix = mixing.mix(docs, F.array("source"))
+    assert mixing.PATTERNS < 1_200_000
+    row = mix.documents.agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most")).first()
+    want = shared_out({str(i): 2 for i in range(6)}, 18.0)  # any three sources are like any other three
+    assert (row["n"], row["most"]) == (1_200_000, 4)
+    assert row["taken"] == sum(int(x) for x in want.values()) * 200_000
+    assert mix.sources.agg(F.sum("target")).first()[0] == pytest.approx(3_600_000)
 
 
 def least_cost(sizes, members, quotas, most):
@@ -147,6 +186,20 @@ def test_contained_items(spark):
     assert Counter(tuple(r) for r in got.select("doc_id", "item_id", "n_shingles", "n_found").collect()) == want
 
 
+def test_items_held_in_scattered_pieces(spark):
+    """Three quarters of an item and more, in three pieces far apart in long documents: found as when compared one by one."""
+    items = [(i, odd.prose(5000 + i, 60, 10**6)) for i in range(60)]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        pieces = [" ".join(w[a : a + 20]) for a in (40, 0, 20)]
+        rows.append((i, " ".join(x for k, piece in enumerate(pieces) for x in (odd.prose(9000 + 3 * i + k, 700, 10**6), piece))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {(i, i) for i, text in items if 100 * len(shingles(text) & shingles(rows[i][1])) >= 75 * len(shingles(text))}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) == 60 and got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_items_of_few_words_inside_long_texts(spark):
     texts = [(1, odd.prose(1, 900) + " Seldom met " + odd.prose(2, 900)), (2, "seldom met"), (3, "seldom\nMET twice"), (4, "met seldom"), (5, "a b c d"), (6, "x a b c d e a b"), (None, "seldom"), (7, None)]
     items = [(1, "seldom met"), (2, "A b c d"), (3, "met"), (4, "b c d e a"), (5, "not here")]
@@ -299,6 +352,67 @@ def test_quality_held_out(spark, data_dir):
     assert n > 50 and right > 0.95
 
 
+def small_model(rand):
+    return quality.fit(rand.normal(size=(30, quality.WIDTH)), np.array([0, 4, 5, 20]), np.array([1.0, 0.0, 1.0, 0.0]), epochs=1)
+
+
+def by_loops(w, bag):
+    """Score of one bag of passages, number by number."""
+    import math
+
+    encoded, raw = [], []
+    for x in bag:
+        h = [math.tanh(w["encode0"][j] + sum((x[i] - w["mean"][i]) / w["spread"][i] * w["encode"][i][j] for i in range(len(x)))) for j in range(len(w["encode0"]))]
+        look = [math.tanh(w["look0"][j] + sum(h[i] * w["look"][i][j] for i in range(len(h)))) for j in range(len(w["look0"]))]
+        gate = [1 / (1 + math.exp(-w["gate0"][j] - sum(h[i] * w["gate"][i][j] for i in range(len(h))))) for j in range(len(w["gate0"]))]
+        encoded.append(h)
+        raw.append(sum(a * b * c for a, b, c in zip(look, gate, w["weigh"])))
+    weight = [math.exp(a) / sum(math.exp(b) for b in raw) for a in raw]
+    z = [sum(weight[k] * encoded[k][j] for k in range(len(bag))) for j in range(len(encoded[0]))]
+    return 1 / (1 + math.exp(-w["score0"] - sum(a * b for a, b in zip(z, w["score"]))))
+
+
+def test_forward_pass_equals_loops():
+    rand = np.random.default_rng(5)
+    model = small_model(rand)
+    x, bags = rand.normal(size=(11, quality.WIDTH)), [0, 1, 4, 10]
+    got = model.forward(x, np.array(bags))["p"]
+    for k, (a, b) in enumerate(zip(bags, [*bags[1:], 11])):
+        assert got[k] == pytest.approx(by_loops(model.weights, x[a:b].tolist()), rel=1e-9)
+
+
+def test_gradient_equals_differences():
+    rand = np.random.default_rng(6)
+    model = small_model(rand)
+    x, bags, labels = rand.normal(size=(9, quality.WIDTH)), np.array([0, 2, 3]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = model.forward(x, bags)["p"]
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    model.weights = {k: np.array(w) for k, w in model.weights.items()}
+    for name, slope in model.gradient(x, bags, labels).items():
+        flat, told = model.weights[name].reshape(-1), np.asarray(slope).reshape(-1)
+        for i in rand.choice(len(flat), min(len(flat), 6), replace=False):
+            at, step = flat[i], 1e-6
+            flat[i] = at + step
+            up = loss()
+            flat[i] = at - step
+            down = loss()
+            flat[i] = at
+            assert told[i] == pytest.approx((up - down) / (2 * step), rel=1e-4, abs=1e-8), name
+
+
+def test_long_labelled_texts_take_part_in_fitting(spark):
+    """Bad texts are all longer than what is drawn of a text; without them there would be one label."""
+    good = [(i, odd.prose(i, 200), 1.0) for i in range(12)]
+    bad = [(100 + i, "!! 7 " * (64 * 40), 0.0) for i in range(12)]
+    rows = spark.createDataFrame(good + bad, "doc_id long, text string, label double")
+    model = quality.learn(rows, rows.select("doc_id", "label"), passages=20)
+    scored = rows.select("label", quality.scorer(spark, model)(F.col("text")).alias("score")).collect()
+    assert all((r["score"] > 0.5) == (r["label"] == 1.0) for r in scored)
+
+
 def test_quality_of_odd_rows(spark):
     docs = odd.frame(spark)
     labels = spark.createDataFrame([(1, 1.0), (13, 0.0), (13, 0.0), (12, 1.0), (15, 0.0), (None, 1.0), (10, None), (500, 1.0)], "doc_id long, label double")
