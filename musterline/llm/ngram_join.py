@@ -9,15 +9,18 @@ their prefixes share at least the smaller of their two l.
 The frequency estimate is a table of CELLS counters over all documents: its size is fixed,
 whatever the corpus. It only steers order and l; the result does not depend on it.
 
-Equal sets are one class and travel once per task. Candidates are verified in three rounds: each
-document with a neighbour and the likeliest original in the lists of documents that share
-a shingle; then the best candidate between any two components; then all candidates
-between what is still apart. So a group of copies never becomes all its pairs, and no
-link is lost that would change a component.
-
-Null and empty texts have no shingles and link with nothing. Repeated rows keep one output
-row each. A null ID is kept; it never names a component unless all its members are null.
-Other columns of the input are ignored.
+Equal sets are one class and travel once per task. Candidates are verified in rounds: first each
+document with its hub, the likeliest original in the lists of documents that share a shingle; then,
+a few times, each component with its best neighbour in these lists; then the best candidate
+between any two components; then all candidates between what is still apart. So a group of copies
+never becomes all its pairs, and no link is lost that would change a component. The distance
+to the hub is exact and Jaccard distances obey the triangle inequality: two documents whose distances to one
+hub differ by more than the bound cannot link, and are never paired.
+
+Null and empty texts have no shingles and link with nothing; an empty table gives no rows. Very long texts
+are shingled whole, and their sets are verified in batches of few rows. Repeated rows keep one output
+row each; ties in frequency go by hash, ties in candidates by class. A null ID is kept; it never names a
+component unless all its members are null. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from musterline.llm.bits import bit_table, member
+from musterline.llm.bits import bit_table, member, room
 from musterline.llm.components import components
-from musterline.llm.tables import discard, written
+from musterline.llm.tables import discard, in_batches_of, release, written
 from musterline.llm.words import document_words, mixed, shingle_set, whole_hash
 
 CELLS = 1 << 22
 _SLICES = 64
 _MOST = 8  # longest extension l; longer prefixes cost more than they save
+_NEAR_ROUNDS = 1
+SHARE = 500  # pairs that one copy of a hub's set serves
 
 
 @dataclass(frozen=True)
@@ -164,57 +169,76 @@ def _postings(like: Similarity, frequent):
     return task
 
 
-_PACKED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("class", pa.int64()), ("tokens", pa.binary())])
+_PACKED = pa.schema([("class", pa.int64()), ("tokens", pa.binary())])
 
 
 def _packed(like: Similarity, wanted):
-    """Class and sorted set of each document whose row key may be wanted."""
+    """Class and sorted set of the texts whose row key may be wanted, each class once a task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            keep = member(wanted.value, batch.column("row_key").to_numpy())
-            kept = batch.filter(pa.array(keep))
-            for part in (kept.slice(i, 500) for i in range(0, kept.num_rows, 500)):
-                sets = [tokens for _, _, tokens in _sets([part], like.k)]
-                names = [_class(x) if len(x) else None for x in sets]
-                yield pa.record_batch([part.column("doc_id"), part.column("row_key"), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=_PACKED)
+            kept = batch.filter(pa.array(member(wanted.value, batch.column("row_key").to_numpy())))
+            names, sets, size = [], [], 0
+            for _, _, tokens in _sets([kept], like.k):
+                if not len(tokens) or (name := _class(tokens)) in seen:
+                    continue
+                seen.add(name)
+                names.append(name)
+                sets.append(tokens.tobytes())
+                size += len(sets[-1])
+                if size >= 4 << 20:
+                    yield pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], schema=_PACKED)
+                    names, sets, size = [], [], 0
+            if names:
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], schema=_PACKED)
 
     return task
 
 
-def _linked(like: Similarity):
-    """The pairs that are similar enough, and by how much."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            common, total = [], []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                common.append(both)
-                total.append(len(x) + len(y) - both)
-            out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
-            keep = 100 * np.array(common, np.int64) >= like.percent * np.array(total, np.int64)
-            yield out.filter(pa.array(keep))
-
-    return task
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the two sets of each pair have in common, and in all."""
+    for batch in batches:
+        common, total = [], []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            common.append(both)
+            total.append(len(x) + len(y) - both)
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, like: Similarity) -> DataFrame:
-    """Links among the candidate pairs; the set of a class comes from its one chosen row."""
+    """The candidate pairs with what their sets have in common; the set of a class comes from the text of its chosen row.
+
+    A set is shuffled once by class and once for its pair. Of a pair, the class that is in more pairs comes to
+    the other one: as one copy for every SHARE pairs, so a hub of any number of documents is many small keys.
+    """
     spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    rows = written(chosen.join(ends, "class", "left_semi"), "ngram-chosen")
-    wanted = spark.sparkContext.broadcast(bit_table(rows.select("row_key")))
-    sets = texts.mapInArrow(_packed(like, wanted), "doc_id long, row_key long, class long, tokens binary")
-    sets = sets.join(rows, (sets["row_key"] == rows["row_key"]) & sets["doc_id"].eqNullSafe(rows["doc_id"]) & (sets["class"] == rows["class"]), "left_semi")
-    sets = written(sets.select("class", "tokens"), "ngram-sets")
-    one = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    links = written(met.mapInArrow(_linked(like), "a long, b long, common long, total long").distinct(), "ngram-links")
-    discard(sets)
-    return links
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("pairs")), "ngram-ends")
+    keys = written(chosen.join(ends, "class", "left_semi").select("row_key"), "ngram-keys")
+    wanted = spark.sparkContext.broadcast(bit_table(keys, room(keys.count())))
+    sets = texts.select("text", "row_key").mapInArrow(_packed(like, wanted), "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
+
+    one, two = ends.selectExpr("class as a", "pairs as of_a"), ends.selectExpr("class as b", "pairs as of_b")
+    turned = pairs.join(one, "a").join(two, "b").select("a", "b", F.expr("if(of_a >= of_b, a, b)").alias("hub"), F.expr("if(of_a >= of_b, b, a)").alias("leaf"), F.greatest("of_a", "of_b").alias("met"))
+    turned = written(turned.withColumn("share", F.expr(f"pmod(xxhash64(leaf), 1 + met div {SHARE})")).drop("met"), "ngram-turned")
+    copies = written(turned.select("hub", "share").distinct(), "ngram-copies")
+    hubs = copies.join(sets.select(F.col("class").alias("hub"), F.col("tokens").alias("x")), "hub")
+    leaves = turned.join(sets.select(F.col("class").alias("leaf"), F.col("tokens").alias("y")), "leaf")
+    met = leaves.join(hubs, ["hub", "share"]).select("a", "b", "x", "y")
+    with in_batches_of(spark, 64):
+        found = written(met.mapInArrow(_overlaps, "a long, b long, common long, total long"), "ngram-verified")
+    for table in (ends, keys, turned, copies):
+        discard(table)
+    wanted.unpersist()
+    del sets, hubs, leaves, met
+    release(spark)
+    return found
+
+
+def _links(verified: DataFrame, like: Similarity) -> DataFrame:
+    return verified.where(f"100 * common >= {like.percent} * total")
 
 
 def _size_fits(n: Column, m: Column, like: Similarity) -> Column:
@@ -267,26 +291,52 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
     # The row whose text stands for a class.
     chosen = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("class", "r.doc_id", "r.row_key")
 
-    # Round 1: each member with its neighbour and with the head of its lists, the one that shares
-    # most of itself: an original rather than its copies. This joins groups in few pairs.
+    # Neighbours: each member with the one before it and with the head of its lists, the one that shares
+    # most of itself: an original rather than its copies.
     ranked = shared.withColumns({
-        "previous": F.expr(f"lag(struct(class, n, place, rank)) over ({in_list})"),
-        "head": F.expr(f"first(struct(class, n, place, rank)) over ({by_token} order by degree / n desc, n, class)"),
+        "previous": F.expr(f"lag(struct(class, n, place, rank, false as head)) over ({in_list})"),
+        "first": F.expr(f"first(struct(class, n, place, rank, true as head)) over ({by_token} order by degree / n desc, n, class)"),
     })
-    near = ranked.select("class", "n", "place", "rank", F.explode(F.array("previous", "head")).alias("other")).where("other is not null and other.class <> class")
+    near = ranked.select("class", "n", "place", "rank", F.explode(F.array("previous", "first")).alias("other")).where("other is not null and other.class <> class")
     near = near.where(_size_fits(F.col("n"), F.col("other.n"), like) & _in_reach("", "other.", like))
-    near = near.groupBy(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).agg(F.count("*").alias("meets"), F.min(F.least("n", "other.n")).alias("n"))
-    tried = written(near.where("meets >= 1 + n / 50").select("a", "b"), "ngram-near")
-    first = _verify(tried, texts, chosen, like)
+    near = near.groupBy("class", F.col("other.class").alias("other")).agg(F.count("*").alias("meets"), F.max("other.head").alias("head"), F.min(F.least("n", "other.n")).alias("n"))
+    near = written(near.where("meets >= 1 + n / 50").selectExpr("class", "other", "meets / n as share", "head"), "ngram-near")
+
+    # The hub of each class, and the exact distance to it.
+    hubs = written(near.where("head").groupBy("class").agg(F.max_by("other", F.struct("share", "other")).alias("hub")), "ngram-hubs")
+    tried = written(hubs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct(), "ngram-tried")
+    verified = [_verify(tried, texts, chosen, like)]
+    distances = verified[0].select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
+    hubs = hubs.join(distances, (F.least("class", "hub") == F.col("a")) & (F.greatest("class", "hub") == F.col("b"))).select("class", "hub", "d")
+    hubs = written(hubs, "ngram-distances")
+    first = _links(verified[0], like)
     groups = components(first.select("a", "b"))
 
+    # Each component with its best neighbour, where that is another component.
+    pairs = near.groupBy(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).agg(F.max("share").alias("share"))
+    for _ in range(_NEAR_ROUNDS):
+        one, two = groups.selectExpr("node as a", "root as ra"), groups.selectExpr("node as b", "root as rb")
+        apart = pairs.join(tried, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+        apart = written(apart.select("a", "b", "share", "ra", "rb"), "ngram-apart")
+        best = apart.select("a", "b", "share", F.explode(F.array("ra", "rb")).alias("label")).groupBy("label").agg(F.max(F.struct("share", "a", "b")).alias("p"))
+        best = written(best.select("p.a", "p.b").distinct(), "ngram-best")
+        if best.isEmpty():
+            break
+        verified.append(_verify(best, texts, chosen, like))
+        tried = written(tried.union(best), "ngram-tried")
+        first = first.union(_links(verified[-1], like))
+        groups = components(first.select("a", "b"))
+
     # Candidates: all pairs that meet often enough and are not within one component yet. A set and
     # one of its size or more share so much that a shorter prefix of the smaller one is enough.
     labelled = shared.join(groups, shared["class"] == groups["node"], "left")
-    labelled = labelled.select("token", "class", "n", "l", "place", "rank", F.coalesce("root", "class").alias("label"))
+    labelled = labelled.select("token", "class", "n", "l", "place", "rank", F.coalesce("root", "class").alias("label")).join(hubs, "class", "left")
     open_lists = labelled.withColumn("open", F.expr(f"max(label) over ({by_token}) <> min(label) over ({by_token})")).where("open").drop("open")
     one, two = open_lists.where(f"place < n - ceil(2 * {like.percent} * n / {100 + like.percent}) + l").alias("one"), open_lists.alias("two")
     smaller = F.expr("one.token = two.token and one.label <> two.label and (one.n < two.n or (one.n = two.n and one.class < two.class))")
+    # Triangle inequality at a common hub; a hub is at distance 0 from itself, and that pair has been tried.
+    bound = 1 - like.percent / 100 + 1e-9
+    smaller &= F.expr(f"not coalesce(one.hub = two.hub and abs(one.d - two.d) > {bound}, false)")
     met = one.join(two, smaller & _in_reach("one.", "two.", like) & _size_fits(F.col("one.n"), F.col("two.n"), like)).groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b"))
     met = met.agg(F.count("*").cast("int").alias("meets"), *(F.max(f"{x}.{c}").alias(f"{c}_{x}") for x in ("one", "two") for c in ("n", "l", "place")))
     pairs = (
@@ -303,12 +353,12 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
 
     # Round 2: the best pair between any two components. Round 3: the rest, between what is still apart.
     best = written(pairs.groupBy("low", "high").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b"), "ngram-best")
-    second = _verify(best, texts, chosen, like)
+    second = _links(_verify(best, texts, chosen, like), like)
     groups = components(first.select("a", "b").union(second.select("a", "b")))
     left, right = groups.selectExpr("node as a", "root as ra"), groups.selectExpr("node as b", "root as rb")
     rest = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
     rest = written(rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "ngram-rest")
-    third = _verify(rest, texts, chosen, like)
+    third = _links(_verify(rest, texts, chosen, like), like)
     links = first.union(second).union(third)
 
     # Contract the components so far by the links of round 3.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -55,6 +56,15 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished plans: Spark deletes the shuffle files of a plan once the driver has collected it.
+
+    Between rounds of an operator that shuffles much, so that disks hold the files of one round.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -71,6 +71,20 @@ def test_near_copies_and_shared_passages(spark):
     assert got(spark, rows) == expected(rows)
 
 
+def test_many_copies_with_strays(spark):
+    """A large group around one original, copies too far from it that link to others or to none, and equal rows."""
+    rand = random.Random(4)
+    base = odd.prose(11, 150, 3000).split()
+    texts = [" ".join(base)]
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rand.choice([0, 1, 2, 3, 6, 9, 12])):
+            copy[rand.randrange(150)] = f"e{rand.randrange(40)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts)) + [(None, texts[5])] * 30 + [(3, texts[3])] * 20
+    assert got(spark, rows, 5) == expected(rows)
+
+
 def test_links_are_similar(spark):
     rows = list(enumerate(family(5, 15, 80, 6)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
