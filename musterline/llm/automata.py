@@ -61,12 +61,9 @@ class Transducer:
             path[-1][0] = count
             before = labels
         close(0)
-        at, least = freeze(path[0])
-        if least:  # the start has no arc to it
-            at = len(arcs)
-            final.append(path[0][0])
-            arcs.append(tuple(path[0][1]))
-        return cls(arcs, final, at)
+        final.append(path[0][0])  # the start has no arc to it that could take a count
+        arcs.append(tuple(path[0][1]))
+        return cls(arcs, final, len(arcs) - 1)
 
     def items(self) -> Iterator[Item]:
         """All sequences in order."""
