@@ -4,8 +4,9 @@ Every text is encoded in whole; what is kept is the number of documents of each
 histogram then answer, for every context limit at once, how many documents and tokens there
 are, how many tokens are left when texts are truncated to the limit, and any quantile.
 
-Texts go through the tokenizer, never a sample of them. A null or empty text has length 0
-and counts as a document. An empty table gives an empty histogram. Only the text column is read.
+Texts go through the tokenizer once and whole, however long, never a sample of them. A null or empty text has
+length 0 and counts as a document; repeated rows count each, and ties are one row. An empty table
+gives an empty histogram. Only the text column is read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from musterline.llm.tables import written
+
 _BLOCK = 1024
 
 
@@ -57,7 +60,8 @@ def histogram(lengths_: DataFrame) -> DataFrame:
     truncated_tokens, all tokens when texts are cut to that length; docs_share, the share of
     documents of that length or less.
     """
-    counts = lengths_.groupBy("length").agg(F.count("*").alias("n_docs"))
+    # Written, as both readers below would encode every text again.
+    counts = written(lengths_.groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")
     counts = counts.withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "block": F.expr(f"length div {_BLOCK}")})
     # Suffix sums in two steps: within blocks of lengths, and over the few blocks.
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
