@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from musterline.operators import explore, partials, reconcile, reports, sketches, trigrams
 from musterline.operators.numbering import copies, numbered
-from musterline.plans import standins as V
+from musterline.plans import catalog, standins as V
 from musterline.sources import buckets, keyed, sinks
 from musterline.sources.storage import work_folder
 
@@ -264,6 +264,16 @@ def test_large_sets_stay_within_the_bounds(spark):
             assert abs(r[n] - exact[r["manager_id"]][n]) <= 4 * union / 2**6, n
 
 
+def test_sketched_summary_is_exact_beyond_one_sketch(spark, tmp_path):
+    """One manager with 20,000 IDs, one with a few, in the tables that the query reads."""
+    customers = spark.range(1, 20_051).selectExpr(
+        "id c_custkey", "'n' || id c_name", "1.0D c_acctbal", "'m' c_mktsegment", "if(id > 20000, 2, 1) c_nationkey")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 60_000).selectExpr("id o_orderkey", "1 + id * 7919 % 20050 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    exact = reconcile.summarise(V.roster(spark, str(tmp_path)), V.sheet(spark, str(tmp_path))).drop("missing_email")
+    assert rows_of(catalog.sketched_summary(spark, str(tmp_path))) == rows_of(exact)
+
+
 def test_owners_on_one_side_and_no_ids(spark):
     roster = spark.createDataFrame([("a", "1"), ("a", "2"), (None, "3")], "manager_id string, employee_id string")
     sheet = spark.createDataFrame([("b", "1"), ("b", " "), ("c", None)], "manager_id string, employee_id string")
