@@ -13,7 +13,9 @@ Equal sets are one class and travel once per task. Candidates are verified in ro
 document with its hub, the likeliest original in the lists of documents that share a shingle; then,
 a few times, each component with its best neighbour in these lists; then the best candidate
 between any two components; then all candidates between what is still apart. So a group of copies
-never becomes all its pairs, and no link is lost that would change a component. The distance
+never becomes all its pairs, and no link is lost that would change a component. Before the last two
+rounds, parity bitmaps of the sets sieve the candidates: a bit that differs is a shingle that only one of
+the two has, so the bound on the overlap is sure, and only pairs that may link bring their sets. The distance
 to the hub is exact and Jaccard distances obey the triangle inequality: two documents whose distances to one
 hub differ by more than the bound cannot link, and are never paired.
 
@@ -72,28 +74,47 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
             yield batch, row, shingle_set(h, k)
 
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+def parities(tokens: np.ndarray) -> bytes:
+    """The size of a set, and for each of 2 to 4 cells a shingle whether an odd number of shingles falls into it."""
+    bits = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mixed(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.int64(len(tokens)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_common(x: bytes, y: bytes) -> tuple[int, int]:
+    """The most that two sets can have in common by their parities, and the sum of their sizes."""
+    total = int(np.frombuffer(x, np.int64, 1)[0] + np.frombuffer(y, np.int64, 1)[0])
+    x, y = np.frombuffer(x, np.uint64, offset=8), np.frombuffer(y, np.uint64, offset=8)
+    while len(x) != len(y):  # half as many cells: the two halves of the longer one
+        x, y = sorted((x, y), key=len)
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (total - int(np.bitwise_count(x ^ y).sum())) // 2, total
+
+
+_SCAN = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("parities", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 def _scan(like: Similarity):
-    """A row for each document, and this task's share of the frequency table."""
+    """A row for each document, with parities once for each class, and this task's share of the frequency table."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = np.zeros(CELLS, np.uint32), set()
         for batch in batches:
-            names, sizes = [], []
+            names, sizes, odd = [], [], []
             for _, _, tokens in _sets([batch], like.k):
                 name = _class(tokens) if len(tokens) else None
-                if name is not None and name not in seen:
+                fresh = name is not None and name not in seen
+                if fresh:
                     seen.add(name)
                     np.add.at(cells, _cells(tokens), 1)
+                odd.append(parities(tokens) if fresh else None)
                 names.append(name)
                 sizes.append(len(tokens))
             m = len(names)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=_SCAN)
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=_SCAN)
         if seen:
             m = _SLICES
-            yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(cells, m)], pa.binary())], schema=_SCAN)
+            yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(cells, m)], pa.binary())], schema=_SCAN)
 
     return task
 
@@ -124,7 +145,7 @@ def adaptive_prefix(tokens: np.ndarray, frequent: np.ndarray, like: Similarity)
     least = int(like.least(np.int64(n)))
     first = n - least + 1
     most = min(_MOST, least)
-    meets = np.cumsum(np.exp2(level[order[: first + most - 1]]) - 1)[first - 1 :]
+    meets = np.cumsum(np.exp2(level[order[: first + most - 1]].astype(np.float64)) - 1)[first - 1 :]
     l = np.arange(1, most + 1)
     cost = (meets + first + l) + meets / l * (n / 16)
     best = int(np.argmin(cost)) + 1
@@ -208,18 +229,52 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, like: Similarity) -> DataFrame:
-    """The candidate pairs with what their sets have in common; the set of a class comes from the text of its chosen row.
+def _likely(like: Similarity):
+    """The pairs that may have enough in common."""
 
-    A set is shuffled once by class and once for its pair. Of a pair, the class that is in more pairs comes to
-    the other one: as one copy for every SHARE pairs, so a hub of any number of documents is many small keys.
-    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = [most_common(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            kept = pa.array([(100 + like.percent) * common >= like.percent * total for common, total in bounds], pa.bool_())
+            yield batch.select(["a", "b"]).filter(kept)
+
+    return task
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, like: Similarity) -> DataFrame:
+    """The candidate pairs with what their sets have in common; the set of a class comes from the text of its chosen row."""
     spark = pairs.sparkSession
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("pairs")), "ngram-ends")
+    ends = _ends(pairs)
     keys = written(chosen.join(ends, "class", "left_semi").select("row_key"), "ngram-keys")
     wanted = spark.sparkContext.broadcast(bit_table(keys, room(keys.count())))
     sets = texts.select("text", "row_key").mapInArrow(_packed(like, wanted), "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
+    found = _meet(pairs, ends, sets, _overlaps, "a long, b long, common long, total long", "ngram-verified")
+    for table in (ends, keys):
+        discard(table)
+    wanted.unpersist()
+    return found
+
+
+def _sieve(pairs: DataFrame, scan: DataFrame, like: Similarity) -> DataFrame:
+    """The pairs (a, b) that may link by their parities."""
+    ends = _ends(pairs)
+    odd = scan.where("parities is not null").select("class", "parities").join(ends, "class", "left_semi")
+    found = _meet(pairs, ends, odd.groupBy("class").agg(F.first("parities").alias("tokens")), _likely(like), "a long, b long", "ngram-likely")
+    discard(ends)
+    return found
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("pairs")), "ngram-ends")
+
+
+def _meet(pairs: DataFrame, ends: DataFrame, sets: DataFrame, task, columns: str, name: str) -> DataFrame:
+    """What `task` makes of the pairs and what their two classes have in sets (class, tokens).
 
+    A set is shuffled once by class and once for its pair. Of a pair, the class that is in more pairs comes to
+    the other one: as one copy for every SHARE pairs, so a hub of any number of documents is many small keys.
+    """
+    spark = pairs.sparkSession
     one, two = ends.selectExpr("class as a", "pairs as of_a"), ends.selectExpr("class as b", "pairs as of_b")
     turned = pairs.join(one, "a").join(two, "b").select("a", "b", F.expr("if(of_a >= of_b, a, b)").alias("hub"), F.expr("if(of_a >= of_b, b, a)").alias("leaf"), F.greatest("of_a", "of_b").alias("met"))
     turned = written(turned.withColumn("share", F.expr(f"pmod(xxhash64(leaf), 1 + met div {SHARE})")).drop("met"), "ngram-turned")
@@ -228,10 +283,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, like: Similar
     leaves = turned.join(sets.select(F.col("class").alias("leaf"), F.col("tokens").alias("y")), "leaf")
     met = leaves.join(hubs, ["hub", "share"]).select("a", "b", "x", "y")
     with in_batches_of(spark, 64):
-        found = written(met.mapInArrow(_overlaps, "a long, b long, common long, total long"), "ngram-verified")
-    for table in (ends, keys, turned, copies):
+        found = written(met.mapInArrow(task, columns), name)
+    for table in (turned, copies):
         discard(table)
-    wanted.unpersist()
     del sets, hubs, leaves, met
     release(spark)
     return found
@@ -267,7 +321,7 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
     """Components of documents (doc_id, text) whose shingle sets are similar enough."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("row_key"))
-    scan = written(texts.mapInArrow(_scan(like), "doc_id long, row_key long, class long, n long, slice int, counts binary"), "ngram-scan")
+    scan = written(texts.mapInArrow(_scan(like), "doc_id long, row_key long, class long, n long, parities binary, slice int, counts binary"), "ngram-scan")
     rows = scan.where("slice is null").select("doc_id", "row_key", "class", "n")
     frequent = spark.sparkContext.broadcast(frequency_table(scan))
 
@@ -287,6 +341,7 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
         .where(f"100 * (rank + n - place - 1) >= {like.percent} * n"),
         "ngram-shared",
     )
+    release(spark)
 
     # The row whose text stands for a class.
     chosen = rows.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("class", "r.doc_id", "r.row_key")
@@ -301,6 +356,7 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
     near = near.where(_size_fits(F.col("n"), F.col("other.n"), like) & _in_reach("", "other.", like))
     near = near.groupBy("class", F.col("other.class").alias("other")).agg(F.count("*").alias("meets"), F.max("other.head").alias("head"), F.min(F.least("n", "other.n")).alias("n"))
     near = written(near.where("meets >= 1 + n / 50").selectExpr("class", "other", "meets / n as share", "head"), "ngram-near")
+    release(spark)
 
     # The hub of each class, and the exact distance to it.
     hubs = written(near.where("head").groupBy("class").agg(F.max_by("other", F.struct("share", "other")).alias("hub")), "ngram-hubs")
@@ -349,7 +405,10 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
     one, two = groups.selectExpr("node as a", "root as ra"), groups.selectExpr("node as b", "root as rb")
     pairs = pairs.join(one, "a", "left").join(two, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
     pairs = pairs.select("a", "b", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"), "share")
-    pairs = written(pairs, "ngram-pairs")
+    candidates = written(pairs, "ngram-pairs")
+    release(spark)
+    pairs = written(candidates.join(_sieve(candidates, scan, like), ["a", "b"], "left_semi"), "ngram-sieved")
+    discard(candidates)
 
     # Round 2: the best pair between any two components. Round 3: the rest, between what is still apart.
     best = written(pairs.groupBy("low", "high").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b"), "ngram-best")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from musterline.llm import ngram_join
@@ -107,3 +108,42 @@ def test_longer_prefixes_share_more(l):
             continue
         prefix = [np.sort(s)[: len(s) - int(like.least(np.int64(len(s)))) + l] for s in (x, y)]
         assert len(np.intersect1d(*prefix)) >= min(l, both)
+
+
+def _set(rng, n):
+    return np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+
+
+@pytest.mark.parametrize("n", [1, 2, 31, 33, 64, 400, 3000])
+def test_parities_bound_what_sets_have_in_common(n):
+    """Never less than there is, for any sizes; close enough to tell a set from one that shares half of it."""
+    rng = np.random.default_rng(n)
+    x = _set(rng, n)
+    for m, shared in ((n, n // 2), (n, n), (n + n // 4, n), (max(1, n // 9), n // 10), (5 * n, n)):
+        y = np.union1d(x[:shared], _set(rng, m - shared)) if m > shared else x[:shared]
+        most, total = ngram_join.most_common(ngram_join.parities(x), ngram_join.parities(y))
+        assert total == len(x) + len(y)
+        assert len(np.intersect1d(x, y)) <= most <= total // 2
+    half = np.union1d(x[: n // 2], _set(rng, n - n // 2))
+    if n >= 400:
+        assert 175 * ngram_join.most_common(ngram_join.parities(x), ngram_join.parities(half))[0] < 75 * 2 * n
+
+
+def test_very_frequent_shingles_get_a_longer_prefix():
+    """Estimates of 2**20 candidates a shingle are compared as they are, not as what overflows."""
+    tokens = _set(np.random.default_rng(1), 100)
+    prefix, l = ngram_join.adaptive_prefix(tokens, np.full(ngram_join.CELLS, 20, np.uint8), ngram_join.Similarity())
+    assert (len(prefix), l) == (33, 8)
+
+
+def test_sieve_keeps_links_and_drops_what_cannot_link(spark):
+    like, rng = ngram_join.Similarity(), np.random.default_rng(7)
+    x = _set(rng, 500)
+    sets = {1: x, 2: np.union1d(x[:450], _set(rng, 50)), 3: np.union1d(x[:250], _set(rng, 250)), 4: x[:380], 5: np.union1d(x[250:], _set(rng, 250))}
+    scan = spark.createDataFrame([(k, bytearray(ngram_join.parities(v))) for k, v in sets.items()] + [(1, None)], "class long, parities binary")
+    pairs = spark.createDataFrame([(a, b) for b in sets for a in sets if a < b], "a long, b long")
+    kept = {tuple(r) for r in ngram_join._sieve(pairs, scan, like).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert links == {(1, 2), (1, 4), (2, 4)}
+    assert links <= kept
+    assert not kept & {(1, 3), (1, 5), (2, 3), (2, 5), (3, 4), (3, 5), (4, 5)}
