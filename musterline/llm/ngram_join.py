@@ -17,7 +17,9 @@ never becomes all its pairs, and no link is lost that would change a component.
 rounds, parity bitmaps of the sets sieve the candidates: a bit that differs is a shingle that only one of
 the two has, so the bound on the overlap is sure, and only pairs that may link bring their sets. The distance
 to the hub is exact and Jaccard distances obey the triangle inequality: two documents whose distances to one
-hub differ by more than the bound cannot link, and are never paired.
+hub differ by more than the bound cannot link, and are never paired. Two documents of one hub of many that have too
+little of it to link by that alone must share a shingle that it lacks: they meet in lists of such shingles, by
+prefixes of these, and not in the lists of what all have from the hub.
 
 Null and empty texts have no shingles and link with nothing; an empty table gives no rows. Very long texts
 are shingled whole, and their sets are verified in batches of few rows. Repeated rows keep one output
@@ -32,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from musterline.llm.bits import bit_table, member, room
@@ -45,6 +47,7 @@ _SLICES = 64
 _MOST = 8  # longest extension l; longer prefixes cost more than they save
 _NEAR_ROUNDS = 1
 SHARE = 500  # pairs that one copy of a hub's set serves
+CROWD = 32  # documents of one hub from which they meet by what it lacks; with fewer, lists are short anyway
 
 
 @dataclass(frozen=True)
@@ -229,6 +232,36 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
 
 
+_COMPARED = "a long, b long, common long, total long, n_a long, n_b long, own_a array<long>, own_b array<long>"
+
+
+def own_prefix(own: np.ndarray, n: int, frequent: np.ndarray, like: Similarity) -> np.ndarray:
+    """Of what a set of n has and its hub lacks, the prefix that meets any set it links to that shares enough of it."""
+    level = frequent[_cells(own)]
+    order = np.lexsort((mixed(own), level))
+    least = max(1, int(like.least(np.int64(n))) - (n - len(own)))
+    return own[order[: max(0, len(own) - least + 1)]]
+
+
+def _compared(like: Similarity, frequent):
+    """Like _overlaps; for pairs of a crowded hub also both sizes and prefixes of what only one has."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b, hub, crowded, x, y in zip(*(batch.column(c) for c in ("a", "b", "hub", "crowded", "x", "y")), strict=True):
+                a, b, x, y = a.as_py(), b.as_py(), np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if hub.as_py() != a:
+                    x, y = y, x
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                own = [own_prefix(np.setdiff1d(u, v, assume_unique=True), len(u), frequent.value, like).view(np.int64) for u, v in ((x, y), (y, x))] if crowded.as_py() else [None, None]
+                rows.append((a, b, both, len(x) + len(y) - both, len(x), len(y), *own))
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["a", "b", "common", "total", "n_a", "n_b", "own_a", "own_b"])
+
+    return task
+
+
 def _likely(like: Similarity):
     """The pairs that may have enough in common."""
 
@@ -241,14 +274,14 @@ def _likely(like: Similarity):
     return task
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, like: Similarity) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, like: Similarity, task=_overlaps, columns: str = "a long, b long, common long, total long") -> DataFrame:
     """The candidate pairs with what their sets have in common; the set of a class comes from the text of its chosen row."""
     spark = pairs.sparkSession
     ends = _ends(pairs)
     keys = written(chosen.join(ends, "class", "left_semi").select("row_key"), "ngram-keys")
     wanted = spark.sparkContext.broadcast(bit_table(keys, room(keys.count())))
     sets = texts.select("text", "row_key").mapInArrow(_packed(like, wanted), "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
-    found = _meet(pairs, ends, sets, _overlaps, "a long, b long, common long, total long", "ngram-verified")
+    found = _meet(pairs, ends, sets, task, columns, "ngram-verified")
     for table in (ends, keys):
         discard(table)
     wanted.unpersist()
@@ -269,19 +302,19 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _meet(pairs: DataFrame, ends: DataFrame, sets: DataFrame, task, columns: str, name: str) -> DataFrame:
-    """What `task` makes of the pairs and what their two classes have in sets (class, tokens).
+    """What `task` makes of the pairs and what their two classes have in sets (class, tokens): x of hub, y of the other.
 
     A set is shuffled once by class and once for its pair. Of a pair, the class that is in more pairs comes to
     the other one: as one copy for every SHARE pairs, so a hub of any number of documents is many small keys.
     """
     spark = pairs.sparkSession
     one, two = ends.selectExpr("class as a", "pairs as of_a"), ends.selectExpr("class as b", "pairs as of_b")
-    turned = pairs.join(one, "a").join(two, "b").select("a", "b", F.expr("if(of_a >= of_b, a, b)").alias("hub"), F.expr("if(of_a >= of_b, b, a)").alias("leaf"), F.greatest("of_a", "of_b").alias("met"))
+    turned = pairs.join(one, "a").join(two, "b").select(*pairs.columns, F.expr("if(of_a >= of_b, a, b)").alias("hub"), F.expr("if(of_a >= of_b, b, a)").alias("leaf"), F.greatest("of_a", "of_b").alias("met"))
     turned = written(turned.withColumn("share", F.expr(f"pmod(xxhash64(leaf), 1 + met div {SHARE})")).drop("met"), "ngram-turned")
     copies = written(turned.select("hub", "share").distinct(), "ngram-copies")
     hubs = copies.join(sets.select(F.col("class").alias("hub"), F.col("tokens").alias("x")), "hub")
     leaves = turned.join(sets.select(F.col("class").alias("leaf"), F.col("tokens").alias("y")), "leaf")
-    met = leaves.join(hubs, ["hub", "share"]).select("a", "b", "x", "y")
+    met = leaves.join(hubs, ["hub", "share"]).select(*pairs.columns, "hub", "x", "y")
     with in_batches_of(spark, 64):
         found = written(met.mapInArrow(task, columns), name)
     for table in (turned, copies):
@@ -292,7 +325,7 @@ def _meet(pairs: DataFrame, ends: DataFrame, sets: DataFrame, task, columns: str
 
 
 def _links(verified: DataFrame, like: Similarity) -> DataFrame:
-    return verified.where(f"100 * common >= {like.percent} * total")
+    return verified.where(f"100 * common >= {like.percent} * total").select("a", "b", "common", "total")
 
 
 def _size_fits(n: Column, m: Column, like: Similarity) -> Column:
@@ -305,6 +338,26 @@ def _in_reach(x: str, y: str, like: Similarity) -> Column:
     return F.expr(f"{most} >= {like.percent} * ({x}n + {y}n) / {100 + like.percent}")
 
 
+_SIZES = "max(least(one.n, two.n)) as smaller", "max(one.n + two.n) as both"
+
+
+def _meetings(lists: DataFrame, keys: list[str], fits: Column) -> GroupedData:
+    """Pairs (a, b) of classes one and two that meet in lists of `keys` under different labels.
+
+    The most frequent label of a list (usually a large component) is not paired with itself, so a list costs
+    its rows times those of other labels. The smaller set must have the shingle in its `short` prefix.
+    """
+    by = ", ".join(keys)
+    lists = lists.withColumn("varied", F.expr(f"max(label) over (partition by {by}) <> min(label) over (partition by {by})")).where("varied")
+    lists = lists.withColumn("times", F.expr(f"count(*) over (partition by {by}, label)"))
+    lists = lists.withColumn("main", F.expr(f"(max(struct(times, label)) over (partition by {by})).label = label")).drop("varied", "times")
+    same = " and ".join(f"one.{key} = two.{key}" for key in keys)
+    smaller = "(one.n < two.n or (one.n = two.n and one.class < two.class))"
+    apart = F.expr(f"{same} and one.label <> two.label and (two.main or {smaller}) and if({smaller}, one.short, two.short)")
+    met = lists.where("not main").alias("one").join(lists.alias("two"), apart & fits)
+    return met.groupBy(F.expr("least(one.class, two.class)").alias("a"), F.expr("greatest(one.class, two.class)").alias("b"))
+
+
 @dataclass(frozen=True)
 class Joined:
     """documents: doc_id, n_shingles, component_id. links: verified pairs of classes (a, b, common, total).
@@ -360,11 +413,15 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
 
     # The hub of each class, and the exact distance to it.
     hubs = written(near.where("head").groupBy("class").agg(F.max_by("other", F.struct("share", "other")).alias("hub")), "ngram-hubs")
-    tried = written(hubs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct(), "ngram-tried")
-    verified = [_verify(tried, texts, chosen, like)]
-    distances = verified[0].select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
-    hubs = hubs.join(distances, (F.least("class", "hub") == F.col("a")) & (F.greatest("class", "hub") == F.col("b"))).select("class", "hub", "d")
-    hubs = written(hubs, "ngram-distances")
+    crowds = hubs.groupBy("hub").agg(F.count("*").alias("leaves")).where(f"leaves >= {CROWD}").select("hub", F.lit(True).alias("crowded"))
+    hubs = written(hubs.join(crowds, "hub", "left").select("class", "hub", F.expr("crowded is not null").alias("crowded")), "ngram-crowds")
+    tried = written(hubs.groupBy(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).agg(F.max("crowded").alias("crowded")), "ngram-tried")
+    verified = [_verify(tried, texts, chosen, like, _compared(like, frequent), _COMPARED)]
+    tried = tried.select("a", "b")
+    hubs = hubs.join(verified[0], (F.least("class", "hub") == F.col("a")) & (F.greatest("class", "hub") == F.col("b")))
+    first_is = lambda x, y: F.expr(f"if(crowded, if(class = a, {x}, {y}), null)")
+    # Of a crowded hub: what a class has in common with it, its size, and the prefix of what the hub lacks.
+    hubs = written(hubs.select("class", "hub", (1 - F.col("common") / F.col("total")).alias("d"), first_is("common", "common").alias("of_hub"), first_is("n_a", "n_b").alias("n"), first_is("own_a", "own_b").alias("own")), "ngram-distances")
     first = _links(verified[0], like)
     groups = components(first.select("a", "b"))
 
@@ -386,22 +443,30 @@ def ngram_join(docs: DataFrame, like: Similarity = Similarity()) -> Joined:
     # Candidates: all pairs that meet often enough and are not within one component yet. A set and
     # one of its size or more share so much that a shorter prefix of the smaller one is enough.
     labelled = shared.join(groups, shared["class"] == groups["node"], "left")
-    labelled = labelled.select("token", "class", "n", "l", "place", "rank", F.coalesce("root", "class").alias("label")).join(hubs, "class", "left")
-    open_lists = labelled.withColumn("open", F.expr(f"max(label) over ({by_token}) <> min(label) over ({by_token})")).where("open").drop("open")
-    one, two = open_lists.where(f"place < n - ceil(2 * {like.percent} * n / {100 + like.percent}) + l").alias("one"), open_lists.alias("two")
-    smaller = F.expr("one.token = two.token and one.label <> two.label and (one.n < two.n or (one.n = two.n and one.class < two.class))")
+    labelled = labelled.select("token", "class", "n", "l", "place", "rank", F.coalesce("root", "class").alias("label")).join(hubs.select("class", "hub", "d", "of_hub"), "class", "left")
+    labelled = labelled.withColumn("short", F.expr(f"place < n - ceil(2 * {like.percent} * n / {100 + like.percent}) + l"))
     # Triangle inequality at a common hub; a hub is at distance 0 from itself, and that pair has been tried.
-    bound = 1 - like.percent / 100 + 1e-9
-    smaller &= F.expr(f"not coalesce(one.hub = two.hub and abs(one.d - two.d) > {bound}, false)")
-    met = one.join(two, smaller & _in_reach("one.", "two.", like) & _size_fits(F.col("one.n"), F.col("two.n"), like)).groupBy(F.col("one.class").alias("a"), F.col("two.class").alias("b"))
-    met = met.agg(F.count("*").cast("int").alias("meets"), *(F.max(f"{x}.{c}").alias(f"{c}_{x}") for x in ("one", "two") for c in ("n", "l", "place")))
+    # Those of a crowded hub that need a shingle it lacks meet below.
+    far = f"abs(one.d - two.d) > {1 - like.percent / 100 + 1e-9}"
+    needs_own = f"{100 + like.percent} * least(one.of_hub, two.of_hub) < {like.percent} * (one.n + two.n)"
+    fits = _size_fits(F.col("one.n"), F.col("two.n"), like)
+    met = _meetings(labelled, ["token"], F.expr(f"not coalesce(one.hub = two.hub and ({far} or {needs_own}), false)") & _in_reach("one.", "two.", like) & fits)
     pairs = (
-        met.where("meets >= least(l_one, l_two)")
+        met.agg(F.count("*").alias("meets"), F.max(F.expr("least(one.l, two.l)")).alias("l"), F.min(F.expr("least(one.n - one.place, two.n - two.place)")).alias("left"), *map(F.expr, _SIZES))
+        .where("meets >= l")
         # Behind the last shingle that both prefixes share there must be enough left for the overlap.
-        .where(f"meets + least(n_one - place_one, n_two - place_two) - 1 >= {like.percent} * (n_one + n_two) / {100 + like.percent}")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("meets") / F.col("n_one")).alias("share"))
-        .join(tried, ["a", "b"], "left_anti")
+        .where(f"{100 + like.percent} * (meets + left - 1) >= {like.percent} * both")
+        .select("a", "b", (F.col("meets") / F.col("smaller")).alias("share"))
     )
+    own = hubs.where("own is not null").join(groups, F.col("class") == F.col("node"), "left")
+    own = own.select("class", "hub", "d", "of_hub", "n", F.coalesce("root", "class").alias("label"), F.posexplode("own").alias("place", "token"))
+    own = own.withColumns({"left": F.expr("n - of_hub - place"), "short": F.lit(True)})
+    # In common: from the hub what both may have of it, before the shingle, and it and what follows.
+    most = "least(one.of_hub, two.of_hub) + least(one.place, two.place) + least(one.left, two.left)"
+    met = _meetings(own, ["hub", "token"], F.expr(f"not {far} and {needs_own} and {100 + like.percent} * ({most}) >= {like.percent} * (one.n + two.n)") & fits)
+    met = met.agg(F.count("*").alias("meets"), F.max(F.expr("least(one.of_hub, two.of_hub)")).alias("of_hub"), F.min(F.expr("least(one.left, two.left)")).alias("left"), *map(F.expr, _SIZES))
+    met = met.where(f"{100 + like.percent} * (of_hub + meets + left - 1) >= {like.percent} * both")
+    pairs = pairs.union(met.select("a", "b", (F.col("meets") / F.col("smaller")).alias("share"))).join(tried, ["a", "b"], "left_anti")
     one, two = groups.selectExpr("node as a", "root as ra"), groups.selectExpr("node as b", "root as rb")
     pairs = pairs.join(one, "a", "left").join(two, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
     pairs = pairs.select("a", "b", F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high"), "share")

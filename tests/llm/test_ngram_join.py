@@ -147,3 +147,86 @@ def test_sieve_keeps_links_and_drops_what_cannot_link(spark):
     assert links == {(1, 2), (1, 4), (2, 4)}
     assert links <= kept
     assert not kept & {(1, 3), (1, 5), (2, 3), (2, 5), (3, 4), (3, 5), (4, 5)}
+
+
+def _strays():
+    """A text, copies that link to it, and copies with about as many edits as are too many, each its own."""
+    rand, base = random.Random(8), odd.prose(12, 150, 3000).split()
+    texts = [" ".join(base)]
+    for i in range(120):
+        copy = list(base)
+        for place in rand.sample(range(4, 146), 2 if i < 60 else 6):
+            copy[place] = f"e{i}x{place}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def _any_order(scan):
+    """In place of the frequency table, which only steers: shingles are ordered by hash."""
+    return np.zeros(ngram_join.CELLS, np.uint8)
+
+
+def _joined_by_token(frame):
+    """Rows that the joins on a shingle make."""
+    frame.collect()
+    rows, nodes = 0, [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in name and "token" in node.leftKeys().toString():
+            rows += node.metrics().apply("numOutputRows").value()
+    return rows
+
+
+def test_strays_of_one_hub_are_not_paired(spark, monkeypatch):
+    """What all have from their hub pairs no strays: nothing that one of them has and the hub lacks is in another."""
+    rows, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "frequency_table", _any_order)
+    monkeypatch.setattr(ngram_join, "written", lambda frame, name: [name == "ngram-pairs" and rows.append(_joined_by_token(frame)), write(frame, name)][1])
+    texts = list(enumerate(_strays()))
+    assert got(spark, texts) == expected(texts)
+    assert rows[0] < 5000  # 81,163 when they met by all they share
+
+
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_links_by_what_the_hub_lacks_and_by_parts_of_it(spark, monkeypatch, crowd):
+    """Strays that link to each other by edits they share, and pieces of the hub that link to each other but not to it."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "frequency_table", _any_order)
+    rand, texts = random.Random(9), _strays()
+    for text in texts[61:85]:
+        copy = text.split()
+        copy[rand.randrange(150)] = f"f{rand.randrange(9)}"
+        texts.append(" ".join(copy))
+    base = texts[0].split()
+    texts += [" ".join(base[i : i + size]) for i, size in zip(range(0, 50, 3), [105, 112, 96] * 6, strict=False)]
+    passage = odd.prose(13, 45, 3000)
+    for i in range(40):
+        at = rand.randrange(20, 100)
+        texts.append(" ".join([*base[:at], passage, *base[at + rand.choice([5, 20, 45]) :]]) + f" g{i // 3}")
+    rows = list(enumerate(texts))
+    rand.shuffle(rows)
+    assert got(spark, rows) == expected(rows)
+
+
+def test_prefixes_of_what_the_hub_lacks_share_one():
+    """Sets that link, where one has too little of the hub, share a shingle of their prefixes, in any common order."""
+    like, rng, met = ngram_join.Similarity(), np.random.default_rng(3), 0
+    frequent = rng.integers(0, 12, ngram_join.CELLS).astype(np.uint8)
+    for _ in range(300):
+        n = int(rng.integers(8, 90))
+        hub, x = _set(rng, n), _set(rng, n)
+        x = np.union1d(x[: int(n * rng.uniform(0.1, 0.9))], hub[: int(n * rng.uniform(0, 0.9))])
+        y = np.union1d(rng.choice(x, int(len(x) * rng.uniform(0.7, 1)), replace=False), _set(rng, int(n * 0.1)))
+        both, total = len(np.intersect1d(x, y)), len(x) + len(y)
+        of_hub = min(len(np.intersect1d(x, hub)), len(np.intersect1d(y, hub)))
+        if 100 * both >= 75 * (total - both) and 175 * of_hub < 75 * total:
+            met += 1
+            assert len(np.intersect1d(*(ngram_join.own_prefix(np.setdiff1d(s, hub), len(s), frequent, like) for s in (x, y))))
+    assert met > 50
