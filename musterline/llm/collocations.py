@@ -2,10 +2,10 @@
 
 Three steps, each made of passes that Spark partitions:
 
-1. What can be frequent. Words and pairs of neighbours are counted by 64-bit hash, then the triples whose
-   pairs were seen `least` times; what was fills bit tables. A longer phrase can only be frequent
-   where all its triples are. The tables only leave work out: every count used below is taken
-   again, by the words themselves.
+1. What can be frequent. Words, pairs and triples of neighbours are counted by 64-bit hash, in one pass and all of
+   them, so that its rows follow the words of the corpus whatever the threshold; what was seen `least` times fills bit
+   tables. A longer phrase can only be frequent where all its triples are. The tables only leave work out: every count
+   used below is taken again, by the words themselves.
 2. Counts. Each task sorts the n-grams of its shard that may be frequent and builds count
    transducers from them (`automata.Transducer`), one for each range of prefixes, the first two words.
    Transducers of one range are united and their counts added, sixteen groups of shards first, then all;
@@ -173,20 +173,8 @@ def _tallied(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], keys_of:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size 0: words of a language; 1: a word's key and count; 2: a pair's."""
-    return _tallied(batches, (1, 2), lambda lang, h, fresh: (_word_keys(h, lang), _pair_keys(h, lang)[~fresh[1:]]))
-
-
-def _count_triples(frequent) -> Callable:
-    """Size 3: the key and count of a triple whose pairs may be frequent."""
-
-    def keys_of(lang: str, h: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray]:
-        words = member(frequent.value, _word_keys(h, lang)) if len(h) else np.zeros(0, bool)
-        pairs = _likely_pairs(h, fresh, words, frequent.value, lang)
-        at = np.flatnonzero(pairs[:-1] & pairs[1:])
-        return (_triple_keys(h, lang)[at] if len(at) else np.zeros(0, np.uint64),)
-
-    return lambda batches: _tallied(batches, (3,), keys_of)
+    """Size 0: words of a language; 1: a word's key and count; 2: a pair's; 3: a triple's."""
+    return _tallied(batches, (1, 2, 3), lambda lang, h, fresh: (_word_keys(h, lang), _pair_keys(h, lang)[~fresh[1:]], _triple_keys(h, lang)[~(fresh[1:-1] | fresh[2:])]))
 
 
 def grams(h: np.ndarray, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, names: dict[int, str], longest: int) -> list[Item]:
@@ -374,14 +362,13 @@ def count(docs: DataFrame, rule: Rule = Rule()) -> Counts:
     def table(keys: DataFrame, n: int):
         return spark.sparkContext.broadcast(bit_table(keys, room(n)))
 
-    counted = texts.mapInArrow(_count, _COUNTED_COLUMNS)
+    counted = texts.mapInArrow(_count, _COUNTED_COLUMNS).repartition("key")  # tasks have summed their keys: no use in doing so again before the shuffle
     seen = written(counted.groupBy("size", "key", "lang").agg(F.sum("n").alias("n")).where(f"size = 0 or n >= {rule.least}"), "colloc-seen")
     totals = written(seen.where("size = 0").select("lang", "n"), "colloc-totals")
-    keys = seen.where("size > 0").select("key")
+    keys = seen.where("size in (1, 2)").select("key")
     n = keys.count()
     frequent = table(keys, n)
-    triples = texts.mapInArrow(_count_triples(frequent), _COUNTED_COLUMNS).where("size = 3").groupBy("key").agg(F.sum("n").alias("n")).where(f"n >= {rule.least}")
-    triples = written(triples.select("key"), "colloc-triples")
+    triples = seen.where("size = 3").select("key")
     frequent_triples = table(triples, triples.count())
     bounds = spark.sparkContext.broadcast(_bounds(texts, max(1, n // PER_RANGE)))
 

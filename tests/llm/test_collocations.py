@@ -152,3 +152,25 @@ def test_words_do_not_cross_texts_or_blocks():
 
 def test_query_rule():
     assert (_RULE.longest, _RULE.least, _RULE.top) == (5, 100, 2000)
+
+
+def test_every_triple_is_counted_with_the_pairs():
+    """Rows of the counting pass follow the words: five times the texts make five times the rows, whatever they make frequent."""
+    table = pa.record_batch([pa.array([r[0] or "" for r in texts()]), pa.array([r[1] or "und" for r in texts()])], names=["text", "lang"])
+    want = {k: Counter() for k in (1, 2, 3)}
+    for text, lang in zip(*(c.to_pylist() for c in table.columns)):
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09]+", piece)]
+            for k in want:
+                want[k].update((lang, *w[i : i + k]) for i in range(len(w) - k + 1))
+
+    def rows(batches):
+        return [r for batch in collocations._count(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns)) if r[0]]
+
+    once = rows([table])
+    for k, counts in want.items():
+        assert sorted(n for size, _, _, n in once if size == k) == sorted(counts.values())
+    assert len([r for _ in range(5) for r in rows([table])]) == 5 * len(once)
+    short = pa.record_batch([pa.array(["", "a", "a b", "a. b c"]), pa.array(["en"] * 4)], names=["text", "lang"])
+    for i in range(4):
+        assert not [r for r in rows([short.slice(i, 1)]) if r[0] == 3]
